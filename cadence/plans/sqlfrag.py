@@ -65,3 +65,49 @@ FROM {src} GROUP BY {grp}"""
 HEURISTIC = """(CASE WHEN count < 3 THEN round(interval_std, 9) < 10 AND round(amount_cv, 9) < 0.2
       ELSE (round(interval_std, 9) < 10 OR round(dom_std, 9) < 1.5 OR round(dow_std, 9) < 1.0)
            AND round(amount_cv, 9) < 0.2 END)"""
+
+
+def char_wb_grams(w: str) -> str:
+    """Character 2-4 grams of one word (padded with spaces), as a DuckDB list."""
+    return (f"flatten(list_transform(generate_series(2, least(4, length({w}) + 2)), "
+            f"lambda n: list_transform(generate_series(1, length({w}) + 3 - n), "
+            f"lambda i: substr(' ' || {w} || ' ', i, n))))")
+
+
+def tfidf_cluster_ctes(src: str = "tl", keys: str = "accountId, win", text: str = "_text",
+                       raw: str = "bankRawDescription", eps: float = 0.29) -> str:
+    """CTEs docs .. clus: per-window TF-IDF, cosine edges, components (recursive), labels.
+
+    Needs WITH RECURSIVE. Output CTE `clus` = src rows + column `cluster` (NULL = noise).
+    """
+    kj = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return f"""
+docs AS (SELECT {keys}, {text}, count(*) AS m, sum(count(*)) OVER (PARTITION BY {keys}) AS n_docs
+         FROM {src} GROUP BY {keys}, {text}),
+dwords AS (SELECT *, unnest(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: length(x) > 0)) AS wd
+           FROM docs),
+grams AS (SELECT {keys}, {text}, m, n_docs, unnest({char_wb_grams('wd')}) AS gram FROM dwords),
+tf AS (SELECT {keys}, {text}, m, n_docs, gram, count(*) AS tf FROM grams GROUP BY ALL),
+dfq AS (SELECT *, sum(m) OVER (PARTITION BY {keys}, gram) AS dfreq FROM tf),
+wt AS (SELECT *, tf * (ln((1 + n_docs) / (1 + dfreq)) + 1) AS w0 FROM dfq),
+post AS (SELECT {keys}, {text}, gram, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY {keys}, {text})) AS w FROM wt),
+edges AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, a.{text} AS t1, b.{text} AS t2
+          FROM post a JOIN post b ON {kj} AND a.gram = b.gram AND a.{text} < b.{text}
+          GROUP BY ALL HAVING round(1 - sum(a.w * b.w), 9) <= {eps}),
+und AS (SELECT {keys}, t1 AS ua, t2 AS ub FROM edges UNION ALL SELECT {keys}, t2, t1 FROM edges),
+reach AS (
+  SELECT {keys}, ua AS t, ua AS l FROM und
+  UNION
+  SELECT {", ".join("r." + k.strip() for k in keys.split(","))}, u.ub, r.l FROM reach r JOIN und u
+    ON {" AND ".join(f"r.{k.strip()} = u.{k.strip()}" for k in keys.split(","))} AND r.t = u.ua),
+comp AS (SELECT {keys}, t, min(l) AS cc FROM reach GROUP BY ALL),
+vec AS (SELECT DISTINCT {keys}, {text} FROM post),
+lab AS (
+  SELECT d.*, CASE WHEN c.cc IS NOT NULL THEN c.cc WHEN v.{text} IS NOT NULL AND d.m >= 2 THEN d.{text} END AS _label,
+         bool_or(v.{text} IS NOT NULL) OVER (PARTITION BY {", ".join("d." + k.strip() for k in keys.split(","))}) AS _any_vec
+  FROM docs d
+  LEFT JOIN vec v ON {" AND ".join(f"d.{k.strip()} = v.{k.strip()}" for k in keys.split(","))} AND d.{text} = v.{text}
+  LEFT JOIN comp c ON {" AND ".join(f"d.{k.strip()} = c.{k.strip()}" for k in keys.split(","))} AND d.{text} = c.t),
+clus AS (
+  SELECT s.*, CASE WHEN lab._any_vec THEN lab._label ELSE 'raw:' || s.{raw} END AS cluster
+  FROM {src} s JOIN lab USING ({keys}, {text}))"""

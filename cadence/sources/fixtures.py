@@ -169,6 +169,8 @@ def with_views(body: str, *views: str) -> str:
         ctes.append({"txn": TXN_SQL, "txn_events": TXN_EVENTS_SQL, "txn_orders": TXN_ORDERS_SQL,
                      "scored": SCORED_SQL, "vectors": VECTORS_SQL}[v].strip())
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
