@@ -73,3 +73,46 @@ def ordered_positions(df: DataFrame, keys: list[str], order: list, pos_col: str
                .withColumn(pos_col, F.col("_lpos") + F.col("_shift"))
                .drop("_rp", "_lpos", "_shift"))
     return cold_pos.unionByName(hot_pos)
+
+
+def global_positions(df: DataFrame, order: list, pos_col: str = "_gpos", hot_rows: int | None = None) -> DataFrame:
+    """0-based position over the whole table (range-partitioned once it is large)."""
+    return ordered_positions(df.withColumn("_all", F.lit(0)), ["_all"], order, pos_col, hot_rows).drop("_all")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
+                    names: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per key group (pandas/numpy 'linear' rule).
+
+    Computed from ranked positions (skew-aware) instead of a per-group value map, so
+    a key holding a third of the table never has to fit one task. Empty -> no row.
+    """
+    names = names or [f"q{int(round(q * 100))}" for q in qs]
+    base = df.filter(F.col(value).isNotNull())
+    if not keys:
+        base = base.withColumn("_all", F.lit(0))
+        keys_ = ["_all"]
+    else:
+        keys_ = list(keys)
+    ranked = ordered_positions(base.select(*keys_, value), keys_, [value], "_qp", hot_rows)
+    n = base.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_qn"))
+    r = ranked.join(n, keys_)
+    aggs = []
+    for q, nm in zip(qs, names):
+        p = F.lit(q) * (F.col("_qn") - 1)
+        lo, hi = F.floor(p), F.ceil(p)
+        frac = p - lo
+        aggs.append(F.max(F.when(F.col("_qp") == lo, F.col(value))).alias(f"_{nm}_lo"))
+        aggs.append(F.max(F.when(F.col("_qp") == hi, F.col(value))).alias(f"_{nm}_hi"))
+        aggs.append(F.max(frac).alias(f"_{nm}_f"))
+    # only the (at most 2 per quantile) rows at the needed positions survive the filter
+    need = None
+    for q in qs:
+        p = F.lit(q) * (F.col("_qn") - 1)
+        cond = (F.col("_qp") == F.floor(p)) | (F.col("_qp") == F.ceil(p))
+        need = cond if need is None else (need | cond)
+    out = r.filter(need).groupBy(*keys_).agg(*aggs)
+    out = out.select(*keys_, *[
+        (F.col(f"_{nm}_lo") + (F.col(f"_{nm}_hi") - F.col(f"_{nm}_lo")) * F.col(f"_{nm}_f")).alias(nm)
+        for nm in names])
+    return out.drop("_all") if not keys else out
