@@ -121,9 +121,34 @@ def truncate_text(col, n: int = 40) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(".."))).otherwise(c)
 
 
+def fixed2(x) -> Column:
+    """Format a double with 2 decimals, rounding its exact binary value (half-even on
+    exact ties), as C printf / Python do. Java's %.2f rounds the shortest decimal text
+    half-up instead (10286.175 -> 10286.18 although the double is just below .175).
+
+    |x| = N / 2^k exactly with N, k integers (N < 2^55), so the cents and the remainder
+    come from exact long arithmetic.
+    """
+    v = _c(x).cast("double")
+    ax = F.abs(v)
+    k = (F.lit(53) - F.floor(F.log2(ax))).cast("int")
+    n = (ax * F.pow(F.lit(2.0), k)).cast("long")
+    d = F.pow(F.lit(2.0), k).cast("long")
+    t = n * 100
+    rem = t % d
+    q = ((t - rem) / d).cast("long")  # exact: t - rem is a multiple of d
+    up = (rem * 2 > d) | ((rem * 2 == d) & (q % 2 == 1))
+    cents = F.when(ax < 1e-4, F.lit(0).cast("long")).otherwise(q + up.cast("long"))
+    body = F.concat(((cents - cents % 100) / 100).cast("long").cast("string"), F.lit("."),
+                    F.lpad((cents % 100).cast("string"), 2, "0"))
+    exact = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body)
+    # beyond 2^46 every double is a multiple of 1/64: the plain formatter is exact there
+    return F.when(v.isNull(), F.lit(None)).when(ax >= 2.0 ** 46, F.format_string("%.2f", v)).otherwise(exact)
+
+
 def group_key(account, amount) -> Column:
     """'{account}_amt_{amount:.2f}'."""
-    return F.concat(_c(account), F.lit("_amt_"), F.format_string("%.2f", _c(amount)))
+    return F.concat(_c(account), F.lit("_amt_"), fixed2(amount))
 
 
 def account_of_group_key(col) -> Column:

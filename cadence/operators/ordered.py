@@ -1,4 +1,4 @@
-"""Skew-aware positions of rows inside ordered groups.
+"""Skew-aware scans over ordered groups: positions, running sums/maxima, lags.
 
 Most operators of the reference walk the rows of one account in a fixed order
 (amount windows, band pairs, islands). A plain ``row_number() over (partition by
@@ -7,14 +7,14 @@ all rows, so groups above ``hot_rows`` take another route:
 
 1. range-partition the hot rows on (keys, order): Spark samples the boundaries and
    spreads one key over many partitions, each a contiguous run of the order;
-2. number rows locally per (partition, key) — a hash shuffle whose groups are at
+2. scan locally per (range partition, key) — a hash shuffle whose groups are at
    most one range partition;
-3. shift by the sizes of the earlier ranges of the same key. The shift table has at
-   most (range partitions + hot keys) rows, a bound independent of the data, so it
-   is broadcast.
+3. carry the totals of the earlier ranges of the same key (row count, sums, maxima,
+   last values). That carry table has at most (range partitions + hot keys) rows, a
+   bound independent of the data, so it is broadcast.
 
-Cold groups keep the single-window plan. Positions are exact in both routes and
-the order must be total (end it with a unique column).
+Cold groups keep the single-window plan. Results are exact in both routes; the
+order must be total (end it with a unique column).
 """
 
 from __future__ import annotations
@@ -34,48 +34,99 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
               .filter(F.col("_n") > hot_rows))
 
 
-def ordered_positions(df: DataFrame, keys: list[str], order: list, pos_col: str = "_pos",
-                      hot_rows: int | None = None, check_skew: bool = True) -> DataFrame:
-    """Add ``pos_col``: 0-based position of the row inside its key under ``order``."""
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str | None = "_pos",
+                 sums: dict | None = None, maxes: dict | None = None, lags: dict | None = None,
+                 hot_rows: int | None = None, check_skew: bool = True) -> DataFrame:
+    """Add per-group scan columns under ``order`` (column names):
+
+    pos_col: 0-based position; sums[out] = running sum of a column (inclusive);
+    maxes[out] = running max over the *earlier* rows (exclusive); lags[out] = previous value.
+    """
     spark = df.sparkSession
+    sums, maxes, lags = sums or {}, maxes or {}, lags or {}
     if hot_rows is None:
         hot_rows = conf_int(spark, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
     w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def cold(d: DataFrame) -> DataFrame:
+        cols = {}
+        if pos_col:
+            cols[pos_col] = F.row_number().over(w) - 1
+        for o, c in sums.items():
+            cols[o] = F.sum(c).over(upto)
+        for o, c in maxes.items():
+            cols[o] = F.max(c).over(before)
+        for o, c in lags.items():
+            cols[o] = F.lag(c).over(w)
+        return d.withColumns(cols)
+
     if not check_skew:
-        return df.withColumn(pos_col, F.row_number().over(w) - 1)
+        return cold(df)
     hot = hot_keys(df, keys, hot_rows)
     # one aggregate; its shuffle carries one row per key
     n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     if n_hot == 0:
-        return df.withColumn(pos_col, F.row_number().over(w) - 1)
+        return cold(df)
 
     hot_b = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # <= rows / hot_rows keys
     tagged = df.join(hot_b, keys, "left")
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
-    hot_rows_df = tagged.filter(F.col("_hot")).drop("_hot")
-
-    cold_pos = cold.withColumn(pos_col, F.row_number().over(w) - 1)
+    cold_part = cold(tagged.filter(F.col("_hot").isNull()).drop("_hot"))
+    hot_part = tagged.filter(F.col("_hot")).drop("_hot")
 
     # ranges of about hot_rows/4 rows each, at least a few per core
     n_parts = max(spark.sparkContext.defaultParallelism * 2, -(-int(hot_total) // max(1, hot_rows // 4)))
-    order_names = [o for o in order]
-    ranged = (hot_rows_df.repartitionByRange(n_parts, *[F.col(k) for k in keys], *order_names)
+    ranged = (hot_part.repartitionByRange(n_parts, *keys, *order)
               .withColumn("_rp", F.spark_partition_id()))
     wl = Window.partitionBy(*keys, "_rp").orderBy(*order)
-    local = ranged.withColumn("_lpos", F.row_number().over(wl) - 1)
-    sizes = local.groupBy(*keys, "_rp").agg(F.count(F.lit(1)).alias("_sz"))
-    shift = sizes.withColumn(
-        "_shift",
-        F.coalesce(F.sum("_sz").over(Window.partitionBy(*keys).orderBy("_rp")
-                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wl_upto = wl.rowsBetween(Window.unboundedPreceding, 0)
+    wl_before = wl.rowsBetween(Window.unboundedPreceding, -1)
+    loc = {"_lpos": F.row_number().over(wl) - 1}
+    for o, c in sums.items():
+        loc[f"_ls_{o}"] = F.sum(c).over(wl_upto)
+    for o, c in maxes.items():
+        loc[f"_lm_{o}"] = F.max(c).over(wl_before)
+    for o, c in lags.items():
+        loc[f"_ll_{o}"] = F.lag(c).over(wl)
+    local = ranged.withColumns(loc)
+
+    order_key = F.struct(*order)
+    per_aggs = [F.count(F.lit(1)).alias("_sz")]
+    per_aggs += [F.sum(c).alias(f"_ts_{o}") for o, c in sums.items()]
+    per_aggs += [F.max(c).alias(f"_tm_{o}") for o, c in maxes.items()]
+    per_aggs += [F.max_by(c, order_key).alias(f"_tl_{o}") for o, c in lags.items()]
+    per = local.groupBy(*keys, "_rp").agg(*per_aggs)
+    wr = Window.partitionBy(*keys).orderBy("_rp")
+    wr_before = wr.rowsBetween(Window.unboundedPreceding, -1)
+    carry = {"_shift": F.coalesce(F.sum("_sz").over(wr_before), F.lit(0))}
+    carry.update({f"_cs_{o}": F.sum(f"_ts_{o}").over(wr_before) for o in sums})
+    carry.update({f"_cm_{o}": F.max(f"_tm_{o}").over(wr_before) for o in maxes})
+    carry.update({f"_cl_{o}": F.lag(f"_tl_{o}").over(wr) for o in lags})
+    shift = per.withColumns(carry).select(*keys, "_rp", *carry.keys())
+
     # bounded: one row per (range partition, hot key) pair present
-    hot_pos = (local.join(F.broadcast(shift.select(*keys, "_rp", "_shift")), [*keys, "_rp"])
-               .withColumn(pos_col, F.col("_lpos") + F.col("_shift"))
-               .drop("_rp", "_lpos", "_shift"))
-    return cold_pos.unionByName(hot_pos)
+    j = local.join(F.broadcast(shift), [*keys, "_rp"])
+    out = {}
+    if pos_col:
+        out[pos_col] = F.col("_lpos") + F.col("_shift")
+    for o in sums:
+        out[o] = F.col(f"_ls_{o}") + F.coalesce(F.col(f"_cs_{o}"), F.lit(0))
+    for o in maxes:
+        out[o] = F.greatest(F.col(f"_lm_{o}"), F.col(f"_cm_{o}"))
+    for o in lags:
+        out[o] = F.when(F.col("_lpos") == 0, F.col(f"_cl_{o}")).otherwise(F.col(f"_ll_{o}"))
+    hot_out = j.withColumns(out).select(*cold_part.columns)
+    return cold_part.unionByName(hot_out)
+
+
+def ordered_positions(df: DataFrame, keys: list[str], order: list[str], pos_col: str = "_pos",
+                      hot_rows: int | None = None, check_skew: bool = True) -> DataFrame:
+    """Add ``pos_col``: 0-based position of the row inside its key under ``order``."""
+    return ordered_scan(df, keys, order, pos_col, hot_rows=hot_rows, check_skew=check_skew)
 
 
-def global_positions(df: DataFrame, order: list, pos_col: str = "_gpos", hot_rows: int | None = None) -> DataFrame:
+def global_positions(df: DataFrame, order: list[str], pos_col: str = "_gpos", hot_rows: int | None = None) -> DataFrame:
     """0-based position over the whole table (range-partitioned once it is large)."""
     return ordered_positions(df.withColumn("_all", F.lit(0)), ["_all"], order, pos_col, hot_rows).drop("_all")
 
@@ -97,20 +148,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
     ranked = ordered_positions(base.select(*keys_, value), keys_, [value], "_qp", hot_rows)
     n = base.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_qn"))
     r = ranked.join(n, keys_)
-    aggs = []
+    aggs, need = [], None
     for q, nm in zip(qs, names):
         p = F.lit(q) * (F.col("_qn") - 1)
         lo, hi = F.floor(p), F.ceil(p)
-        frac = p - lo
         aggs.append(F.max(F.when(F.col("_qp") == lo, F.col(value))).alias(f"_{nm}_lo"))
         aggs.append(F.max(F.when(F.col("_qp") == hi, F.col(value))).alias(f"_{nm}_hi"))
-        aggs.append(F.max(frac).alias(f"_{nm}_f"))
-    # only the (at most 2 per quantile) rows at the needed positions survive the filter
-    need = None
-    for q in qs:
-        p = F.lit(q) * (F.col("_qn") - 1)
-        cond = (F.col("_qp") == F.floor(p)) | (F.col("_qp") == F.ceil(p))
+        aggs.append(F.max(p - lo).alias(f"_{nm}_f"))
+        cond = (F.col("_qp") == lo) | (F.col("_qp") == hi)
         need = cond if need is None else (need | cond)
+    # only the (at most 2 per quantile) rows at the needed positions survive the filter
     out = r.filter(need).groupBy(*keys_).agg(*aggs)
     out = out.select(*keys_, *[
         (F.col(f"_{nm}_lo") + (F.col(f"_{nm}_hi") - F.col(f"_{nm}_lo")) * F.col(f"_{nm}_f")).alias(nm)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,87 @@ def date_intervals(df: DataFrame, keys: list[str], cols: Cols = Cols()) -> DataF
 def days_between(a, b):
     """Whole elapsed days from a to b (floor for a <= b), like a floored timedelta."""
     return F.timestamp_diff("DAY", a, b)
+
+
+def amount_islands(df: DataFrame, cols: Cols = Cols(), gap_abs: float = 1.0, gap_pct: float = 0.05,
+                   min_size: int = 2, hot_rows: int | None = None) -> DataFrame:
+    """Non-overlapping amount clusters per account (gaps-and-islands).
+
+    A new island starts where the step from the previous amount exceeds both gap_abs
+    and gap_pct * |previous amount|. Islands below min_size are dropped. Adds
+    ``island`` (number inside the account), ``cluster_seed_amount`` (median amount)
+    and ``global_group_id`` = '{account}_amt_{median:.2f}'.
+    """
+    from cadence.functions.text import group_key
+    from cadence.operators.ordered import exact_quantiles, ordered_scan
+
+    c = cols
+    order = [c.amount, c.trId]
+    s = ordered_scan(df, [c.accountId], order, None, lags={"_prev": c.amount}, hot_rows=hot_rows)
+    step = F.abs(F.col(c.amount) - F.col("_prev"))
+    s = s.withColumn("_gap", F.coalesce(((step > gap_abs) & (step > F.abs(F.col("_prev")) * gap_pct)).cast("int"),
+                                        F.lit(0)))
+    s = ordered_scan(s, [c.accountId], order, None, sums={"island": "_gap"}, hot_rows=hot_rows).drop("_prev", "_gap")
+    keys = [c.accountId, "island"]
+    size = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_isz")).filter(F.col("_isz") >= min_size)
+    med = exact_quantiles(s.join(size.select(*keys), keys, "left_semi"), keys, c.amount, [0.5],
+                          ["cluster_seed_amount"], hot_rows)
+    out = s.join(size.select(*keys), keys).join(med, keys)
+    return out.withColumn("global_group_id", group_key(F.col(c.accountId), F.col("cluster_seed_amount")))
+
+
+def _band(x):
+    """Monotone map where one unit is at least the seed tolerance max(1, 5% |x|)."""
+    m = F.abs(x)
+    h = F.when(m < 20, m).otherwise(20 + F.log(m / 20) / math.log(1.05))
+    return F.signum(x) * h
+
+
+def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0, tol_pct: float = 0.05,
+                        min_bin_size: int = 2, hot_rows: int | None = None) -> DataFrame:
+    """Overlapping amount groups: every distinct 2-decimal amount of an account is a seed,
+    members are rows with |a - s| <= tol_abs or <= tol_pct*|s|; a seed is dropped if its
+    member set is inside the set of an earlier kept seed. A row may be in several groups.
+
+    Band join: rows and seeds meet on (account, band bucket) of a monotone map in which
+    the tolerance is at most ~1.1 units, probing 5 buckets per seed, then the exact test.
+    Member sets are amount intervals whose both ends grow with the seed, so "subset of
+    an earlier set" is "largest member amount <= running max of earlier ones".
+    """
+    if tol_abs > 1.0 or tol_pct > 0.05:
+        raise ValueError("band buckets are sized for tol_abs <= 1 and tol_pct <= 5%")
+    from cadence.functions.text import group_key
+    from cadence.operators.ordered import ordered_scan
+
+    c = cols
+    rows = df.select(c.accountId, c.trId, c.amount).withColumn("_b", F.floor(_band(F.col(c.amount))).cast("long"))
+    seeds = df.select(c.accountId, F.round(c.amount, 2).alias("seed")).distinct()
+    probes = seeds.withColumn("_b", F.explode(F.sequence(F.floor(_band(F.col("seed"))).cast("long") - 2,
+                                                         F.floor(_band(F.col("seed"))).cast("long") + 2)))
+    d = F.abs(F.col(c.amount) - F.col("seed"))
+    mem = probes.join(rows, [c.accountId, "_b"]).filter((d <= tol_abs) | (d <= F.abs(F.col("seed")) * tol_pct))
+    per = mem.groupBy(c.accountId, "seed").agg(F.count(F.lit(1)).alias("_m"), F.max(c.amount).alias("_hi"))
+    per = per.filter(F.col("_m") >= min_bin_size)
+    per = ordered_scan(per, [c.accountId], ["seed"], None, maxes={"_prev_hi": "_hi"}, hot_rows=hot_rows)
+    kept = per.filter(F.col("_prev_hi").isNull() | (F.col("_hi") > F.col("_prev_hi"))).select(c.accountId, "seed")
+    out = mem.join(kept, [c.accountId, "seed"]).select(c.accountId, c.trId, c.amount, "seed")
+    return out.withColumn("global_group_id", group_key(F.col(c.accountId), F.col("seed"))) \
+              .withColumnRenamed("seed", "cluster_seed_amount")
+
+
+def sequence_windows(df: DataFrame, series: list[str], fields: list[str], cols: Cols = Cols(),
+                     min_len: int = 5, max_len: int = 64, predict: bool = False,
+                     time_col: str = "time_idx") -> DataFrame:
+    """Encoder windows: for each row with >= min_len earlier rows in its series, the
+    array of up to max_len earlier rows (oldest first) plus the target row.
+
+    predict=True keeps only the last row of each series. Frames are bounded by
+    max_len, so a long series never builds an unbounded array.
+    """
+    w = Window.partitionBy(*series).orderBy(time_col)
+    hist = F.collect_list(F.struct(*fields)).over(w.rowsBetween(-max_len, -1))
+    out = df.withColumn("history", hist).filter(F.size("history") >= min_len)
+    if predict:
+        last = df.groupBy(*series).agg(F.max(time_col).alias("_last"))
+        out = out.join(last, series).filter(F.col(time_col) == F.col("_last")).drop("_last")
+    return out
