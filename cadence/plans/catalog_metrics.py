@@ -11,7 +11,8 @@ from cadence.schema import CYCLE_LABELS
 from cadence.sources.fixtures import scored
 
 R = 6
-_PRED = F.col("prob") > 0.5
+def _pred():
+    return F.col("prob") > 0.5
 
 
 def _rd(df, names=None):
@@ -33,13 +34,13 @@ def _prf_round(df):
 
 @register("row_prf", f"SELECT *, {_PRF} FROM (SELECT {_COUNTS.format(p='prob > 0.5')} FROM scored)", views=("scored",))
 def q_row_prf(spark, sf):
-    return _prf_round(M.row_prf(scored(spark, sf), "isRecurring", _PRED))
+    return _prf_round(M.row_prf(scored(spark, sf), "isRecurring", _pred()))
 
 
 @register("bank_metrics", f"SELECT *, {_PRF} FROM (SELECT bank_name, {_COUNTS.format(p='prob > 0.5')} FROM scored GROUP BY bank_name)",
           views=("scored",))
 def q_bank_metrics(spark, sf):
-    return _prf_round(M.row_prf(scored(spark, sf), "isRecurring", _PRED, group=["bank_name"]))
+    return _prf_round(M.row_prf(scored(spark, sf), "isRecurring", _pred(), group=["bank_name"]))
 
 
 @register("bank_leaderboard", f"""
@@ -47,7 +48,7 @@ SELECT bank_name, f1, row_number() OVER (ORDER BY f1 DESC, bank_name) AS rank FR
   SELECT bank_name, {_PRF} FROM (SELECT bank_name, {_COUNTS.format(p='prob > 0.5')} FROM scored GROUP BY bank_name))""",
           views=("scored",))
 def q_bank_leaderboard(spark, sf):
-    m = _prf_round(M.row_prf(scored(spark, sf), "isRecurring", _PRED, group=["bank_name"]))
+    m = _prf_round(M.row_prf(scored(spark, sf), "isRecurring", _pred(), group=["bank_name"]))
     # one row per bank: ordering the small per-bank table is cheap
     return m.select("bank_name", "f1", F.row_number().over(Window.orderBy(F.desc("f1"), "bank_name")).alias("rank"))
 
@@ -57,13 +58,13 @@ _CT = "CASE WHEN isRecurring = 1 AND prob > 0.5 THEN 'TP' WHEN isRecurring = 0 A
 
 @register("confusion_type", f"SELECT trId, {_CT} AS result_type FROM scored", views=("scored",))
 def q_confusion(spark, sf):
-    return M.confusion_type(scored(spark, sf), "isRecurring", _PRED).select("trId", "result_type")
+    return M.confusion_type(scored(spark, sf), "isRecurring", _pred()).select("trId", "result_type")
 
 
 @register("mistake_rows", f"SELECT trId, result_type FROM (SELECT trId, {_CT} AS result_type FROM scored) WHERE result_type IN ('FP', 'FN')",
           views=("scored",))
 def q_mistakes(spark, sf):
-    return M.mistake_rows(scored(spark, sf), "isRecurring", _PRED).select("trId", "result_type")
+    return M.mistake_rows(scored(spark, sf), "isRecurring", _pred()).select("trId", "result_type")
 
 
 _GRP = "CASE WHEN prob > 0.5 THEN accountId || '_' || counter_party END"
@@ -83,7 +84,7 @@ FROM (SELECT *, CASE WHEN predicted_groups > 0 THEN true_positive_groups / predi
           views=("scored",))
 def q_group_prf(spark, sf):
     d = scored(spark, sf).withColumn("recurring_group_id",
-                                     F.when(_PRED, F.concat_ws("_", "accountId", "counter_party")))
+                                     F.when(_pred(), F.concat_ws("_", "accountId", "counter_party")))
     g = M.group_prf(d)
     g = g.withColumns({"gp": F.col("group_precision"), "gr": F.col("group_recall")})
     return _rd(g, ["group_precision", "group_recall", "group_f1"])
@@ -141,7 +142,7 @@ SELECT count(*) FILTER (WHERE rt = 'FP') AS total_fp, count(*) FILTER (WHERE rt
        count(*) FILTER (WHERE prob < 0.1 AND isRecurring = 1) AS high_conf_fn
 FROM (SELECT *, {_CT} AS rt FROM scored)""", views=("scored",))
 def q_cal_ext(spark, sf):
-    d = M.confusion_type(scored(spark, sf), "isRecurring", _PRED)
+    d = M.confusion_type(scored(spark, sf), "isRecurring", _pred())
     return M.calibration_extremes(d, "prob")
 
 
@@ -208,7 +209,7 @@ SELECT round(p, {R}) AS bcubed_precision, round(r, {R}) AS bcubed_recall,
        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, {R}) AS bcubed_f1 FROM o""", views=("scored",))
 def q_bcubed(spark, sf):
     d = scored(spark, sf).select(
-        F.coalesce(F.when(_PRED, F.concat_ws("_", "accountId", "counter_party")), F.concat(F.lit("n_"), "trId")).alias("pr"),
+        F.coalesce(F.when(_pred(), F.concat_ws("_", "accountId", "counter_party")), F.concat(F.lit("n_"), "trId")).alias("pr"),
         F.coalesce("patternId", F.concat(F.lit("n_"), "trId")).alias("tr"))
     return _rd(M.bcubed(d, "pr", "tr"))
 
@@ -217,7 +218,7 @@ def q_bcubed(spark, sf):
 SELECT round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), {R}) AS cycle_accuracy, count(*) AS detected_true
 FROM (SELECT isRecurring, prob, {_YP} FROM scored) WHERE isRecurring = 1 AND prob > 0.5""", views=("scored",))
 def q_cycle_acc(spark, sf):
-    d = _yp(spark, sf).filter((F.col("isRecurring") == 1) & _PRED)
+    d = _yp(spark, sf).filter((F.col("isRecurring") == 1) & _pred())
     return _rd(d.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("cycle_accuracy"),
                      F.count(F.lit(1)).alias("detected_true")))
 
@@ -258,7 +259,7 @@ SELECT fa.tp AS raw_tp, fa.fp AS raw_fp, fa.fn AS raw_fn, round(fa.p, {R}) AS ra
        round(fb.f, {R}) AS refined_f1, round(fb.p - fa.p, {R}) AS delta_precision, round(fb.r - fa.r, {R}) AS delta_recall,
        round(fb.f - fa.f, {R}) AS delta_f1, fa.fp - fb.fp AS fp_removed FROM fa, fb""", views=("scored",))
 def q_before_after(spark, sf):
-    return _rd(M.before_after(scored(spark, sf), "isRecurring", _PRED, F.col("prob") > 0.6))
+    return _rd(M.before_after(scored(spark, sf), "isRecurring", _pred(), F.col("prob") > 0.6))
 
 
 @register("max_prob_per_row", f"""
