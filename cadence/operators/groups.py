@@ -125,7 +125,7 @@ def density_groups(vec: DataFrame, account: str = "accountId", row_id: str = "ve
 # --- amount splitting ------------------------------------------------------------------
 
 def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_size: int, min_size: int,
-                   mode: str = "widest", abs_thresh: float = 0.0, rel_thresh: float = 0.0,
+                   mode: str = "widest", abs_thresh=0.0, rel_thresh=0.0,
                    max_levels: int = 64) -> DataFrame:
     """Recursive splitting of sorted values into chunks of at most ``max_size``, done
     level by level: every oversize segment picks its split at once.
@@ -139,10 +139,15 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
     candidates come from a one-time skew-aware lag, so each level is one partial
     aggregate (max_by per oversize segment) and one join of the decisions. Returns
     rows with ``chunk`` (start position of the chunk inside the key group).
+    abs_thresh / rel_thresh may name columns (one plan for a grid of settings).
     """
+    thr = [t for t in (abs_thresh, rel_thresh) if isinstance(t, str)]
+    a_t = F.col(abs_thresh) if isinstance(abs_thresh, str) else F.lit(abs_thresh)
+    r_t = F.col(rel_thresh) if isinstance(rel_thresh, str) else F.lit(rel_thresh)
     spark = df.sparkSession
     checkpoint_dir(spark)
-    r = ordered_scan(df.select(*keys, value, row_id), keys, [value, row_id], "_p", lags={"_prev": value})
+    r = ordered_scan(df.select(*keys, *[t for t in thr if t not in keys], value, row_id), keys, [value, row_id],
+                     "_p", lags={"_prev": value})
     n_all = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     r = r.join(n_all, keys).withColumn("_lo", F.lit(0).cast("long")).checkpoint()
     for _ in range(max_levels):
@@ -159,7 +164,7 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
         else:
             denom = F.when(F.abs(F.col("_prev")) > 1e-9, F.abs(F.col("_prev"))).otherwise(F.lit(1.0))
             score = gap / denom
-            allowed = allowed & (gap > abs_thresh) & (score > rel_thresh)
+            allowed = allowed & (gap > a_t) & (score > r_t)
         cand = r.filter(allowed).select(*keys, "_lo", "_n", i.alias("_i"), score.alias("_s"))
         mid = F.col("_n") / 2
         dec = cand.groupBy(*keys, "_lo", "_n").agg(
@@ -170,7 +175,7 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
         j = r.join(dec, [*keys, "_lo", "_n"], "left")
         left = (F.col("_p") - F.col("_lo")) <= F.col("_split")
         r = j.select(
-            *keys, value, row_id, "_p", "_prev",
+            *keys, *[t for t in thr if t not in keys], value, row_id, "_p", "_prev",
             F.when(F.col("_split").isNull(), F.col("_lo")).when(left, F.col("_lo"))
              .otherwise(F.col("_lo") + F.col("_split") + 1).alias("_lo"),
             F.when(F.col("_split").isNull(), F.col("_n")).when(left, F.col("_split") + 1)
