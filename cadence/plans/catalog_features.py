@@ -34,9 +34,9 @@ def q_parse_dates(spark, sf):
 
 @register("cyclical_dates", f"""
 SELECT trId,
-  round(sin({_DOW} * (2 * pi() / 7)), {R}) AS day_of_week_sin, round(cos({_DOW} * (2 * pi() / 7)), {R}) AS day_of_week_cos,
-  round(sin(dayofmonth(date) * (2 * pi() / 31)), {R}) AS day_of_month_sin, round(cos(dayofmonth(date) * (2 * pi() / 31)), {R}) AS day_of_month_cos,
-  round(sin({_C14} * (2 * pi() / 14)), {R}) AS day_of_14_cycle_sin, round(cos({_C14} * (2 * pi() / 14)), {R}) AS day_of_14_cycle_cos
+  round(sin({_DOW} * (2 * pi() / 7)), {R}) + 0.0 AS day_of_week_sin, round(cos({_DOW} * (2 * pi() / 7)), {R}) + 0.0 AS day_of_week_cos,
+  round(sin(dayofmonth(date) * (2 * pi() / 31)), {R}) + 0.0 AS day_of_month_sin, round(cos(dayofmonth(date) * (2 * pi() / 31)), {R}) + 0.0 AS day_of_month_cos,
+  round(sin({_C14} * (2 * pi() / 14)), {R}) + 0.0 AS day_of_14_cycle_sin, round(cos({_C14} * (2 * pi() / 14)), {R}) + 0.0 AS day_of_14_cycle_cos
 FROM txn_events""", views=("txn_events",))
 def q_cyclical(spark, sf):
     d = X.cyclical_dates(txn_events(spark, sf))
