@@ -71,7 +71,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str
         return cold(df)
 
     hot_b = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # <= rows / hot_rows keys
-    tagged = df.join(hot_b, keys, "left")
+    # both routes and the carry table read the input: materialise it once (also keeps
+    # nested scans from multiplying the plan)
+    from cadence.session import checkpoint_dir
+    checkpoint_dir(spark)
+    tagged = df.join(hot_b, keys, "left").checkpoint()
     cold_part = cold(tagged.filter(F.col("_hot").isNull()).drop("_hot"))
     hot_part = tagged.filter(F.col("_hot")).drop("_hot")
 
