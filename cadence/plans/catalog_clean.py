@@ -42,6 +42,21 @@ def q_consolidate_patterns(spark, sf):
     return io.pattern_table(txn(spark, sf))
 
 
+@register("schema_gate", """
+SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, counter_party, patternId, bank_name
+FROM txn WHERE amount >= 0
+UNION ALL
+SELECT trId, accountId, date, amount, bankRawDescription, isRecurring,
+       NULL AS counter_party, NULL AS patternId, NULL AS bank_name
+FROM txn WHERE amount < 0""")
+def q_schema_gate(spark, sf):
+    t = txn(spark, sf)
+    full = t.filter("amount >= 0")                   # required + optional + bank kept
+    bare = t.filter("amount < 0").select(*C.REQUIRED)  # required only: optional become NULL
+    broken = t.drop("date")                          # lacks a required column: skipped
+    return C.union_files(C.schema_gate([full, bare, broken]))
+
+
 @register("bank_from_path", """
 SELECT DISTINCT bank_name || '_DTransaction_2024.csv' AS file_name, bank_name AS bank FROM txn""")
 def q_bank_from_path(spark, sf):

@@ -1,11 +1,14 @@
 """Lexical detector queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadence.plans import lexical
+from cadence.operators.text_cluster import text_cluster, tfidf_postings
 from cadence.plans.catalog import register
 from cadence.plans.sqlfrag import (HEURISTIC, candidate_features_select, days, detector_text,
                                     tfidf_cluster_ctes, windows_cte)
+from cadence.schema import Cols
 from cadence.sources.fixtures import txn
 
 _R = 6
@@ -69,3 +72,32 @@ FROM txn t LEFT JOIN (SELECT m.trId, acc.group_id FROM mem m JOIN acc USING (acc
   ON t.trId = a.trId""")
 def q_detect_recurring(spark, sf):
     return lexical.detect_recurring(txn(spark, sf)).select("trId", "recurring_group_id")
+
+
+_WIN_TEXTS = windows_cte() + f""",
+texts AS (SELECT *, {detector_text('bankRawDescription')} AS _text FROM wins),
+tl AS (SELECT *, avg(length(_text)) OVER (PARTITION BY accountId, win) AS _win_text_len FROM texts),
+""" + tfidf_cluster_ctes().strip()
+
+
+def _win_texts(spark, sf):
+    c = Cols()
+    t = txn(spark, sf).select(c.accountId, c.trId, c.date, c.amount, c.text)
+    return lexical._windowed(t, c, 200, 2, None)
+
+
+@register("tfidf_char_wb", "WITH RECURSIVE " + _WIN_TEXTS + """
+SELECT accountId, win, _text AS text, gram, round(w, 6) AS w FROM post""")
+def q_tfidf_char_wb(spark, sf):
+    w = _win_texts(spark, sf)
+    docs = (w.groupBy(*lexical.WIN, "_text").agg(F.count(F.lit(1)).alias("m"))
+             .withColumn("n_docs", F.sum("m").over(Window.partitionBy(*lexical.WIN))))
+    post = tfidf_postings(docs, lexical.WIN, "_text")
+    return post.select(*lexical.WIN, F.col("_text").alias("text"), "gram", F.round("w", 6).alias("w"))
+
+
+@register("text_cluster", "WITH RECURSIVE " + _WIN_TEXTS + """
+SELECT trId, cluster FROM clus""")
+def q_text_cluster(spark, sf):
+    w = _win_texts(spark, sf)
+    return text_cluster(w, lexical.WIN, "_text", "bankRawDescription", "trId").select("trId", "cluster")
