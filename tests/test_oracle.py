@@ -19,6 +19,7 @@ FAST = [
     "class_report", "macro_ap", "bcubed", "candidate_pairs", "candidate_pairs_ext", "pairwise_groups",
     "connected_components", "logic_gates", "refine_by_cycle", "density_groups", "recover_missed",
     "group_split", "ratio_split", "learning_curve", "top_mistakes", "run_trends", "feature_pipeline",
+    "schema_gate", "tfidf_char_wb", "text_cluster", "row_functions", "group_functions", "pipeline_hooks",
 ]
 
 
