@@ -126,7 +126,7 @@ def density_groups(vec: DataFrame, account: str = "accountId", row_id: str = "ve
 
 def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_size: int, min_size: int,
                    mode: str = "widest", abs_thresh=0.0, rel_thresh=0.0,
-                   max_levels: int = 64) -> DataFrame:
+                   max_levels: int | None = None) -> DataFrame:
     """Recursive splitting of sorted values into chunks of at most ``max_size``, done
     level by level: every oversize segment picks its split at once.
 
@@ -140,6 +140,7 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
     aggregate (max_by per oversize segment) and one join of the decisions. Returns
     rows with ``chunk`` (start position of the chunk inside the key group).
     abs_thresh / rel_thresh may name columns (one plan for a grid of settings).
+    Levels run until no segment splits; ``max_levels`` is a safety limit that raises.
     """
     thr = [t for t in (abs_thresh, rel_thresh) if isinstance(t, str)]
     a_t = F.col(abs_thresh) if isinstance(abs_thresh, str) else F.lit(abs_thresh)
@@ -150,7 +151,11 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
                      "_p", lags={"_prev": value})
     n_all = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     r = r.join(n_all, keys).withColumn("_lo", F.lit(0).cast("long")).checkpoint()
-    for _ in range(max_levels):
+    level = 0
+    while True:
+        level += 1
+        if max_levels is not None and level > max_levels:
+            raise RuntimeError(f"split_segments: still splitting after {max_levels} levels")
         i = F.col("_p") - F.col("_lo") - 1          # split index i: left part ends at local i
         n = F.col("_n")
         start0, end0 = F.lit(min_size - 1), n - min_size
