@@ -78,8 +78,8 @@ def amount_islands(df: DataFrame, cols: Cols = Cols(), gap_abs: float = 1.0, gap
     size = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_isz")).filter(F.col("_isz") >= min_size)
     med = exact_quantiles(s.join(size.select(*keys), keys, "left_semi"), keys, c.amount, [0.5],
                           ["cluster_seed_amount"], hot_rows)
-    out = s.join(size.select(*keys), keys).join(med, keys)
-    return out.withColumn("global_group_id", group_key(F.col(c.accountId), F.col("cluster_seed_amount")))
+    med = med.withColumn("global_group_id", group_key(F.col(c.accountId), F.col("cluster_seed_amount")))
+    return s.join(size.select(*keys), keys).join(med, keys)
 
 
 def _band(x):
@@ -115,10 +115,11 @@ def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0
     per = mem.groupBy(c.accountId, "seed").agg(F.count(F.lit(1)).alias("_m"), F.max(c.amount).alias("_hi"))
     per = per.filter(F.col("_m") >= min_bin_size)
     per = ordered_scan(per, [c.accountId], ["seed"], None, maxes={"_prev_hi": "_hi"}, hot_rows=hot_rows)
-    kept = per.filter(F.col("_prev_hi").isNull() | (F.col("_hi") > F.col("_prev_hi"))).select(c.accountId, "seed")
-    out = mem.join(kept, [c.accountId, "seed"]).select(c.accountId, c.trId, c.amount, "seed")
-    return out.withColumn("global_group_id", group_key(F.col(c.accountId), F.col("seed"))) \
-              .withColumnRenamed("seed", "cluster_seed_amount")
+    kept = per.filter(F.col("_prev_hi").isNull() | (F.col("_hi") > F.col("_prev_hi"))).select(
+        c.accountId, "seed", group_key(F.col(c.accountId), F.col("seed")).alias("global_group_id"))
+    # the key is formatted once per kept seed, not once per (row, seed) membership
+    out = mem.join(kept, [c.accountId, "seed"])
+    return out.select(c.accountId, c.trId, c.amount, F.col("seed").alias("cluster_seed_amount"), "global_group_id")
 
 
 def sequence_windows(df: DataFrame, series: list[str], fields: list[str], cols: Cols = Cols(),
