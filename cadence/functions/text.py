@@ -126,22 +126,25 @@ def fixed2(x) -> Column:
     exact ties), as C printf / Python do. Java's %.2f rounds the shortest decimal text
     half-up instead (10286.175 -> 10286.18 although the double is just below .175).
 
-    |x| = N / 2^k exactly with N, k integers (N < 2^55), so the cents and the remainder
-    come from exact long arithmetic.
+    100·|x| is split exactly into h + lo (Dekker's product: 100 fits in 26 bits, |x| is
+    split into two 26-bit halves), so the distance of the exact product to the tie
+    ``floor(h) + 0.5`` has the sign of ``(h - floor(h) - 0.5) + lo``: each step is exact
+    below 2^46 and a rounded sum keeps the sign of the exact one. Small expression
+    tree, no repeated sub-trees, so it stays cheap in generated code.
     """
     v = _c(x).cast("double")
     ax = F.abs(v)
-    k = (F.lit(53) - F.floor(F.log2(ax))).cast("int")
-    n = (ax * F.pow(F.lit(2.0), k)).cast("long")
-    d = F.pow(F.lit(2.0), k).cast("long")
-    t = n * 100
-    rem = t % d
-    q = ((t - rem) / d).cast("long")  # exact: t - rem is a multiple of d
-    up = (rem * 2 > d) | ((rem * 2 == d) & (q % 2 == 1))
-    cents = F.when(ax < 1e-4, F.lit(0).cast("long")).otherwise(q + up.cast("long"))
-    body = F.concat(((cents - cents % 100) / 100).cast("long").cast("string"), F.lit("."),
-                    F.lpad((cents % 100).cast("string"), 2, "0"))
-    exact = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body)
+    h = ax * 100.0
+    t = ax * 134217729.0                      # 2^27 + 1
+    a_hi = t - (t - ax)
+    lo = (a_hi * 100.0 - h) + (ax - a_hi) * 100.0
+    q = F.floor(h)
+    d = (h - q - 0.5) + lo
+    cents = q + F.when(d > 0, 1).when(d < 0, 0).otherwise(q % 2)
+    body = F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), (cents % 100).cast("int"))
+    # a negative zero prints as -0.00; its text form is the cheap tell (zeros only)
+    neg = (v < 0) | ((v == 0) & v.cast("string").startswith("-"))
+    exact = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body)
     # beyond 2^46 every double is a multiple of 1/64: the plain formatter is exact there
     return F.when(v.isNull(), F.lit(None)).when(ax >= 2.0 ** 46, F.format_string("%.2f", v)).otherwise(exact)
 

@@ -14,7 +14,9 @@ from cadence.operators.pairs import _lcs_len, indel_ratio, token_sort_ratio
 
 def test_fixed2_matches_python(spark):
     random.seed(1)
-    vals = [-10286.175, 0.125, 2.675, 1.005, -0.001, 19.995] + [round(random.uniform(-1e5, 1e5), 3) for _ in range(3000)]
+    vals = [-10286.175, 0.125, 2.675, 1.005, -0.001, 19.995, -0.0, 0.0, 0.015, 999999.995, 123456789.375,
+            2.0 ** 46 - 0.01, 2.0 ** 45 + 0.125] + [round(random.uniform(-1e5, 1e5), 3) for _ in range(3000)]
+    vals += [random.uniform(-1e12, 1e12) for _ in range(2000)] + [random.randint(-10 ** 7, 10 ** 7) / 8 for _ in range(1000)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(fixed2("x")).collect()]
     assert got == [f"{v:.2f}" for v in vals]
