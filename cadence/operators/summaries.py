@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cadence.operators.ordered import exact_quantiles, ordered_positions
 from cadence.operators.windows import days_between
 from cadence.schema import Cols
+from cadence.session import materialize
 
 
 def group_mode(df: DataFrame, keys: list[str], col: str, out: str = "mode") -> DataFrame:
@@ -47,6 +48,8 @@ def group_candidate_features(rows: DataFrame, keys: list[str], prob: str = "prob
     cycle std is -1 for a single row and 0 with one gap; cycle median is 0 for a single row.
     """
     c = cols
+    # four branches read the rows: run the upstream plan once
+    rows = materialize(rows.select(*keys, prob, c.amount, c.text, c.date, c.trId, c.label))
     base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("size"),
         F.avg(prob).alias("confidence"),
@@ -73,6 +76,8 @@ def group_summary(rows: DataFrame, keys: list[str], prob: str = "prob", threshol
     """Per recurring group: mode description, median amount, median cycle (0 if one row),
     mean confidence, is_recurring = confidence >= threshold."""
     c = cols
+    # four branches read the rows: run the upstream plan once
+    rows = materialize(rows.select(*keys, prob, c.amount, c.text, c.date, c.trId))
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(prob).alias("confidence"))
     med = exact_quantiles(rows, keys, c.amount, [0.5], ["amount_stats"], hot_rows)
     mode = group_mode(rows, keys, c.text, "description")

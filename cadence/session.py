@@ -55,6 +55,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For inputs that an operator consumes several times (aggregate, ranked positions,
+    mode, gaps): the upstream plan, often a chain of shuffle joins, then runs once
+    instead of once per branch, and the lineage is cut (lost executors re-read files).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     v = spark.conf.get(key, None)
     return int(v) if v not in (None, "") else default
