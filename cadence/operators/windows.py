@@ -83,10 +83,16 @@ def amount_islands(df: DataFrame, cols: Cols = Cols(), gap_abs: float = 1.0, gap
 
 
 def _band(x):
-    """Monotone map where one unit is at least the seed tolerance max(1, 5% |x|)."""
+    """Monotone map in which a row within the seed tolerance max(1, 5% |seed|) lies
+    less than one unit from its seed.
+
+    Unscaled, the farthest member is log(1/0.95)/log(1.05) = 1.0513 units away (1.0 in
+    the linear part below 20, ~1.006 across the joint); dividing by 1.06 brings every
+    distance below 1, so a member's bucket is the seed's bucket or a neighbour.
+    """
     m = F.abs(x)
     h = F.when(m < 20, m).otherwise(20 + F.log(m / 20) / math.log(1.05))
-    return F.signum(x) * h
+    return F.signum(x) * h / 1.06
 
 
 def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0, tol_pct: float = 0.05,
@@ -96,7 +102,8 @@ def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0
     member set is inside the set of an earlier kept seed. A row may be in several groups.
 
     Band join: rows and seeds meet on (account, band bucket) of a monotone map in which
-    the tolerance is at most ~1.1 units, probing 5 buckets per seed, then the exact test.
+    every member lies within one unit of its seed, probing 3 buckets per seed, then the
+    exact test.
     Member sets are amount intervals whose both ends grow with the seed, so "subset of
     an earlier set" is "largest member amount <= running max of earlier ones".
     """
@@ -108,8 +115,8 @@ def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0
     c = cols
     rows = df.select(c.accountId, c.trId, c.amount).withColumn("_b", F.floor(_band(F.col(c.amount))).cast("long"))
     seeds = df.select(c.accountId, F.round(c.amount, 2).alias("seed")).distinct()
-    probes = seeds.withColumn("_b", F.explode(F.sequence(F.floor(_band(F.col("seed"))).cast("long") - 2,
-                                                         F.floor(_band(F.col("seed"))).cast("long") + 2)))
+    probes = seeds.withColumn("_b", F.explode(F.sequence(F.floor(_band(F.col("seed"))).cast("long") - 1,
+                                                         F.floor(_band(F.col("seed"))).cast("long") + 1)))
     d = F.abs(F.col(c.amount) - F.col("seed"))
     mem = probes.join(rows, [c.accountId, "_b"]).filter((d <= tol_abs) | (d <= F.abs(F.col("seed")) * tol_pct))
     per = mem.groupBy(c.accountId, "seed").agg(F.count(F.lit(1)).alias("_m"), F.max(c.amount).alias("_hi"))
