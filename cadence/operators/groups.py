@@ -151,6 +151,7 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
                      "_p", lags={"_prev": value})
     n_all = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     r = r.join(n_all, keys).withColumn("_lo", F.lit(0).cast("long")).checkpoint()
+    done: list[DataFrame] = []
     level = 0
     while True:
         level += 1
@@ -179,13 +180,22 @@ def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_
             break
         j = r.join(dec, [*keys, "_lo", "_n"], "left")
         left = (F.col("_p") - F.col("_lo")) <= F.col("_split")
-        r = j.select(
+        j = j.select(
             *keys, *[t for t in thr if t not in keys], value, row_id, "_p", "_prev",
+            F.col("_split").isNotNull().alias("_cut"),
             F.when(F.col("_split").isNull(), F.col("_lo")).when(left, F.col("_lo"))
              .otherwise(F.col("_lo") + F.col("_split") + 1).alias("_lo"),
             F.when(F.col("_split").isNull(), F.col("_n")).when(left, F.col("_split") + 1)
-             .otherwise(F.col("_n") - F.col("_split") - 1).alias("_n")).checkpoint()
-    return r.select(*keys, value, row_id, F.col("_lo").alias("chunk"), F.col("_n").alias("chunk_size"))
+             .otherwise(F.col("_n") - F.col("_split") - 1).alias("_n"))
+        # a segment that did not split now never will (its decision reads only its own
+        # rows), and one at most max_size is final: those rows leave the loop as a join of
+        # this level's inputs; only rows of oversize new segments are written and go on
+        done.append(j.filter(~F.col("_cut") | (F.col("_n") <= max_size)).drop("_cut"))
+        r = j.filter(F.col("_cut") & (F.col("_n") > max_size)).drop("_cut").checkpoint()
+    out = r
+    for d in done:
+        out = out.unionByName(d)
+    return out.select(*keys, value, row_id, F.col("_lo").alias("chunk"), F.col("_n").alias("chunk_size"))
 
 
 def chunk_listing(chunks: DataFrame, keys: list[str], value: str) -> DataFrame:
