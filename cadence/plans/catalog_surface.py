@@ -4,6 +4,7 @@ functions and caller-supplied pipeline steps, all as native expressions."""
 from pyspark.sql import functions as F
 
 from cadence.functions import text as T
+from cadence.operators.summaries import group_mode
 from cadence.plans.catalog import register
 from cadence.plans.hooks import run_pipeline
 from cadence.plans.sqlfrag import clean_description, keyword
@@ -23,19 +24,22 @@ def q_row_functions(spark, sf):
 
 
 @register("group_functions", """
-WITH cp AS (SELECT accountId, counter_party, count(*) AS c FROM txn GROUP BY accountId, counter_party),
+WITH cp AS (SELECT accountId, counter_party, count(*) AS c FROM txn WHERE counter_party IS NOT NULL
+            GROUP BY accountId, counter_party),
 top AS (SELECT accountId, counter_party FROM (
           SELECT *, row_number() OVER (PARTITION BY accountId ORDER BY c DESC, counter_party) AS r FROM cp)
         WHERE r = 1),
 ag AS (SELECT accountId, round(avg(amount), 6) AS amount_mean, round(max(amount) - min(amount), 6) AS amount_range
        FROM txn GROUP BY accountId)
-SELECT ag.*, top.counter_party AS top_counter_party FROM ag JOIN top USING (accountId)""")
+SELECT ag.*, top.counter_party AS top_counter_party FROM ag LEFT JOIN top USING (accountId)""")
 def q_group_functions(spark, sf):
-    # mode's buffer holds distinct values of the group, not its rows
-    return txn(spark, sf).groupBy("accountId").agg(
+    t = txn(spark, sf)
+    stats = t.groupBy("accountId").agg(
         F.round(F.avg("amount"), 6).alias("amount_mean"),
-        F.round(F.max("amount") - F.min("amount"), 6).alias("amount_range"),
-        F.mode("counter_party", deterministic=True).alias("top_counter_party"))
+        F.round(F.max("amount") - F.min("amount"), 6).alias("amount_range"))
+    # two partial aggregates (count per value, then min_by): no task holds all distinct
+    # values of a hot account, as a single mode() buffer would
+    return stats.join(group_mode(t, ["accountId"], "counter_party", "top_counter_party"), "accountId", "left")
 
 
 @register("pipeline_hooks", """
