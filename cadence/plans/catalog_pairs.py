@@ -7,6 +7,7 @@ from cadence.operators import groups as G
 from cadence.operators import metrics as M
 from cadence.operators import pairs as P
 from cadence.operators import windows as W
+from cadence.operators.ordered import exact_quantiles
 from cadence.plans.catalog import register
 from cadence.sources import io
 from cadence.sources.fixtures import scored, txn, vectors
@@ -293,7 +294,7 @@ def _rec_inputs(spark, sf, threshold):
                           .withColumn("grp", F.col("vec_id") % 4)
     acc = v.filter(F.col("vec_id") % 3 != 0)
     cen = P.centroids(acc, ["accountId", "grp"])
-    med = acc.groupBy("accountId", "grp").agg(F.median("amount").alias("amt_median"))
+    med = exact_quantiles(acc, ["accountId", "grp"], "amount", [0.5], ["amt_median"])  # skew-safe median
     groups = cen.join(med, ["accountId", "grp"]).withColumnRenamed("grp", "group_id")
     cand = v.filter(F.col("vec_id") % 3 == 0)
     return P.recover_missed(cand, groups, distance=threshold)
