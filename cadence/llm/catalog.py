@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadence.llm import curriculum, html_extract, language_id, pii, piece_bpe
 from cadence.llm.minhash_dedup import minhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_minhash_dedup")
 def op6(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op3_curriculum_mix", curriculum.ORACLE)
+def op3(spark, sf_dir):
+    return curriculum.plan(table(spark, sf_dir, "documents")).drop("positions")
+
+
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pii_crf")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs))
+
+
+@query("op8_piece_bpe")
+def op8(spark, sf_dir):
+    return piece_bpe.encode_texts(table(spark, sf_dir, "documents"), piece_bpe.default_model(), digest=True)
+
+
+@query("op9_html_extract")
+def op9(spark, sf_dir):
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))

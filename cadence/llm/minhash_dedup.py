@@ -6,8 +6,9 @@
    32 bands of 4, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 3. Links are confirmed on the full sets. A bucket is not expanded into its pairs: hub rounds
    test each member against one hub, the links merge components, and buckets that lie inside
-   one component are done. What is left, pairs of different components, is tested pair by pair,
-   each in the first bucket it shares, so no link that could join two components is skipped.
+   one component are done. The sets of the other buckets are joined on their rarest shingles
+   (a prefix filter, without loss), and pairs of different components are tested one by one, so
+   no link that could join two components is skipped.
 
 Defined results: null or empty texts and texts without words have no shingles and stay alone.
 Repeated rows give repeated result rows; rows of one doc_id with different texts are judged each
@@ -29,6 +30,9 @@ from cadence.llm.superminhash import signatures
 from cadence.llm.wordhash import chunks, hash_words, mix, shingles
 
 _U = np.uint64
+SMALL_PAIRS = 250_000  # 4 MB of ids
+SMALL_BUCKET = 16
+FREQUENT = 50_000  # shingles put last in the order; any list gives the same links
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -68,7 +72,7 @@ def _profiler(width: int, bins: int, rows: int):
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]),
                                              pa.array(keys.ravel())),
                     pa.array([row.tobytes() for row in cheap], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "bands", "cheap"])
+                    names=["doc_id", "n_shingles", "digest", "bands", "cheap"])
     return run
 
 
@@ -83,7 +87,7 @@ def _setter(width: int):
                 sets = _sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(s) for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "members"])
     return run
 
 
@@ -116,41 +120,81 @@ def _linked(percent: int):
     return run
 
 
-def _tested(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Links among candidate pairs (a, b): sizes first, signatures next, full sets last."""
+def _counted(it):
+    """Shingles that are frequent within a batch, with their counts."""
+    for b in it:
+        sets = b.column(1).to_pylist()
+        value, n = np.unique(np.frombuffer(b"".join(sets), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value[n > 3]), pa.array(n[n > 3].astype(np.int64))], names=["shingle", "n"])
+
+
+def _prefixes(order, percent: int):
+    """The first shingles of each set: by hash, those of ``order`` (sorted) after all others."""
+    def run(it):
+        late = order.value
+        for b in it:
+            nodes, labels, sizes, out = [], [], [], []
+            for node, label, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                m = np.frombuffer(m, _U)
+                if len(late):
+                    is_late = late[np.minimum(np.searchsorted(late, m), len(late) - 1)] == m
+                    m = np.concatenate((m[~is_late], m[is_late]))
+                k = len(m) - -(-percent * len(m) // 100) + 1
+                out.append(m[:k])
+                nodes.append(np.full(k, node))
+                labels.append(np.full(k, label))
+                sizes.append(np.full(k, len(m)))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, labels, sizes)]
+                    + [pa.array(np.concatenate(out).view(np.int64))], names=["node", "label", "n", "shingle"])
+    return run
+
+
+def _near(pairs: DataFrame, info: DataFrame, percent: int, bins: int) -> DataFrame:
+    """Candidate pairs (a, b) whose sizes and signatures allow a link, as a stored table."""
     # 6 standard deviations of the signature's agreement below the threshold
     p = percent / 100
     least = max(1, int(bins * (p - 6 * (p * (1 - p) / bins) ** 0.5)))
-    side = lambda t, c, *cols: t.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
-    near = (pairs.join(side(info, "a", "n_shingles", "cheap"), "a").join(side(info, "b", "n_shingles", "cheap"), "b")
-            .filter(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-            .select("a", "b", "cheap_a", "cheap_b").mapInArrow(_agreeing(least), "a binary, b binary"))
-    full = (near.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
-            .select("a", "b", "members_a", "members_b"))
-    return full.mapInArrow(_linked(percent), "a binary, b binary")
+    side = lambda c: info.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("cheap").alias(f"s_{c}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b")
+                  .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                  .select("a", "b", "s_a", "s_b").mapInArrow(_agreeing(least), "a long, b long"), "near")
+
+
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among ``near`` pairs, on full sets. Up to SMALL_PAIRS pairs of ids are broadcast to the sets."""
+    few = near.count() <= SMALL_PAIRS
+    with_a = sets.withColumnsRenamed({"node": "a", "members": "members_a"}).join(F.broadcast(near) if few else near, "a")
+    with_b = sets.withColumnsRenamed({"node": "b", "members": "members_b"})
+    if few:
+        with_b = with_b.join(F.broadcast(near.select("b").distinct()), "b", "left_semi")
+    return (with_a.join(with_b, "b").select("a", "b", "members_a", "members_b")
+            .mapInArrow(_linked(percent), "a long, b long"))
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5,
-                  percent: int = 80, bins: int = 128, rows: int = 4, hub_rounds: int = 3) -> DataFrame:
+                  percent: int = 80, bins: int = 128, rows: int = 4, hub_rounds: int = 2) -> DataFrame:
     """Return doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     ``width`` words per shingle, links at ``percent`` / 100 Jaccard similarity or more.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prof = stored(base.mapInArrow(_profiler(width, bins, rows),
-                                  "doc_id long, n_shingles long, node binary, bands array<long>, cheap binary"),
+                                  "doc_id long, n_shingles long, digest binary, bands array<long>, cheap binary"),
                   "profiles")
-    # a node is a distinct set, named by its digest; its smallest doc_id stands for it
-    nodes = stored(prof.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
-                   .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "cheap")).alias("r")).select("node", "r.*"),
-                   "nodes")
+    # a node is a distinct set; its smallest doc_id stands for it. The number is fixed by the stored table
+    nodes = stored(prof.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
+                   .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "cheap")).alias("r"))
+                   .select(F.monotonically_increasing_id().alias("node"), "digest", "r.*"), "nodes")
     post = nodes.select("node", F.explode("bands").alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     post = stored(post.join(shared, "key"), "postings")
     degree = post.groupBy("node").agg(F.sum("size").alias("degree"))
     info = stored(nodes.join(degree, "node"), "info")
     sets = stored(base.join(info.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
-                  .mapInArrow(_setter(width), "node binary, members binary").dropDuplicates(["node"]), "sets")
+                  .mapInArrow(_setter(width), "digest binary, members binary").dropDuplicates(["digest"])
+                  .join(info.select("digest", "node"), "digest").select("node", "members"), "sets")
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after contracting the components of new links."""
@@ -160,42 +204,55 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return stored(labels.join(comp.withColumnRenamed("node", "label"), "label", "left")
                       .select("node", F.coalesce("component", "label").alias("label")), "merged")
 
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """Postings of the buckets that hold several components."""
+        named = post.join(labels, "node")
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        return stored(named.join(mixed.select("key"), "key").select("key", "node", "label", "size"), "active")
+
     labels = info.select("node", F.col("node").alias("label"))
-    active = post.select("key", "node", F.col("node").alias("label"))
+    active = post.withColumn("label", F.col("node"))
+    tested = None
     for r in range(hub_rounds):
-        rank = F.struct("degree", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
-        ranked = active.join(info.select("node", "degree"), "node") if r == 0 else active
-        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("node", "label"), rank).alias("h"))
-        pairs = (active.join(hubs, "key").filter(F.col("label") != F.col("h.label"))
+        if r:
+            large = active.filter(F.col("size") > SMALL_BUCKET)
+            hubs = large.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(r))).alias("h"))
+        else:
+            large = active
+            hubs = (active.join(info.select("node", "degree"), "node").groupBy("key")
+                    .agg(F.max_by(F.struct("node", "label"), F.struct("degree", "node")).alias("h")))
+        pairs = (large.join(hubs, "key").filter(F.col("label") != F.col("h.label"))
                  .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
                  .distinct())
-        labels = merged(labels, _tested(pairs, info, sets, percent, bins))
-        named = post.select("key", "node").join(labels, "node")
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        active = stored(named.join(mixed.select("key"), "key").select("key", "node", "label"), "active")
-        if active.isEmpty():
+        near = _near(pairs, info, percent, bins)
+        tested = near if tested is None else tested.unionByName(near)
+        labels = merged(labels, _links(near, sets, percent))
+        active = unsettled(labels)
+        if active.filter(F.col("size") > SMALL_BUCKET).isEmpty():
             break
 
-    # all pairs of different components that are left, each in the first bucket it shares
-    one = active.join(info.select("node", "bands", "n_shingles"), "node")
-    x, y = (one.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "label", "bands", "n_shingles")))
-            for s in "xy")
-    first_shared = F.expr("element_at(filter(zip_with(bands_x, bands_y, (p, q) -> if(p = q, p, null)), "
-                          "v -> v is not null), 1)")
-    rest = (x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("node_x") < F.col("node_y"))
+    # what is left: pairs of different components. Sets at the threshold share a shingle among the first
+    # n - ceil(threshold * n) + 1 of any fixed order; frequent shingles come last in it
+    left = active.select("node", "label").distinct()
+    frequent = (sets.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+                .orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow().column(0).to_numpy())
+    order = base.sparkSession.sparkContext.broadcast(np.sort(frequent.view(_U)))
+    first = (sets.join(left, "node").select("node", "label", "members")
+             .mapInArrow(_prefixes(order, percent), "node long, label long, n long, shingle long"))
+    x, y = (first.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "shingle"))) for s in "xy")
+    rest = (x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & (F.col("node_x") < F.col("node_y"))
                    & (F.col("label_x") != F.col("label_y"))
-                   & (100 * F.least("n_shingles_x", "n_shingles_y")
-                      >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
-                   & (first_shared == F.col("key_x")))
-            .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
-    labels = merged(labels, _tested(rest, info, sets, percent, bins))
-
-    group = (nodes.select("node", "doc_id").join(labels, "node", "left")
-             .select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+                   & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+            .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+    near = _near(rest.join(tested, ["a", "b"], "left_anti"), info, percent, bins)
+    labels = merged(labels, _links(near, sets, percent))
+
+    group = (nodes.select("node", "digest", "doc_id").join(labels, "node", "left")
+             .select("digest", "doc_id", F.coalesce("label", "node").alias("label")))
     least = group.groupBy("label").agg(F.min("doc_id").alias("least"))
-    named = group.join(least, "label").select(F.col("node").alias("set_node"), "least")
-    out = prof.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("set_node"))
-    return (out.join(named, "set_node", "left")
+    named = group.join(least, "label").select("digest", "least")
+    out = prof.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+    return (out.join(named, "digest", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
