@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import curriculum, html_extract, language_id, pii, piece_bpe
+from cadence.llm import (compact_windows, curriculum, html_extract, language_id, mtree_topk, pii, piece_bpe,
+                         pivot_dedup, warc_audit)
 from cadence.llm.minhash_dedup import minhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,25 @@ def op8(spark, sf_dir):
 @query("op9_html_extract")
 def op9(spark, sf_dir):
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_pivot_dedup", pivot_dedup.ORACLE)
+def op1(spark, sf_dir):
+    return pivot_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_compact_windows")
+def op2(spark, sf_dir):
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_merkle_audit", warc_audit.ORACLE)
+def op4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return warc_audit.audit(warc_audit.tree(warc_audit.leaves(pages)),
+                            warc_audit.tree(warc_audit.leaves(warc_audit.damaged(pages))))
+
+
+@query("op10_mtree_topk", mtree_topk.ORACLE)
+def op10(spark, sf_dir):
+    return mtree_topk.top_k(table(spark, sf_dir, "embeddings"))

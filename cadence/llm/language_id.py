@@ -4,8 +4,8 @@ A first linear model picks the language family, then one-versus-one linear suppo
 inside the family pick the language by votes, ties by summed margins. Features are frequencies of
 character n-grams (1 to 4 bytes of lower-cased text, hashed), taken from every whole text.
 
-Training: at most ``per_class`` labelled texts of each language, those with the smallest hash of
-their id, so the same rows whatever the partitioning. Their features, a bounded matrix, are the
+Training: about ``per_class`` labelled texts of each language (all, if there are fewer), those with the
+smallest hashes, so the same rows whatever the partitioning; repeated rows count once. Their features, a bounded matrix, are the
 only rows that reach the driver. Families are a fixed table; other languages form families of
 their own under "other". Only text and label are learned from.
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadence.llm.wordhash import chunks, mix
 
@@ -67,20 +68,21 @@ def _frequencies(texts: list[str | None]) -> np.ndarray:
     return np.array(rows, np.float32).reshape(-1, BINS)
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, epochs: int = 40) -> tuple[np.ndarray, float]:
-    """Linear SVM (squared hinge, y = +-1, classes weighted equally) by gradient steps with momentum."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+def _fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, y = +-1, both sides weighted equally) by accelerated gradient steps."""
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     xb = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1)
-    w = np.zeros(xb.shape[1])
-    step = 1 / (2 * float((weight[:, None] * xb.astype(np.float64) ** 2).sum()) + reg)
-    prev, t = w.copy(), 1.0
-    for _ in range(epochs * 10):
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z = w + (t - 1) / t2 * (w - prev)
+    step = np.float32(1 / (2 * float(weight @ (xb * xb).sum(axis=1)) + reg))
+    w = np.zeros(xb.shape[1], np.float32)
+    prev, t = w, 1.0
+    for _ in range(steps):
+        ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        z = w + np.float32((t - 1) / ahead) * (w - prev)
         slack = np.maximum(0, 1 - y * (xb @ z))
-        prev, t = w, t2
-        w = z - step * (reg * z - 2 * xb.T @ (weight * y * slack))
-    return w[:-1], float(w[-1])
+        prev, t = w, ahead
+        w = z - step * (np.float32(reg) * z - 2 * ((weight * y * slack) @ xb))
+    return w[:-1].astype(np.float64), float(w[-1])
 
 
 class HierarchicalModel:
@@ -147,15 +149,15 @@ def _has_letter(text: str | None) -> bool:
 
 
 def train(labelled: DataFrame, per_class: int = 400) -> HierarchicalModel:
-    """Fit on at most about ``per_class`` texts of each language (columns key, text, lang).
+    """Fit on about ``per_class`` texts of each language (columns key, text, lang; at most 1000 languages).
 
-    Kept are rows whose hash lies below per_class / (rows of the language), so the sample is
-    bounded and does not depend on the order of rows.
+    Kept are the rows whose hash lies below per_class / (rows of the language).
     """
     usable = labelled.filter("text is not null and lang is not null")
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
     picked = (usable.join(F.broadcast(sizes.orderBy("lang").limit(1000)), "lang")
-              .filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < F.lit(per_class * float(1 << 30)) / F.col("n")))
+              .filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < F.lit(per_class * float(1 << 30)) / F.col("n"))
+              .select("lang", "key", "text").distinct())
 
     def run(it):
         for batch in it:
@@ -172,25 +174,31 @@ def train(labelled: DataFrame, per_class: int = 400) -> HierarchicalModel:
     return HierarchicalModel(langs, x, labels)
 
 
-def identify(docs: DataFrame, model: HierarchicalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, lang_pred, score for every whole text."""
+def identify(docs: DataFrame, model: HierarchicalModel, id_col: str = "doc_id", text_col: str = "text",
+             carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return doc_id, lang_pred, score for every whole text, after the ``carry`` columns (as c_<name>)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x BINS floats
+    base = docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), F.col(id_col).cast("long").alias("doc_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    kept = base.drop("text").schema.fields
+    names = [*(f.name for f in kept), "lang_pred", "score"]
 
     def run(it):
         m = shared.value
         for batch in it:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(carry) + 1).to_pylist()
             langs, scores = [], []
             for a, b in chunks([len(t or "") for t in texts], 1 << 19):
                 part, s = m.predict(texts[a:b])
                 letters = [_has_letter(t) for t in texts[a:b]]
                 langs += [p if ok else UNDETERMINED for p, ok in zip(part, letters)]
                 scores += [float(v) if ok and p != UNDETERMINED else 0.0 for v, p, ok in zip(s, part, letters)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()),
-                                              pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(carry) + 1], pa.array(langs, pa.string()),
+                                              pa.array(scores, pa.float64())],
+                                             names=names)
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return base.mapInArrow(run, schema)
 
 
 def held_out(doc_id) -> F.Column:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -313,31 +314,33 @@ def all_spans(texts: list[str], field: ChainField, margin: float):
 
 
 def find_pii(docs: DataFrame, field: ChainField, id_col: str = "doc_id", text_col: str = "text",
-             margin: float = 4.0, redact: bool = False) -> DataFrame:
-    """Return doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans; with ``redact`` also redacted.
+             margin: float = 4.0, redact: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, after ``carry`` (as c_<name>).
 
-    ``redacted`` is the text with each span (overlaps joined) replaced by <KIND>.
+    With ``redact`` also ``redacted``: the text with each span (overlaps joined) replaced by <KIND>, null for null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # 3 x 4096 x 9 numbers
     joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    base = docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), F.col(id_col).cast("long").alias("doc_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    kept = base.drop("text").schema.fields
+    more = [*(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", *["redacted string"] * redact]
+    names = [*(f.name for f in kept), *(m.split()[0] for m in more)]
 
     def run(it):
         for batch in it:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            raw = batch.column(len(carry) + 1).to_pylist()
+            texts = [t or "" for t in raw]
             found = all_spans(texts, shared.value, margin)
-            cols = [batch.column(0).cast(pa.int64())]
+            cols = list(batch.columns[:len(carry) + 1])
             cols += [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             cols.append(pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()))
             cols.append(pa.array([joined(s) for _, s in found], pa.string()))
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
             if redact:
-                cols.append(pa.array([redacted(t, s) for t, (_, s) in zip(texts, found)], pa.string()))
-                names.append("redacted")
+                cols.append(pa.array([r and redacted(t, s) for r, t, (_, s) in zip(raw, texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-                                "spans string" + (", redacted string" if redact else ""))
+    return base.mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL(", ".join(more)).fields]))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
