@@ -1,11 +1,76 @@
-"""Corpus pipeline (being assembled)."""
+"""Corpus pipeline: language ID, MinHash near-dedup, personal data, source mix, SentencePiece ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
+last return the columns of documents. ``run`` writes every stage's rows and reads them again. Rows
+with a null doc_id pass the first three stages and cannot be placed in the mix. An empty table gives
+an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadence.llm import curriculum, language_id, pii, piece_bpe
+from cadence.llm.minhash_dedup import minhash_dedup
+from cadence.llm.store import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_LANGUAGE_SCORE = 0.2  # a text below it fits none of the learned languages
+
+
+def _documents(rows: DataFrame, **changed) -> DataFrame:
+    return rows.select(*(changed.get(c, F.col(f"c_{c}")).alias(c) for c in COLUMNS))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a determined language; ``lang`` becomes the predicted one."""
+    model = language_id.train(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    found = language_id.identify(docs, model, carry=COLUMNS)
+    fits = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return _documents(found.filter(fits), lang=F.col("lang_pred"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id stays."""
+    dropped = (minhash_dedup(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+               .filter("not kept").select("doc_id"))
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").dropDuplicates().select(*COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by <KIND>; n_chars follows the text."""
+    found = pii.find_pii(docs, pii.train(docs), redact=True, carry=COLUMNS)
+    return _documents(found, text=F.col("redacted"),
+                      n_chars=F.when(F.col("spans") == "", F.col("c_n_chars")).otherwise(F.char_length("redacted").cast("long")))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy that the mix takes, in training order."""
+    placed = (curriculum.plan(docs).filter("taken > 0").select("doc_id", F.explode("positions").alias("position")))
+    rows = docs.select(*COLUMNS).join(placed, "doc_id")
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, and the digest of the text that they decode to."""
+    rows = piece_bpe.encode_texts(docs, piece_bpe.default_model())
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_dedup", dedup_stage),
+    ("pii", pii_stage),
+    ("mix", mix_stage),
+    ("tokens", tokens_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
