@@ -3,8 +3,8 @@
 A streaming pass of the standard library's parser events turns a page into lines, one per block:
 block tags, <br> and the ends of skipped elements start a new line. Each line has its text-to-tag
 ratio (text length over the number of tags inside, links counted by their text). Ratios are
-smoothed with a Gaussian kernel and clustered by a threshold (half of the page's standard deviation,
-weighted by text) into content and boilerplate.
+smoothed with a Gaussian kernel and clustered by a threshold (half of their mean, weighted by text)
+into content and boilerplate; a line counts by its own or its smoothed ratio.
 
 What the markup states itself comes first: scripts, styles, forms, navigation and the like never
 hold text; an <article> or <main> element marks the content region, and lines inside it count as
@@ -158,11 +158,8 @@ def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
     size = np.array([max(0, len(t) - linked) for t, _, linked, _ in lines], float)
     ratio = size / np.array([max(1, tags) for _, tags, _, _ in lines])
     smooth = _smooth(ratio)
-    total = max(size.sum(), 1.0)
-    centre = (smooth * size).sum() / total
-    spread = (((smooth - centre) ** 2 * size).sum() / total) ** 0.5
-    bar = min(max(centre - 2 * spread, 0.5 * float(smooth.std())), float(smooth.max()))
-    return [lines[i][0] for i in np.flatnonzero(smooth >= bar) if size[i] > 0]
+    bar = 0.5 * (smooth * size).sum() / max(size.sum(), 1.0)
+    return [lines[i][0] for i in np.flatnonzero(np.maximum(smooth, ratio) >= bar) if size[i] > 0]
 
 
 def extract(html: str | None) -> str:

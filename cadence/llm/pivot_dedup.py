@@ -1,7 +1,8 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Reference points ("pivots") are a bounded sample: the ``pivots`` rows with the smallest id hashes. A
-vector is described by the ordered list of its ``nearest`` pivots by cosine. The inverted lists are
+Reference points ("pivots") are chosen from a bounded sample, the ``4 * pivots`` rows with the smallest id
+hashes: in that order up to ``pivots`` that lie below cosine ``SPREAD`` to each other, so that a large group
+of copies does not fill the list with near-equal points. A vector is described by the ordered list of its ``nearest`` pivots by cosine. The inverted lists are
 keyed by sets of ``shared`` pivots: two vectors meet in a list exactly when their descriptions share
 at least that many pivots, however many rows there are. Lists of one member are dropped, the others
 are verified in blocks: exact cosines in double precision, each pair counted only in the list of its
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from cadence.llm.store import components, stored
 
 CHUNK = 1024
+SPREAD = 0.8
 
 
 def usable(vec):
@@ -44,6 +46,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    keep = [0]
+    for i in range(1, len(x)):
+        if len(keep) < most and (x[keep] @ x[i]).max() < SPREAD:
+            keep.append(i)
+    return x[keep]
+
+
 def _describe(pivots, nearest: int, shared: int):
     """vec_id -> its nearest pivots (sorted by number) and the keys of its pivot sets."""
     picks = np.array(list(combinations(range(nearest), shared)))
@@ -151,13 +161,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = stored(rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
     fit = rows.filter(usable(F.col("vec")) & F.exists("vec", lambda x: x != 0))
-    sample = fit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vec").toArrow().column(0).to_pylist()
+    sample = fit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).select("vec").toArrow().column(0).to_pylist()
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                         F.lit(True).alias("kept"))
     if not sample:
         return alone
     width = max(map(len, sample))
-    p = _unit(np.array([v for v in sample if len(v) == width]))
+    p = _spread(_unit(np.array([v for v in sample if len(v) == width])), pivots)
     nearest, shared = min(nearest, len(p)), min(shared, len(p))
     described = stored(fit.filter(F.size("vec") == width).select("vec_id", "vec").mapInArrow(
         _describe(rows.sparkSession.sparkContext.broadcast(p), nearest, shared), "vec_id long, near array<int>, keys array<long>"),
