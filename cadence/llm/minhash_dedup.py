@@ -133,7 +133,7 @@ def _prefixes(order, percent: int):
     def run(it):
         late = order.value
         for b in it:
-            nodes, labels, sizes, out = [], [], [], []
+            nodes, labels, sizes, places, out = [], [], [], [], []
             for node, label, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 m = np.frombuffer(m, _U)
                 if len(late):
@@ -144,10 +144,11 @@ def _prefixes(order, percent: int):
                 nodes.append(np.full(k, node))
                 labels.append(np.full(k, label))
                 sizes.append(np.full(k, len(m)))
+                places.append(np.arange(k))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, labels, sizes)]
-                    + [pa.array(np.concatenate(out).view(np.int64))], names=["node", "label", "n", "shingle"])
+                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, labels, sizes, places)]
+                    + [pa.array(np.concatenate(out).view(np.int64))], names=["node", "label", "n", "place", "shingle"])
     return run
 
 
@@ -238,11 +239,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow().column(0).to_numpy())
     order = base.sparkSession.sparkContext.broadcast(np.sort(frequent.view(_U)))
     first = (sets.join(left, "node").select("node", "label", "members")
-             .mapInArrow(_prefixes(order, percent), "node long, label long, n long, shingle long"))
-    x, y = (first.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "shingle"))) for s in "xy")
+             .mapInArrow(_prefixes(order, percent), "node long, label long, n long, place long, shingle long"))
+    x, y = (first.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "place", "shingle"))) for s in "xy")
     rest = (x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & (F.col("node_x") < F.col("node_y"))
                    & (F.col("label_x") != F.col("label_y"))
-                   & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+                   # what two sets can share from their first common shingle on
+                   & ((100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+                      >= percent * (F.col("n_x") + F.col("n_y"))))
             .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     near = _near(rest.join(tested, ["a", "b"], "left_anti"), info, percent, bins)
     labels = merged(labels, _links(near, sets, percent))
