@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.store import stored
-from cadence.llm.wordhash import chunks, hash_words, mix, shingles
+from cadence.llm.wordhash import hash_words, mix, shingles, slices
 
 _U = np.uint64
 DRIFT = 32  # how far inserted and deleted words may shift two passages against each other
@@ -70,24 +70,23 @@ def windows(v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _sequences(batch, width: int):
     """(id, shingle hashes in order) of each text of a batch; texts below one shingle's words are left out."""
-    texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
     ids = batch.column(0).to_pylist()
-    for a, b in chunks([len(t) for t in texts]):
-        h, counts, _, _ = hash_words(texts[a:b])
-        s, per = shingles(h, counts, width)
-        ends = np.cumsum(per)
-        for i, e, n, words in zip(range(a, b), ends, per, counts):
-            if words >= width:
-                yield i, ids[i], s[e - n:e]
+    texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+    h, counts, _, _ = hash_words(texts)
+    s, per = shingles(h, counts, width)
+    ends = np.cumsum(per)
+    for i, e, n, words in zip(ids, ends, per, counts):
+        if words >= width:
+            yield i, s[e - n:e]
 
 
 def _windowed(width: int, least: int, functions: int):
     seeds = mix(np.arange(1, functions + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def run(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, 1)):
             cols = [[] for _ in range(6)]
-            for _, doc, s in _sequences(batch, width):
+            for doc, s in _sequences(batch, width):
                 for f in range(functions):
                     v = mix(s ^ seeds[f])
                     l, c, r = windows(v, least)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm.wordhash import slices
+
 # fixed values: HTML element names by role, and class or id words of boilerplate
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre
@@ -176,7 +178,7 @@ def extract(html: str | None) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Return page_id, url, text, n_chars (code points) for every row."""
     def run(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, 2, 1 << 21)):
             texts = [extract(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.llm.wordhash import chunks, mix
+from cadence.llm.wordhash import slices
 
 # fixed values: ISO 639-1 codes by family
 FAMILIES = {
@@ -40,7 +40,6 @@ FAMILIES = {
 FAMILY_OF = {lang: f for f, langs in FAMILIES.items() for lang in langs}
 UNDETERMINED = "und"
 BINS = 4096
-_U = np.uint64
 
 
 def _lower(text: str | None) -> bytes:
@@ -64,7 +63,7 @@ def _frequencies(texts: list[str | None]) -> np.ndarray:
     rows = []
     for t in texts:
         data = np.frombuffer(_lower(t), np.uint8)
-        rows.append(np.bincount(_grams(data).ravel(), minlength=BINS) / (4 * len(data)))
+        rows.append((np.bincount(_grams(data).ravel(), minlength=BINS) / (4 * len(data))).astype(np.float32))
     return np.array(rows, np.float32).reshape(-1, BINS)
 
 
@@ -93,7 +92,6 @@ class HierarchicalModel:
         fam = [FAMILY_OF.get(lang, "other") for lang in langs]
         self.families = sorted(set(fam))
         self.members = [[i for i, f in enumerate(fam) if f == g] for g in self.families]
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(BINS, np.float32)
         # hellinger scaling spreads the few frequent grams
         z = self._scale(x)
         family_of = np.array([self.families.index(f) for f in fam], int)[labels] if len(labels) else labels
@@ -160,7 +158,7 @@ def train(labelled: DataFrame, per_class: int = 400) -> HierarchicalModel:
               .select("lang", "key", "text").distinct())
 
     def run(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, 1, 1 << 20, BINS)):
             langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
             keep = [i for i, t in enumerate(texts) if _has_letter(t)]
             x = _frequencies([texts[i] for i in keep]).astype(np.float16)
@@ -185,14 +183,13 @@ def identify(docs: DataFrame, model: HierarchicalModel, id_col: str = "doc_id",
 
     def run(it):
         m = shared.value
-        for batch in it:
+        # a text costs one row of BINS frequencies besides its own bytes
+        for batch in (part for whole in it for part in slices(whole, len(carry) + 1, 1 << 20, BINS)):
             texts = batch.column(len(carry) + 1).to_pylist()
-            langs, scores = [], []
-            for a, b in chunks([len(t or "") for t in texts], 1 << 19):
-                part, s = m.predict(texts[a:b])
-                letters = [_has_letter(t) for t in texts[a:b]]
-                langs += [p if ok else UNDETERMINED for p, ok in zip(part, letters)]
-                scores += [float(v) if ok and p != UNDETERMINED else 0.0 for v, p, ok in zip(s, part, letters)]
+            found, s = m.predict(texts)
+            letters = [_has_letter(t) for t in texts]
+            langs = [p if ok else UNDETERMINED for p, ok in zip(found, letters)]
+            scores = [float(v) if ok and p != UNDETERMINED else 0.0 for v, p, ok in zip(s, found, letters)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(carry) + 1], pa.array(langs, pa.string()),
                                               pa.array(scores, pa.float64())],
                                              names=names)

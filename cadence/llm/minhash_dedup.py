@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm.store import components, stored
 from cadence.llm.superminhash import signatures
-from cadence.llm.wordhash import chunks, hash_words, mix, shingles
+from cadence.llm.wordhash import hash_words, mix, shingles, slices
 
 _U = np.uint64
 SMALL_PAIRS = 250_000  # 4 MB of ids
@@ -43,10 +43,8 @@ def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def _batches(batch: pa.RecordBatch):
-    ids = batch.column(0)
-    texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-    for a, b in chunks([len(t) for t in texts]):
-        yield ids.slice(a, b - a), texts[a:b]
+    for part in slices(batch, 1):
+        yield part.column(0), [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
 
 
 def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:

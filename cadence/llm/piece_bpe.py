@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm.wordhash import slices
+
 MARK = "▁"
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 150_000
 CACHE_CHARS = 64
 
 
@@ -81,7 +83,7 @@ class PieceTable:
         key = left, right
         ok = self.pair.get(key)
         if ok is None:
-            if len(self.pair) > 2_000_000:
+            if len(self.pair) > 300_000:
                 self.pair.clear()
             ok = self.pair[key] = self.merged(left + right) == ([left, right] if left else [right])
         return ok
@@ -206,7 +208,7 @@ def _each(model_file: str, digest: bool):
 
     def run(it):
         table = piece_table(model_file)
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, 1, 1 << 21)):
             ids, counts, texts = [], [], []
             for t in batch.column(1).to_pylist():
                 joined, n, text = table.encode(t)

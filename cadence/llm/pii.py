@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadence.llm.wordhash import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH = 2
@@ -128,7 +130,7 @@ def _features(word: str) -> tuple[int, ...]:
         parts = [f"s:{shape}", f"c:{coarse}", f"f:{shape[:2]}", f"e:{shape[-2:]}", f"@:{'@' in shape}", f"+:{shape[:1] == '+'}",
                  f".:{min(shape.count('.'), 4)}", f"-:{min(shape.count('-'), 4)}"]
         got = tuple(zlib.crc32(p.encode()) % DIMS for p in parts)
-        if len(_SHAPES) < 200_000:
+        if len(_SHAPES) < 50_000:
             _SHAPES[shape] = got
     return (*got, zlib.crc32(f"n:{min(digits, 20)}".encode()) % DIMS)
 
@@ -266,7 +268,7 @@ def label_words(text: str, chain: list[tuple[int, int]], spans: list[tuple[str,
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_chains: int = 1500) -> ChainField:
     """Fit on a bounded labelled table: up to ``train_chains`` chains of at most 40 words, smallest hashes first."""
     def run(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, 0, 1 << 21)):
             key, words, labels = [], [], []
             for t in batch.column(0).to_pylist():
                 spans = base_spans(t)
@@ -328,7 +330,7 @@ def find_pii(docs: DataFrame, field: ChainField, id_col: str = "doc_id", text_co
     names = [*(f.name for f in kept), *(m.split()[0] for m in more)]
 
     def run(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, len(carry) + 1, 1 << 21)):
             raw = batch.column(len(carry) + 1).to_pylist()
             texts = [t or "" for t in raw]
             found = all_spans(texts, shared.value, margin)

@@ -53,6 +53,15 @@ def chunks(sizes, limit: int = CHUNK_BYTES):
         yield a, len(sizes)
 
 
+def slices(batch, column: int, limit: int = CHUNK_BYTES, row_cost: int = 64):
+    """Slices of an Arrow batch with about ``limit`` bytes in a text column; a row costs ``row_cost`` besides."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + row_cost
+    for a, b in chunks(sizes.tolist(), limit):
+        yield batch.slice(a, b - a)
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words of a buffer."""
     word = ~_SPACE[data]
