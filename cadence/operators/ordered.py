@@ -81,8 +81,10 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str
 
     # ranges of about hot_rows/4 rows each, at least a few per core
     n_parts = max(spark.sparkContext.defaultParallelism * 2, -(-int(hot_total) // max(1, hot_rows // 4)))
+    # the range number is fixed by the checkpoint: the local scan and the carry table below need
+    # different columns, and an exchange of their own each would sample boundaries of its own
     ranged = (hot_part.repartitionByRange(n_parts, *keys, *order)
-              .withColumn("_rp", F.spark_partition_id()))
+              .withColumn("_rp", F.spark_partition_id()).checkpoint())
     wl = Window.partitionBy(*keys, "_rp").orderBy(*order)
     wl_upto = wl.rowsBetween(Window.unboundedPreceding, 0)
     wl_before = wl.rowsBetween(Window.unboundedPreceding, -1)

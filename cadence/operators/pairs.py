@@ -48,13 +48,12 @@ def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def token_sort_ratio(a, b) -> Column:
-    """Similarity 0-100 of whitespace-token-sorted strings (case-sensitive).
+    """Similarity 0-100 of whitespace-token-sorted strings (case-sensitive), by the Arrow UDF.
 
-    Equal sorted strings short-cut to 100 in the JVM; the rest goes through the Arrow
-    UDF. Callers should apply it to distinct text pairs after cheap JVM filters.
+    Spark evaluates a Python UDF before any CASE around it: callers filter first
+    (see ``scored_text_pairs``).
     """
-    sa, sb = token_sorted(a), token_sorted(b)
-    return F.when(sa == sb, F.lit(100.0)).otherwise(_ratio_udf(sa, sb))
+    return _ratio_udf(token_sorted(a), token_sorted(b))
 
 
 def ratio_upper_bound(a, b) -> Column:
@@ -64,14 +63,17 @@ def ratio_upper_bound(a, b) -> Column:
 
 
 def scored_text_pairs(pairs: DataFrame, t1: str, t2: str, threshold: float = 60.0) -> DataFrame:
-    """Adds ``str_score`` computed once per distinct (t1, t2) text pair, after the exact
-    length prefilter; pairs whose bound is below the threshold get the bound (< threshold)."""
-    distinct = pairs.select(F.col(t1).alias("_a"), F.col(t2).alias("_b")).distinct()
-    bound = ratio_upper_bound(F.col("_a"), F.col("_b"))
-    cand = distinct.withColumn("_bound", bound)
-    scored = cand.withColumn("str_score", F.when(F.col("_bound") >= threshold,
-                                                 token_sort_ratio(F.col("_a"), F.col("_b")))
-                             .otherwise(F.col("_bound"))).select("_a", "_b", "str_score")
+    """Pairs whose texts reach ``threshold``, with ``str_score`` computed once per distinct (t1, t2).
+
+    Equal sorted texts score 100 in the JVM; of the others only those that the exact length
+    bound admits reach the UDF. Pairs below the threshold are dropped.
+    """
+    cand = (pairs.select(F.col(t1).alias("_a"), F.col(t2).alias("_b")).distinct()
+            .withColumn("_same", token_sorted(F.col("_a")).eqNullSafe(token_sorted(F.col("_b")))))
+    same = cand.filter("_same").select("_a", "_b", F.lit(100.0).alias("str_score"))
+    rest = cand.filter(~F.col("_same") & (ratio_upper_bound(F.col("_a"), F.col("_b")) >= threshold))
+    scored = (same.unionByName(rest.select("_a", "_b", token_sort_ratio(F.col("_a"), F.col("_b")).alias("str_score")))
+              .filter(F.col("str_score") >= threshold))
     return pairs.join(scored, (pairs[t1].eqNullSafe(scored["_a"])) & (pairs[t2].eqNullSafe(scored["_b"]))) \
                 .drop("_a", "_b")
 

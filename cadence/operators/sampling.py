@@ -85,22 +85,27 @@ def per_bank_sample(df: DataFrame, min_accounts: int = 850, n_train: int = 750,
     return r.select(bank, account, s.alias("split")).filter(F.col("split").isNotNull())
 
 
-def balanced_window_sample(windows: DataFrame, label: str, n: int, seed: int = 42) -> DataFrame:
-    """Windows drawn with replacement, each class equally likely (weight 1/n_class).
+def balanced_window_sample(windows: DataFrame, label: str, order: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``n`` windows drawn with replacement, the same number from each class (the first classes
+    in order get one more where n does not divide).
 
-    Per class c the Poisson fraction is (n / k) / n_c, so the expected draw is n/k per
-    class; one pass, no driver-side list of windows.
+    Draw d of a class takes the window at position hash(seed, class, d) mod n_class in ``order``:
+    as many draws as asked for, whatever the class size, and the same ones on every run. Adds ``draw``.
     """
-    counts = windows.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    k = counts.count()  # number of classes: a handful of rows
-    j = windows.join(F.broadcast(counts), label)
-    frac = (F.lit(n / max(k, 1)) / F.col("_nc"))
-    # Poisson(frac) copies per window: inverse-transform from a seeded uniform
-    u = F.rand(seed)
-    draws = F.when(u < F.exp(-frac), 0).when(u < F.exp(-frac) * (1 + frac), 1) \
-             .when(u < F.exp(-frac) * (1 + frac + frac * frac / 2), 2).otherwise(3)
-    out = j.withColumn("_k", draws).filter(F.col("_k") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k", "_copy", "_nc")
+    from cadence.operators.ordered import ordered_positions
+    from pyspark.sql import Window
+
+    place = ordered_positions(windows, [label], order, "_at")
+    classes = windows.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    # one row per class
+    classes = (classes.withColumn("_c", F.row_number().over(Window.orderBy(label)))
+               .withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy())))
+    want = F.floor(F.lit(n) / F.col("_k")) + (F.col("_c") <= n % F.col("_k")).cast("long")
+    draws = (classes.withColumn("_n", want).filter("_n > 0")
+             .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10)
+    draws = draws.select(F.col(label), "draw", F.pmod(h.cast("long"), F.col("_nc")).alias("_at"))
+    return place.join(draws, [label, "_at"]).drop("_at")
 
 
 def pair_holdout(pairs: DataFrame, test_frac: float = 0.2, seed: int = 42, by_account: str | None = None) -> DataFrame:

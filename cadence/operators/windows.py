@@ -82,17 +82,17 @@ def amount_islands(df: DataFrame, cols: Cols = Cols(), gap_abs: float = 1.0, gap
     return s.join(size.select(*keys), keys).join(med, keys)
 
 
-def _band(x):
-    """Monotone map in which a row within the seed tolerance max(1, 5% |seed|) lies
-    less than one unit from its seed.
-
-    Unscaled, the farthest member is log(1/0.95)/log(1.05) = 1.0513 units away (1.0 in
-    the linear part below 20, ~1.006 across the joint); dividing by 1.06 brings every
-    distance below 1, so a member's bucket is the seed's bucket or a neighbour.
+def _band(x, tol_abs: float, tol_pct: float):
+    """A monotone map of amounts whose unit is about one tolerance: linear in steps of
+    ``tol_abs`` while that is the wider tolerance, logarithmic in steps of 1 + ``tol_pct`` above.
     """
+    unit = max(tol_abs, 0.01)
     m = F.abs(x)
-    h = F.when(m < 20, m).otherwise(20 + F.log(m / 20) / math.log(1.05))
-    return F.signum(x) * h / 1.06
+    if tol_pct <= 0:
+        return F.signum(x) * m / unit
+    joint = unit / tol_pct
+    h = F.when(m < joint, m / unit).otherwise(joint / unit + F.log(m / joint) / math.log1p(tol_pct))
+    return F.signum(x) * h
 
 
 def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0, tol_pct: float = 0.05,
@@ -101,22 +101,22 @@ def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0
     members are rows with |a - s| <= tol_abs or <= tol_pct*|s|; a seed is dropped if its
     member set is inside the set of an earlier kept seed. A row may be in several groups.
 
-    Band join: rows and seeds meet on (account, band bucket) of a monotone map in which
-    every member lies within one unit of its seed, probing 3 buckets per seed, then the
-    exact test.
+    Band join: rows and seeds meet on (account, band bucket) of a monotone map; a seed probes
+    the buckets from its lowest to its highest possible member (about three, whatever the
+    tolerances), then the exact test.
     Member sets are amount intervals whose both ends grow with the seed, so "subset of
     an earlier set" is "largest member amount <= running max of earlier ones".
     """
-    if tol_abs > 1.0 or tol_pct > 0.05:
-        raise ValueError("band buckets are sized for tol_abs <= 1 and tol_pct <= 5%")
     from cadence.functions.text import group_key
     from cadence.operators.ordered import ordered_scan
 
     c = cols
-    rows = df.select(c.accountId, c.trId, c.amount).withColumn("_b", F.floor(_band(F.col(c.amount))).cast("long"))
+    bucket = lambda x: F.floor(_band(x, tol_abs, tol_pct)).cast("long")
+    rows = df.select(c.accountId, c.trId, c.amount).withColumn("_b", bucket(F.col(c.amount)))
     seeds = df.select(c.accountId, F.round(c.amount, 2).alias("seed")).distinct()
-    probes = seeds.withColumn("_b", F.explode(F.sequence(F.floor(_band(F.col("seed"))).cast("long") - 1,
-                                                         F.floor(_band(F.col("seed"))).cast("long") + 1)))
+    # a hair wider than the tolerance, so that rounding in the map loses no member
+    reach = F.greatest(F.lit(float(tol_abs)), F.abs(F.col("seed")) * tol_pct) * (1 + 1e-9) + 1e-9
+    probes = seeds.withColumn("_b", F.explode(F.sequence(bucket(F.col("seed") - reach), bucket(F.col("seed") + reach))))
     d = F.abs(F.col(c.amount) - F.col("seed"))
     mem = probes.join(rows, [c.accountId, "_b"]).filter((d <= tol_abs) | (d <= F.abs(F.col("seed")) * tol_pct))
     per = mem.groupBy(c.accountId, "seed").agg(F.count(F.lit(1)).alias("_m"), F.max(c.amount).alias("_hi"))

@@ -173,8 +173,8 @@ SELECT trId,
 FROM txn""")
 def q_feature_pipeline(spark, sf):
     t = txn(spark, sf)
-    fp = X.FeaturePipeline(X.FeatureSpec(use_is_positive=True)).fit(t)
-    out = fp.transform(t)
-    cols = fp.columns()
+    fp = X.FeatureSteps([X.date_cycles(), X.date_ids(), X.log_amount(with_sign=True)])
+    out = fp.add_to(t)
+    cols = fp.columns
     return out.select("trId", *[F.round(c, R).alias(c) if out.schema[c].dataType.simpleString() == "double" else F.col(c)
                                 for c in cols])

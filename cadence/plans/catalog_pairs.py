@@ -15,11 +15,13 @@ from cadence.sources.fixtures import scored, txn, vectors
 R = 6
 
 _PAIRS = """
-p AS (SELECT *, row_number() OVER (PARTITION BY accountId ORDER BY amount, date, trId) - 1 AS pos FROM txn),
-pairs AS (
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY accountId ORDER BY amount, date, trId) - 1 AS pos,
+                          CAST(floor(amount / 100) AS BIGINT) AS hundred FROM txn),
+near AS (SELECT *, unnest([hundred - 1, hundred, hundred + 1]) AS meet FROM p),  -- amounts at most 100 apart
+pairs AS MATERIALIZED (
   SELECT a.accountId, a.trId AS trId_1, b.trId AS trId_2, a.amount AS a1, b.amount AS a2, a.date AS d1, b.date AS d2,
          a.patternId AS pat_1, b.patternId AS pat_2, a.bankRawDescription AS txt_1, b.bankRawDescription AS txt_2
-  FROM p a JOIN p b ON a.accountId = b.accountId AND b.pos - a.pos BETWEEN 1 AND 200
+  FROM p a JOIN near b ON a.accountId = b.accountId AND a.hundred = b.meet AND b.pos - a.pos BETWEEN 1 AND 200
   WHERE abs(a.amount - b.amount) <= 100 AND NOT (abs(a.amount - b.amount) > 10 AND abs(a.amount) < 100)),
 feats AS (
   SELECT *, abs(a1 - a2) AS diff_amt, abs(a1 - a2) / (greatest(abs(a1), abs(a2)) + 1e-9) AS rel_diff,
@@ -116,7 +118,7 @@ def q_token_sort(spark, sf):
 
 _DIRWIN = """
 dw AS (SELECT *, CASE WHEN amount > 0 THEN 1 ELSE -1 END AS sign FROM txn),
-dp AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY accountId, sign ORDER BY amount, date, trId) - 1) / 64) AS INTEGER) AS win FROM dw)"""
+dp AS MATERIALIZED (SELECT *, CAST(floor((row_number() OVER (PARTITION BY accountId, sign ORDER BY amount, date, trId) - 1) / 64) AS INTEGER) AS win FROM dw)"""
 
 
 @register("adjacency_truth", "WITH " + _DIRWIN + """
@@ -128,7 +130,7 @@ def q_adjacency(spark, sf):
 
 
 _EDGE_SCORED = "WITH " + _DIRWIN + """,
-e AS (SELECT a.trId AS trId_1, b.trId AS trId_2, a.bankRawDescription AS txt_1, b.bankRawDescription AS txt_2,
+e AS (SELECT a.trId AS trId_1, b.trId AS trId_2, a.bankRawDescription AS txt_1, b.bankRawDescription AS txt_2, a.amount AS amt_1, b.amount AS amt_2,
              CAST(coalesce(a.patternId = b.patternId, false) AS INTEGER) AS truth,
              1.0 / (1.0 + abs(a.amount - b.amount) / 100.0) AS prob
       FROM dp a JOIN dp b ON a.accountId = b.accountId AND a.sign = b.sign AND a.win = b.win AND a.trId < b.trId)"""
@@ -143,7 +145,7 @@ def _edges(spark, sf):
                  F.col("bankRawDescription").alias("txt_2"))
     # all pairs of one direction window: bounded by max_seq_len^2 per window
     e = a.join(b, keys).filter(F.col("trId_1") < F.col("trId_2"))
-    return e.select("trId_1", "trId_2", "txt_1", "txt_2",
+    return e.select("trId_1", "trId_2", "txt_1", "txt_2", F.col("a1").alias("amt_1"), F.col("a2").alias("amt_2"),
                     F.coalesce(F.col("p1") == F.col("p2"), F.lit(False)).cast("int").alias("truth"),
                     (1.0 / (1.0 + F.abs(F.col("a1") - F.col("a2")) / 100.0)).alias("prob"))
 
@@ -188,12 +190,18 @@ def q_best_neighbor(spark, sf):
 
 
 @register("edge_mistakes", _EDGE_SCORED + f"""
-SELECT trId_1, trId_2, truth, round(prob, {R}) AS prob, CASE WHEN length(txt_1) > 25 THEN substr(txt_1, 1, 25) || '..' ELSE txt_1 END AS text_1
-FROM e WHERE CAST(prob > 0.5 AS INTEGER) <> truth AND truth = 1""")
+SELECT trId_1, trId_2, truth, round(prob, {R}) AS prob, CASE WHEN truth = 1 THEN 'missed' ELSE 'false' END AS kind,
+       CASE WHEN length(txt_1) > 25 THEN substr(txt_1, 1, 25) || '..' ELSE txt_1 END AS text_1,
+       CASE WHEN length(txt_2) > 25 THEN substr(txt_2, 1, 25) || '..' ELSE txt_2 END AS text_2,
+       amt_1 AS amount_1, amt_2 AS amount_2
+FROM e WHERE CAST(prob > 0.5 AS INTEGER) <> truth""")
 def q_edge_mistakes(spark, sf):
     from cadence.functions.text import truncate_text
-    e = _edges(spark, sf).filter(((F.col("prob") > 0.5).cast("int") != F.col("truth")) & (F.col("truth") == 1))
-    return e.select("trId_1", "trId_2", "truth", F.round("prob", R).alias("prob"), truncate_text(F.col("txt_1"), 25).alias("text_1"))
+    e = _edges(spark, sf).filter((F.col("prob") > 0.5).cast("int") != F.col("truth"))
+    return e.select("trId_1", "trId_2", "truth", F.round("prob", R).alias("prob"),
+                    F.when(F.col("truth") == 1, "missed").otherwise("false").alias("kind"),
+                    truncate_text(F.col("txt_1"), 25).alias("text_1"), truncate_text(F.col("txt_2"), 25).alias("text_2"),
+                    F.col("amt_1").alias("amount_1"), F.col("amt_2").alias("amount_2"))
 
 
 @register("join_patterns", """

@@ -73,12 +73,19 @@ def q_kfold(spark, sf):
     return S.group_kfold(txn(spark, sf), 3, 42).select("trId", "fold")
 
 
-@register("balanced_window_sample")
+@register("balanced_window_sample", """
+WITH w AS (SELECT accountId, CASE WHEN amount > 0 THEN 1 ELSE -1 END AS sign, max(isRecurring) AS has_signal FROM txn GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY has_signal ORDER BY accountId, sign) - 1 AS at FROM w),
+c AS (SELECT has_signal, count(*) AS nc, row_number() OVER (ORDER BY has_signal) AS i, count(*) OVER () AS k FROM w GROUP BY has_signal),
+d AS (SELECT has_signal, nc, unnest(range(1000 // k + CASE WHEN i <= 1000 % k THEN 1 ELSE 0 END)) AS draw FROM c)
+SELECT p.accountId, p.sign, p.has_signal, d.draw
+FROM d JOIN p ON p.has_signal = d.has_signal
+     AND p.at = ('0x' || substr(md5('42|' || d.has_signal || '|' || d.draw), 1, 8))::BIGINT % d.nc""")
 def q_balanced(spark, sf):
-    """Windows (account, direction) resampled to equal class weight (rows check)."""
+    """Windows (account, direction) drawn with replacement, the classes equally often."""
     t = txn(spark, sf).withColumn("sign", F.when(F.col("amount") > 0, 1).otherwise(-1))
     w = t.groupBy("accountId", "sign").agg(F.max("isRecurring").alias("has_signal"))
-    return S.balanced_window_sample(w, "has_signal", 100, seed=42)
+    return S.balanced_window_sample(w, "has_signal", ["accountId", "sign"], 1000, seed=42)
 
 
 _CT = "CASE WHEN isRecurring = 1 AND prob > 0.5 THEN 'TP' WHEN isRecurring = 0 AND prob > 0.5 THEN 'FP' WHEN isRecurring = 1 THEN 'FN' ELSE 'TN' END"

@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: line items as account transactions (account = supplier)."""
+def txn(spark: SparkSession, sf_dir: str, **extra) -> DataFrame:
+    """V1: line items as account transactions (account = supplier); ``extra``: more columns over lineitem's."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -54,6 +54,7 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") == F.lit(0.08), F.lit("Pending")).otherwise(F.lit("Cleared")).alias("status"),
         (F.col("l_discount") == F.lit(0.1)).alias("isForeignCurrency"),
         F.when(amount > 0, F.lit("D")).otherwise(F.lit("C")).alias("direction"),
+        *(col.alias(name) for name, col in extra.items()),
     )
 
 
@@ -84,14 +85,8 @@ def txn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: V1 plus a deterministic probability for the metric operators."""
-    t = txn(spark, sf_dir)
-    li = table(spark, sf_dir, "lineitem")
-    s = li.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                    F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("trId"),
-        ((F.col("l_quantity") * 2 + F.col("l_linenumber")) / 110.0).alias("prob"))
-    return t.join(s, "trId")
+    """V4: V1 plus a deterministic probability for the metric operators (one scan of lineitem)."""
+    return txn(spark, sf_dir, prob=(F.col("l_quantity") * 2 + F.col("l_linenumber")) / 110.0)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,4 +122,4 @@ def test_feature_fixture(spark):
     with pytest.raises(RuntimeError):
         X.amount_tokenize(df, None)
     empty = df.limit(0)
-    assert X.FeaturePipeline(X.FeatureSpec()).fit(empty).transform(empty).count() == 0
+    assert X.FeatureSteps([X.date_cycles(), X.date_ids(), X.log_amount()]).add_to(empty).count() == 0

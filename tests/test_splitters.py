@@ -1,4 +1,4 @@
-"""Level-synchronous splitters against a plain recursive implementation."""
+"""Level-synchronous splitters against a recursive DuckDB query."""
 
 import random
 
@@ -7,35 +7,33 @@ import pytest
 from cadence.operators.groups import split_segments
 
 
-def _recursive(nums, max_size, min_size, mode="widest", abs_t=0.0, rel_t=0.0):
-    nums = sorted(nums)
-
-    def rec(seg):
-        n = len(seg)
-        if n <= max_size:
-            return [seg]
-        start, end = min_size - 1, n - min_size
-        if start >= end:
-            start, end = 0, n - 1
-        best, idx = -1.0, -1
-        for i in range(start, end):
-            gap = seg[i + 1] - seg[i]
-            if mode == "widest":
-                score = gap
-            else:
-                denom = abs(seg[i]) if abs(seg[i]) > 1e-9 else 1.0
-                score = gap / denom
-                if not (gap > abs_t and score > rel_t):
-                    continue
-            if score > best:
-                best, idx = score, i
-            elif score == best and abs(i - n / 2) < abs(idx - n / 2):
-                idx = i
-        if idx == -1:
-            return [seg]
-        return rec(seg[:idx + 1]) + rec(seg[idx + 1:])
-
-    return [len(c) for c in rec(nums)]
+def _expected(nums, max_size, min_size, mode="widest", abs_t=0.0, rel_t=0.0):
+    """Chunk sizes by a recursive DuckDB query over segments [lo, hi] of the sorted values.
+
+    Every oversize segment is cut after its best-scored position; ties go to the position that is
+    nearest to the middle, then to the earlier one.
+    """
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v AS SELECT row_number() OVER (ORDER BY x) - 1 AS i, x FROM (SELECT unnest($1::DOUBLE[]) AS x)", [list(map(float, nums))])
+    score = "gap" if mode == "widest" else "gap / CASE WHEN abs(x) > 1e-9 THEN abs(x) ELSE 1 END"
+    admitted = "true" if mode == "widest" else f"gap > {abs_t} AND score > {rel_t}"
+    con.execute(f"CREATE TABLE g AS SELECT i, gap, {score} AS score FROM (SELECT i, x, lead(x) OVER (ORDER BY i) - x AS gap FROM v)")
+    cut = f"""(SELECT arg_min(g.i, (-score, abs(g.i - s.lo - (s.hi - s.lo + 1) / 2.0), g.i)) FROM g WHERE {admitted}
+               AND g.i >= s.lo + CASE WHEN {min_size} - 1 >= s.hi - s.lo + 1 - {min_size} THEN 0 ELSE {min_size} - 1 END
+               AND g.i < CASE WHEN {min_size} - 1 >= s.hi - s.lo + 1 - {min_size} THEN s.hi ELSE s.hi + 1 - {min_size} END)"""
+    rows = con.execute(f"""
+        WITH RECURSIVE seg AS (
+          SELECT 0 AS lo, (SELECT max(i) FROM v) AS hi, NULL::BIGINT AS cut, 0 AS done
+          UNION ALL
+          SELECT CASE WHEN side = 0 THEN lo ELSE c + 1 END, CASE WHEN side = 0 AND c IS NOT NULL THEN c ELSE hi END, NULL,
+                 CASE WHEN c IS NULL THEN 1 ELSE 0 END
+          FROM (SELECT s.lo, s.hi, CASE WHEN s.hi - s.lo + 1 > {max_size} THEN {cut} END AS c FROM seg s WHERE done = 0) t,
+               (VALUES (0), (1)) sides(side)
+          WHERE side = 0 OR c IS NOT NULL)
+        SELECT hi - lo + 1 FROM seg WHERE done = 1 ORDER BY lo""").fetchall()
+    return [r[0] for r in rows]
 
 
 def _spark_sizes(spark, nums, max_size, min_size, **kw):
@@ -44,7 +42,7 @@ def _spark_sizes(spark, nums, max_size, min_size, **kw):
     return [r.chunk_size for r in sorted(out.collect(), key=lambda r: r.chunk)]
 
 
-# worked examples of the reference's splitter demo
+# worked examples
 CASES = [
     ([10, 12, 15, 100, 102, 105, 500, 501], 3, 2),
     (list(range(1, 11)), 5, 3),
@@ -55,17 +53,17 @@ CASES = [
 
 @pytest.mark.parametrize("nums,mx,mn", CASES)
 def test_widest_gap_examples(spark, nums, mx, mn):
-    assert _spark_sizes(spark, nums, mx, mn) == _recursive(nums, mx, mn)
+    assert _spark_sizes(spark, nums, mx, mn) == _expected(nums, mx, mn)
 
 
 def test_widest_gap_random(spark):
     random.seed(5)
     nums = [round(random.expovariate(0.05), 2) for _ in range(700)]
-    assert _spark_sizes(spark, nums, 60, 8) == _recursive(nums, 60, 8)
+    assert _spark_sizes(spark, nums, 60, 8) == _expected(nums, 60, 8)
 
 
 def test_hybrid_random(spark):
     random.seed(9)
     nums = [round(random.choice([5, 20, 80, 300]) * random.uniform(0.8, 1.2), 2) for _ in range(600)]
     assert _spark_sizes(spark, nums, 50, 8, mode="hybrid", abs_thresh=5.0, rel_thresh=0.3) == \
-        _recursive(nums, 50, 8, "hybrid", 5.0, 0.3)
+        _expected(nums, 50, 8, "hybrid", 5.0, 0.3)
