@@ -32,7 +32,7 @@ from cadence.llm.wordhash import hash_words, mix, shingles, slices
 _U = np.uint64
 SMALL_PAIRS = 250_000  # 4 MB of ids
 SMALL_BUCKET = 16
-FREQUENT = 50_000  # shingles put last in the order; any list gives the same links
+FREQUENT = 500_000  # 4 MB; shingles put last in the order; any list gives the same links
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -191,7 +191,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     post = stored(post.join(shared, "key"), "postings")
     degree = post.groupBy("node").agg(F.sum("size").alias("degree"))
     info = stored(nodes.join(degree, "node"), "info")
-    sets = stored(base.join(info.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    # one strategy at every size: texts are shuffled once, ids are never broadcast to them
+    sets = stored(base.join(info.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", "text")
                   .mapInArrow(_setter(width), "digest binary, members binary").dropDuplicates(["digest"])
                   .join(info.select("digest", "node"), "digest").select("node", "members"), "sets")
 
