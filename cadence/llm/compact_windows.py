@@ -28,6 +28,7 @@ from cadence.llm.store import stored
 from cadence.llm.wordhash import hash_words, mix, shingles, slices
 
 _U = np.uint64
+MOST = 8  # hash functions; a window is packed as at = c * MOST + function, span = (c - l) << 32 | (r - c)
 DRIFT = 32  # how far inserted and deleted words may shift two passages against each other
 
 
@@ -85,19 +86,18 @@ def _windowed(width: int, least: int, functions: int):
 
     def run(it):
         for batch in (part for whole in it for part in slices(whole, 1)):
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(4)]
             for doc, s in _sequences(batch, width):
                 for f in range(functions):
                     v = mix(s ^ seeds[f])
                     l, c, r = windows(v, least)
                     if len(c):
-                        for col, x in zip(cols, (mix(v[c] + _U(f)).view(np.int64), np.full(len(c), doc), np.full(len(c), f), l, c, r)):
+                        for col, x in zip(cols, (mix(v[c] + _U(f)).view(np.int64), np.full(len(c), doc), c * MOST + f, (c - l << 32) + (r - c))):
                             col.append(x)
             if cols[0]:
                 flat = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[0]), pa.array(flat[1].astype(np.int64)), pa.array(flat[2].astype(np.int8)),
-                     *(pa.array(x.astype(np.int32)) for x in flat[3:])], names=["key", "doc_id", "f", "l", "c", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in flat],
+                                                 names=["key", "doc_id", "at", "span"])
     return run
 
 
@@ -106,10 +106,13 @@ def _joined(least: int, enough: int):
 
     Sorted rows of one pair may be cut by a batch border: the last pair is carried over.
     """
-    names = ("doc_id", "other", "f", "l", "c", "r", "ol", "oc", "orr")
+    names = ("doc_id", "other", "at", "span", "other_at", "other_span")
 
     def solve(x):
-        doc, other, f, l, c, r, ol, oc, orr = x
+        doc, other, at, span, other_at, other_span = x
+        f, c, oc = at % MOST, at // MOST, other_at // MOST
+        l, r = c - (span >> 32), c + (span & 0xFFFFFFFF)
+        ol, orr = oc - (other_span >> 32), oc + (other_span & 0xFFFFFFFF)
         a, b = c - np.minimum(c - l, oc - ol), c + np.minimum(r - c, orr - oc)  # both sides share this min-hash inside
         oa, ob = oc - (c - a), oc + (b - c)
         fits = b - a + 1 >= least
@@ -205,14 +208,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = words - width + 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.filter("doc_id is not null and text is not null")
-    wins = stored(base.mapInArrow(_windowed(width, least, functions), "key long, doc_id long, f byte, l int, c int, r int"),
-                  "windows")
-    first = (wins.groupBy("key").agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("h"), F.count("*").alias("n"))
-             .filter("n > 1").select("key", "h"))
-    meet = (wins.join(first, "key").filter((F.col("doc_id") != F.col("h.doc_id")) | (F.col("c") != F.col("h.c")))
-            .select("doc_id", F.col("h.doc_id").alias("other"), "f", "l", "c", "r", F.col("h.l").alias("ol"),
-                    F.col("h.c").alias("oc"), F.col("h.r").alias("orr")))
-    runs = stored(meet.repartition("doc_id").sortWithinPartitions("doc_id", "other", "c")
+    if functions > MOST:
+        raise ValueError(f"at most {MOST} hash functions")
+    wins = stored(base.mapInArrow(_windowed(width, least, functions), "key long, doc_id long, at long, span long"), "windows")
+    # the first window of a value: its smallest id, then its first position there
+    head = wins.groupBy("key").agg(F.min("doc_id").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = wins.join(head, "key")
+    first = (shared.filter("doc_id = other").groupBy("key")
+             .agg(F.min(F.struct(F.col("at").alias("other_at"), F.col("span").alias("other_span"))).alias("h")).select("key", "h.*"))
+    meet = (shared.join(first, "key").filter("doc_id <> other or at <> other_at")
+            .select("doc_id", "other", "at", "span", "other_at", "other_span"))
+    runs = stored(meet.repartition("doc_id").sortWithinPartitions("doc_id", "other", "at")
                   .mapInArrow(_joined(least, enough), "doc_id long, other long, a long, b long, oa long, ob long")
                   .distinct(), "runs")
     want = (runs.select("doc_id", "a", "b")
