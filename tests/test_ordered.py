@@ -55,3 +55,23 @@ def test_detector_unchanged_by_skew_route(spark):
     b = {r.trId: r.recurring_group_id for r in lexical.detect_recurring(t, hot_rows=20).collect()}
     assert a == b
     assert sum(v is not None for v in a.values()) > 0
+
+
+def test_hot_route_with_payload_at_a_million_rows(spark):
+    """Range boundaries are sampled: both readers of the ranges must see the same ones."""
+    n = 1_000_000
+    df = (spark.range(n).select(F.lit("hot").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(250_000)) / 7.0).alias("v"),
+                                F.col("id").cast("string").alias("id"), F.md5(F.col("id").cast("string")).alias("payload"),
+                                (F.col("id") % 13).cast("double").alias("w")))
+    got = ordered_scan(df, ["k"], ["v", "id"], "pos", hot_rows=100_000, sums={"s": "w"}, maxes={"m": "w"}, lags={"p": "v"})
+    want = ordered_scan(df, ["k"], ["v", "id"], "pos_w", check_skew=False, sums={"s_w": "w"}, maxes={"m_w": "w"}, lags={"p_w": "v"})
+    both = got.join(want.select("id", "pos_w", "s_w", "m_w", "p_w"), "id")
+    same = (F.col("pos") == F.col("pos_w")) & (F.col("s") == F.col("s_w")) & F.col("m").eqNullSafe(F.col("m_w")) & F.col("p").eqNullSafe(F.col("p_w"))
+    r = both.agg(F.count("*"), F.sum((~same).cast("int")), F.countDistinct("pos"), F.max(F.length("payload"))).first()
+    assert tuple(r) == (n, 0, n, 32)
+
+
+def test_hot_windows_stay_within_200_rows(spark):
+    t = txn(spark, SF_SMALL).withColumn("accountId", F.lit("one"))
+    w = amount_windows(t, hot_rows=500)
+    assert w.groupBy("win").count().agg(F.max("count")).first()[0] <= 200
