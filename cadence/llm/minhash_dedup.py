@@ -7,8 +7,9 @@
 3. Links are confirmed on the full sets. A bucket is not expanded into its pairs: hub rounds
    test each member against one hub, the links merge components, and buckets that lie inside
    one component are done. The sets of the other buckets are joined on their rarest shingles
-   (a prefix filter, without loss), and pairs of different components are tested one by one, so
-   no link that could join two components is skipped.
+   (a prefix filter, without loss) where one-bit sketches of their signatures admit a link (a pair at
+   similarity 0.8 differs in more bits with probability 1e-8), and pairs of different components are
+   tested one by one, so no link that could join two components is skipped.
 
 Defined results: null or empty texts and texts without words have no shingles and stay alone.
 Repeated rows give repeated result rows; rows of one doc_id with different texts are judged each
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.store import components, stored
@@ -32,7 +33,6 @@ from cadence.llm.wordhash import hash_words, mix, shingles, slices
 _U = np.uint64
 SMALL_PAIRS = 250_000  # 4 MB of ids
 SMALL_BUCKET = 16
-FREQUENT = 500_000  # 4 MB; shingles put last in the order; any list gives the same links
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -55,6 +55,22 @@ def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """One bit per bin, in 64-bit words; unequal bins differ in every second bit."""
+    bits = (mix(sig.astype(np.uint64)) & _U(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.int64)
+
+
+def _most_apart(percent: int, bins: int) -> int:
+    """Sketch bits in which a linked pair may differ: 7.5 standard deviations above the mean at the threshold."""
+    p = (1 - percent / 100) / 2
+    return int(bins * p + 7.5 * (bins * p * (1 - p)) ** 0.5)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _profiler(width: int, bins: int, rows: int):
     def run(it):
         for batch in it:
@@ -67,10 +83,8 @@ def _profiler(width: int, bins: int, rows: int):
                 yield pa.RecordBatch.from_arrays([
                     ids.cast(pa.int64()), pa.array(sizes),
                     pa.array([_digest(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]),
-                                             pa.array(keys.ravel())),
-                    pa.array([row.tobytes() for row in cheap], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "cheap"])
+                    _lists(keys), pa.array([row.tobytes() for row in cheap], pa.binary()), _lists(_sketch(sig))],
+                    names=["doc_id", "n_shingles", "digest", "bands", "cheap", "sketch"])
     return run
 
 
@@ -118,36 +132,13 @@ def _linked(percent: int):
     return run
 
 
-def _counted(it):
-    """Shingles that are frequent within a batch, with their counts."""
+def _tokens(it):
+    """(node, shingle) for every shingle of a set."""
     for b in it:
-        sets = b.column(1).to_pylist()
-        value, n = np.unique(np.frombuffer(b"".join(sets), np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(value[n > 3]), pa.array(n[n > 3].astype(np.int64))], names=["shingle", "n"])
-
-
-def _prefixes(order, percent: int):
-    """The first shingles of each set: by hash, those of ``order`` (sorted) after all others."""
-    def run(it):
-        late = order.value
-        for b in it:
-            nodes, labels, sizes, places, out = [], [], [], [], []
-            for node, label, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                m = np.frombuffer(m, _U)
-                if len(late):
-                    is_late = late[np.minimum(np.searchsorted(late, m), len(late) - 1)] == m
-                    m = np.concatenate((m[~is_late], m[is_late]))
-                k = len(m) - -(-percent * len(m) // 100) + 1
-                out.append(m[:k])
-                nodes.append(np.full(k, node))
-                labels.append(np.full(k, label))
-                sizes.append(np.full(k, len(m)))
-                places.append(np.arange(k))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (nodes, labels, sizes, places)]
-                    + [pa.array(np.concatenate(out).view(np.int64))], names=["node", "label", "n", "place", "shingle"])
-    return run
+        sets = [np.frombuffer(m, np.int64) for m in b.column(1).to_pylist()]
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(m) for m in sets])),
+                                              pa.array(np.concatenate(sets))], names=["node", "shingle"])
 
 
 def _near(pairs: DataFrame, info: DataFrame, percent: int, bins: int) -> DataFrame:
@@ -180,11 +171,11 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prof = stored(base.mapInArrow(_profiler(width, bins, rows),
-                                  "doc_id long, n_shingles long, digest binary, bands array<long>, cheap binary"),
+                                  "doc_id long, n_shingles long, digest binary, bands array<long>, cheap binary, sketch array<long>"),
                   "profiles")
     # a node is a distinct set; its smallest doc_id stands for it. The number is fixed by the stored table
     nodes = stored(prof.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
-                   .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "cheap")).alias("r"))
+                   .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "cheap", "sketch")).alias("r"))
                    .select(F.monotonically_increasing_id().alias("node"), "digest", "r.*"), "nodes")
     post = nodes.select("node", F.explode("bands").alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -232,19 +223,26 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
 
     # what is left: pairs of different components. Sets at the threshold share a shingle among the first
-    # n - ceil(threshold * n) + 1 of any fixed order; frequent shingles come last in it
-    left = active.select("node", "label").distinct()
-    frequent = (sets.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-                .orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow().column(0).to_numpy())
-    order = base.sparkSession.sparkContext.broadcast(np.sort(frequent.view(_U)))
-    first = (sets.join(left, "node").select("node", "label", "members")
-             .mapInArrow(_prefixes(order, percent), "node long, label long, n long, place long, shingle long"))
-    x, y = (first.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "place", "shingle"))) for s in "xy")
+    # n - ceil(threshold * n) + 1 of any fixed order; here by the number of these sets that hold them
+    left = active.select("node", "label").distinct().join(info.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    tokens = stored(sets.join(left.select("node"), "node").select("node", "members")
+                    .mapInArrow(_tokens, "node long, shingle long"), "tokens")
+    seen = tokens.groupBy("shingle").agg(F.count("*").alias("seen")).filter("seen > 1")
+    rarest = Window.partitionBy("node").orderBy("seen", "shingle")
+    words = [f"bits{i}" for i in range(-(-bins // 64))]
+    first = stored(tokens.join(seen, "shingle", "left").select("node", "shingle", F.coalesce("seen", F.lit(1)).alias("seen"))
+                   .withColumn("place", F.row_number().over(rarest) - 1).filter("seen > 1").join(left, "node")
+                   .filter(f"place <= n - ({percent} * n + 99) div 100")
+                   .select("shingle", "place", "node", "label", "n", *(F.col("sketch")[i].alias(w) for i, w in enumerate(words))),
+                   "prefixes")
+    x, y = (first.select(*(F.col(c).alias(f"{c}_{s}") for c in first.columns)) for s in "xy")
+    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
     rest = (x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & (F.col("node_x") < F.col("node_y"))
                    & (F.col("label_x") != F.col("label_y"))
                    # what two sets can share from their first common shingle on
                    & ((100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-                      >= percent * (F.col("n_x") + F.col("n_y"))))
+                      >= percent * (F.col("n_x") + F.col("n_y")))
+                   & (apart <= _most_apart(percent, bins)))
             .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     near = _near(rest.join(tested, ["a", "b"], "left_anti"), info, percent, bins)
     labels = merged(labels, _links(near, sets, percent))
