@@ -48,32 +48,42 @@ def q_detect_recurring_exact(spark, sf):
     return lexical.detect_recurring(txn(spark, sf), exact_text=True).select("trId", "recurring_group_id")
 
 
-_TFIDF_CLUSTERS = windows_cte() + f""",
+def _tfidf_clusters(least: int = 2) -> str:
+    return windows_cte(min_rows=least) + f""",
 texts AS (SELECT *, {detector_text('bankRawDescription')} AS _text FROM wins),
 tl AS (SELECT *, avg(length(_text)) OVER (PARTITION BY accountId, win) AS _win_text_len FROM texts),
-""" + tfidf_cluster_ctes().strip() + f""",
+""" + tfidf_cluster_ctes(min_samples=least).strip() + f""",
 cl AS (SELECT *, count(*) OVER (PARTITION BY accountId, win, cluster) AS _csize FROM clus WHERE cluster IS NOT NULL),
-mem AS (SELECT * FROM cl WHERE _csize >= 2),
+mem AS (SELECT * FROM cl WHERE _csize >= {least}),
 iv AS (SELECT *, {days('lag(date) OVER (PARTITION BY accountId, win, cluster ORDER BY date, trId)', 'date')} AS _ival FROM mem),
 cand AS ({candidate_features_select('accountId, win, cluster', 'iv')})"""
 
 
-@register("candidate_features", "WITH RECURSIVE " + _TFIDF_CLUSTERS + f"""
+@register("candidate_features", "WITH RECURSIVE " + _tfidf_clusters() + f"""
 SELECT accountId, win, cluster, {_ROUND_SQL}, count, days_span, unique_descriptions, label, group_id FROM cand""")
 def q_candidate_features(spark, sf):
     cand = lexical.detect_recurring(txn(spark, sf), return_candidates=True)
     return _round(cand, _FEATS)
 
 
-@register("detect_recurring", "WITH RECURSIVE " + _TFIDF_CLUSTERS + f""",
+_DETECT = f""",
 acc AS (SELECT accountId, win, cluster, group_id FROM cand WHERE {HEURISTIC})
 SELECT t.trId, a.group_id AS recurring_group_id
 FROM txn t LEFT JOIN (SELECT m.trId, acc.group_id FROM mem m JOIN acc USING (accountId, win, cluster)) a
-  ON t.trId = a.trId""")
+  ON t.trId = a.trId"""
+
+
+@register("detect_recurring", "WITH RECURSIVE " + _tfidf_clusters() + _DETECT)
 def q_detect_recurring(spark, sf):
     return lexical.detect_recurring(txn(spark, sf)).select("trId", "recurring_group_id")
 
 
+@register("detect_recurring_min3", "WITH RECURSIVE " + _tfidf_clusters(3) + _DETECT)
+def q_detect_recurring_min3(spark, sf):
+    """Clusters of core texts with at least three rows around them."""
+    return lexical.detect_recurring(txn(spark, sf), min_transactions=3).select("trId", "recurring_group_id")
+
+
 _WIN_TEXTS = windows_cte() + f""",
 texts AS (SELECT *, {detector_text('bankRawDescription')} AS _text FROM wins),
 tl AS (SELECT *, avg(length(_text)) OVER (PARTITION BY accountId, win) AS _win_text_len FROM texts),

@@ -75,12 +75,37 @@ def char_wb_grams(w: str) -> str:
 
 
 def tfidf_cluster_ctes(src: str = "tl", keys: str = "accountId, win", text: str = "_text",
-                       raw: str = "bankRawDescription", eps: float = 0.29) -> str:
+                       raw: str = "bankRawDescription", eps: float = 0.29, min_samples: int = 2) -> str:
     """CTEs docs .. clus: per-window TF-IDF, cosine edges, components (recursive), labels.
 
     Needs WITH RECURSIVE. Output CTE `clus` = src rows + column `cluster` (NULL = noise).
     """
     kj = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    of = lambda a: ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
+    parts = f"""
+reach AS (
+  SELECT {keys}, ua AS t, ua AS l FROM und
+  UNION
+  SELECT {of("r")}, u.ub, r.l FROM reach r JOIN und u ON {on("r", "u")} AND r.t = u.ua),
+comp AS (SELECT {keys}, t, min(l) AS cc FROM reach GROUP BY ALL),"""
+    if min_samples != 2:
+        parts = f"""
+core AS (SELECT {of("d")}, d.{text} AS t FROM docs d
+         JOIN (SELECT DISTINCT {keys}, {text} FROM post) v ON {on("d", "v")} AND d.{text} = v.{text}
+         LEFT JOIN und u ON {on("d", "u")} AND u.ua = d.{text}
+         LEFT JOIN docs n ON {on("n", "u")} AND n.{text} = u.ub
+         GROUP BY {of("d")}, d.{text}, d.m HAVING d.m + coalesce(sum(n.m), 0) >= {min_samples}),
+cund AS (SELECT u.* FROM und u JOIN core a ON {on("u", "a")} AND u.ua = a.t JOIN core b ON {on("u", "b")} AND u.ub = b.t),
+reach AS (
+  SELECT {keys}, t, t AS l FROM core
+  UNION
+  SELECT {of("r")}, u.ub, r.l FROM reach r JOIN cund u ON {on("r", "u")} AND r.t = u.ua),
+kern AS (SELECT {keys}, t, min(l) AS cc FROM reach GROUP BY ALL),
+comp AS (SELECT * FROM kern
+         UNION ALL
+         SELECT {of("u")}, u.ua, min(k.cc) FROM und u JOIN kern k ON {on("u", "k")} AND k.t = u.ub
+         LEFT JOIN core c ON {on("c", "u")} AND c.t = u.ua WHERE c.t IS NULL GROUP BY {of("u")}, u.ua),"""
     return f"""
 docs AS (SELECT {keys}, {text}, count(*) AS m, sum(count(*)) OVER (PARTITION BY {keys}) AS n_docs
          FROM {src} GROUP BY {keys}, {text}),
@@ -94,16 +119,10 @@ post AS (SELECT {keys}, {text}, gram, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY
 edges AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, a.{text} AS t1, b.{text} AS t2
           FROM post a JOIN post b ON {kj} AND a.gram = b.gram AND a.{text} < b.{text}
           GROUP BY ALL HAVING round(1 - sum(a.w * b.w), 9) <= {eps}),
-und AS (SELECT {keys}, t1 AS ua, t2 AS ub FROM edges UNION ALL SELECT {keys}, t2, t1 FROM edges),
-reach AS (
-  SELECT {keys}, ua AS t, ua AS l FROM und
-  UNION
-  SELECT {", ".join("r." + k.strip() for k in keys.split(","))}, u.ub, r.l FROM reach r JOIN und u
-    ON {" AND ".join(f"r.{k.strip()} = u.{k.strip()}" for k in keys.split(","))} AND r.t = u.ua),
-comp AS (SELECT {keys}, t, min(l) AS cc FROM reach GROUP BY ALL),
+und AS (SELECT {keys}, t1 AS ua, t2 AS ub FROM edges UNION ALL SELECT {keys}, t2, t1 FROM edges),{parts}
 vec AS (SELECT DISTINCT {keys}, {text} FROM post),
 lab AS (
-  SELECT d.*, CASE WHEN c.cc IS NOT NULL THEN c.cc WHEN v.{text} IS NOT NULL AND d.m >= 2 THEN d.{text} END AS _label,
+  SELECT d.*, CASE WHEN c.cc IS NOT NULL THEN c.cc WHEN v.{text} IS NOT NULL AND d.m >= {min_samples} THEN d.{text} END AS _label,
          bool_or(v.{text} IS NOT NULL) OVER (PARTITION BY {", ".join("d." + k.strip() for k in keys.split(","))}) AS _any_vec
   FROM docs d
   LEFT JOIN vec v ON {" AND ".join(f"d.{k.strip()} = v.{k.strip()}" for k in keys.split(","))} AND d.{text} = v.{text}

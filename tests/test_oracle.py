@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 FAST = [
-    "detect_recurring", "candidate_features_exact", "scan_transactions", "consolidate_transactions",
+    "detect_recurring", "detect_recurring_min3", "candidate_features_exact", "scan_transactions", "consolidate_transactions",
     "clean_text", "clean_text_stop", "clean_description", "recurrence_keyword", "encode_patterns",
     "deduplicate", "bank_variants", "dedup_transactions", "parse_dates", "cyclical_dates", "amount_vocab_fit",
     "amount_tokenize", "account_behavior", "time_encoding", "interval_stats", "group_candidate_features",
