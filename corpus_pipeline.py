@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of documents. ``run`` writes every stage's rows and reads them again. Rows
-with a null doc_id pass the first three stages and cannot be placed in the mix. An empty table gives
-an empty result.
+with a null doc_id take part in every stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,9 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy that the mix takes, in training order."""
-    placed = (curriculum.plan(docs).filter("taken > 0").select("doc_id", F.explode("positions").alias("position")))
-    rows = docs.select(*COLUMNS).join(placed, "doc_id")
-    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
+    return curriculum.training_order(docs.select(*COLUMNS)).select("doc.*")
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadence.llm import compact_windows, curriculum, html_extract, language_id, pii, piece_bpe
 from cadence.llm.minhash_dedup import minhash_dedup
@@ -232,6 +233,13 @@ def test_curriculum(spark):
     assert curriculum.plan(docs.limit(0)).count() == 0
     assert sorted(map(tuple, curriculum.plan(docs.repartition(7)).drop("positions").collect())) == sorted(
         tuple(r)[:-1] for r in plan)
+    whole = curriculum.training_order(docs.withColumn("position", F.lit("x")))  # an extra column with a clashing name
+    got = whole.select("doc.doc_id", "doc.position", "copy", F.col("position").alias("at")).collect()
+    assert sorted((r.doc_id, r.copy) for r in got) == sorted((r.doc_id, r.copy) for r in order)
+    assert [r["at"] for r in got] == sorted(r["at"] for r in got) and all(r.position == "x" for r in got)
+    near = {(r.doc_id, r.copy): r.position for r in order}
+    assert all(abs(near[r.doc_id, r.copy] - r["at"]) <= 60 * 2 / target[src[r.doc_id]] for r in got if src[r.doc_id] == "hot")
+    assert curriculum.training_order(docs.limit(0)).count() == 0
 
 
 def test_compact_windows_definition():
