@@ -12,6 +12,13 @@ all pairs), the paired windows of two texts are joined where they overlap along
 least ``enough`` of the hash functions agree the passages are verified on their full shingles: every
 stretch of ``least`` positions of which ``percent`` per cent occur in the other passage is a near-duplicate.
 
+A text that shares some of the functions only may be first there and split these votes. So windows that
+others share are also joined to signatures: the ``enough`` min-hashes that one stretch of ``least`` positions
+has at once, for each choice of the functions. Equal signatures meet in the same way, without votes. A signature
+none of whose stretches is verified then meets the next ones of its value in order, RANKS times as many in
+every round, until it is verified or has met all earlier ones; exact copies share every signature and
+always meet.
+
 Defined results: null and empty texts and texts below ``least`` shingles have no windows. Repeated rows
 are texts of one id: windows of one id and position meet nothing. Passages repeated inside one text are found
 too. Null ids are left out, other columns are ignored, an empty table gives an empty result.
@@ -19,6 +26,8 @@ too. Null ids are left out, other columns are ignored, an empty table gives an e
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +38,7 @@ from cadence.llm.wordhash import hash_words, mix, shingles, slices
 
 _U = np.uint64
 MOST = 8  # hash functions; a window is packed as at = c * MOST + function, span = (c - l) << 32 | (r - c)
+RANKS = 8  # growth of the number of earlier signatures that an unverified one meets in a round
 DRIFT = 32  # how far inserted and deleted words may shift two passages against each other
 
 
@@ -86,18 +96,112 @@ def _windowed(width: int, least: int, functions: int):
 
     def run(it):
         for batch in (part for whole in it for part in slices(whole, 1)):
-            cols = [[] for _ in range(4)]
+            cols = [[] for _ in range(5)]
             for doc, s in _sequences(batch, width):
+                copy = int(mix(s + np.arange(len(s), dtype=np.uint64)).sum(dtype=np.uint64)) >> 49  # tells texts of one id apart
                 for f in range(functions):
                     v = mix(s ^ seeds[f])
                     l, c, r = windows(v, least)
                     if len(c):
-                        for col, x in zip(cols, (mix(v[c] + _U(f)).view(np.int64), np.full(len(c), doc), c * MOST + f, (c - l << 32) + (r - c))):
+                        for col, x in zip(cols, (mix(v[c] + _U(f)).view(np.int64), np.full(len(c), doc), c * MOST + f, (c - l << 32) + (r - c),
+                                               np.full(len(c), copy))):
                             col.append(x)
             if cols[0]:
                 flat = [np.concatenate(c) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in flat],
-                                                 names=["key", "doc_id", "at", "span"])
+                                                 names=["key", "doc_id", "at", "span", "copy"])
+    return run
+
+
+def signatures(key: np.ndarray, at: np.ndarray, span: np.ndarray, least: int, enough: int) -> list[np.ndarray]:
+    """key, at, span, core of the signatures of one text's windows; the function number in ``at`` is 0.
+
+    The starts of the stretches that a window rules are one interval, and the intervals of a function are
+    disjoint. Where intervals of several functions overlap, one of them begins.
+    """
+    f, c = at % MOST, at // MOST
+    l, r = c - (span >> 32), c + (span & 0xFFFFFFFF)
+    begin, end = np.maximum(l, c - least + 1), np.minimum(c, r - least + 1)
+    per = {}
+    for k in np.unique(f).tolist():
+        rows = np.flatnonzero(f == k)
+        per[k] = rows[np.unique(begin[rows], return_index=True)[1]]
+    out = [[] for _ in range(4)]
+    for chosen in combinations(sorted(per), enough):
+        p = np.unique(np.concatenate([begin[per[k]] for k in chosen]))
+        hit = np.stack([per[k][np.maximum(np.searchsorted(begin[per[k]], p, "right") - 1, 0)] for k in chosen])
+        hit = hit[:, ((begin[hit] <= p) & (p <= end[hit])).all(axis=0)]
+        if not hit.shape[1]:
+            continue
+        value = np.zeros(hit.shape[1], np.uint64)
+        for row in hit:
+            value = mix(value * _U(0x9E3779B97F4A7C15) + key[row].view(np.uint64))
+        a, b, lo, hi, x = l[hit].max(axis=0), r[hit].min(axis=0), c[hit].min(axis=0), c[hit].max(axis=0), c[hit[0]]
+        for col, y in zip(out, (value.view(np.int64), x * MOST, (x - a << 32) + (b - x), (x - lo << 32) + (hi - x))):
+            col.append(y)
+    return [np.concatenate(col) if col else np.zeros(0, np.int64) for col in out]
+
+
+def _signed(least: int, enough: int):
+    """Signatures of windows sorted by (doc_id, copy); the last text of a batch is carried over."""
+    def emit(t):
+        doc, copy, key, at, span = (t.column(c).to_numpy() for c in ("doc_id", "copy", "key", "at", "span"))
+        cuts = np.concatenate(([0], np.flatnonzero((doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])) + 1, [len(doc)]))
+        cols = [[] for _ in range(5)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            got = signatures(key[x:y], at[x:y], span[x:y], least, enough)
+            for col, v in zip(cols, (np.full(len(got[0]), doc[x]), *got)):
+                col.append(v)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "key", "at", "span", "core"])
+
+    def run(it):
+        held = None
+        for batch in it:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            doc, copy = t.column("doc_id").to_numpy(), t.column("copy").to_numpy()
+            first = int(np.flatnonzero((doc == doc[-1]) & (copy == copy[-1]))[0])
+            held, done = t.slice(first), t.slice(0, first)
+            if first:
+                yield from emit(done)
+        if held is not None and held.num_rows:
+            yield from emit(held)
+    return run
+
+
+def _ranked(names: tuple[str, ...]):
+    """Rows sorted by (key, doc_id, at, span) whose key occurs again: columns ``names``, the place in the group and the group's first row."""
+    first = ("doc_id", "at", "span")
+
+    def emit(t, rank, head, keep):
+        keep = np.flatnonzero(keep)
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([*(pa.array(t.column(c).to_numpy()[keep]) for c in names), pa.array(rank[keep]),
+                                              *(pa.array(h[keep]) for h in head)],
+                                             names=[*names, "rank", "other", "other_at", "other_span"])
+
+    def run(it):
+        held, held_rank, held_head = None, 0, ()  # the last row so far: only the next one tells whether its key occurs again
+        for batch in it:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            key, place = t.column("key").to_numpy(), np.arange(t.num_rows)
+            again = key[1:] == key[:-1]
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], ~again)), place, 0))
+            rank = place - start
+            head = [t.column(c).to_numpy()[start] for c in first]
+            if held is not None:
+                rank = np.where(start == 0, rank + held_rank, rank)
+                head = [np.where(start == 0, x, h) for x, h in zip(held_head, head)]
+            yield from emit(t, rank, head, np.concatenate(((rank[:-1] > 0) | again, [False])))
+            held, held_rank, held_head = t.slice(t.num_rows - 1), int(rank[-1]), [h[-1] for h in head]
+        if held is not None and held_rank:
+            yield from emit(held, np.array([held_rank]), [np.array([h]) for h in held_head], np.array([True]))
     return run
 
 
@@ -210,27 +314,60 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = base.filter("doc_id is not null and text is not null")
     if functions > MOST:
         raise ValueError(f"at most {MOST} hash functions")
-    wins = stored(base.mapInArrow(_windowed(width, least, functions), "key long, doc_id long, at long, span long"), "windows")
-    # the first window of a value: its smallest id, then its first position there
-    head = wins.groupBy("key").agg(F.min("doc_id").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = wins.join(head, "key")
-    first = (shared.filter("doc_id = other").groupBy("key")
-             .agg(F.min(F.struct(F.col("at").alias("other_at"), F.col("span").alias("other_span"))).alias("h")).select("key", "h.*"))
-    meet = (shared.join(first, "key").filter("doc_id <> other or at <> other_at")
-            .select("doc_id", "other", "at", "span", "other_at", "other_span"))
-    runs = stored(meet.repartition("doc_id").sortWithinPartitions("doc_id", "other", "at")
-                  .mapInArrow(_joined(least, enough), "doc_id long, other long, a long, b long, oa long, ob long")
-                  .distinct(), "runs")
-    want = (runs.select("doc_id", "a", "b")
-            .unionByName(runs.select(F.col("other").alias("doc_id"), F.col("oa").alias("a"), F.col("ob").alias("b"))).distinct())
-    parts = stored(want.join(base, "doc_id").select("doc_id", "text", "a", "b")
-                   .mapInArrow(_slices(width), "doc_id long, a long, b long, part binary"), "parts")
-    pair = (runs.join(parts, ["doc_id", "a", "b"])
-            .join(parts.select(F.col("doc_id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"),
-                               F.col("part").alias("opart")), ["other", "oa", "ob"]))
-    found = (pair.select("doc_id", "other", "a", "oa", "part", "opart")
-             .mapInArrow(_verified(least, percent, width),
-                         "doc_id long, other_id long, start_word long, end_word long, shared long, shingles long"))
+    wins = base.mapInArrow(_windowed(width, least, functions), "key long, doc_id long, at long, span long, copy long")
+    elsewhere = "(doc_id <> other or at <> other_at)"
+
+    def ranked(rows: DataFrame, name: str) -> DataFrame:
+        """Rows whose value occurs again, with their rank and the first of the value: its smallest id, then its first position there."""
+        extra = ", ".join(f"{c} long" for c in (*rows.columns, "rank", "other", "other_at", "other_span"))
+        return stored(rows.repartition("key").sortWithinPartitions("key", "doc_id", "at", "span")
+                      .mapInArrow(_ranked(tuple(rows.columns)), extra), name)
+
+    def joined(meet: DataFrame, votes: int) -> DataFrame:
+        return (meet.select("doc_id", "other", "at", "span", "other_at", "other_span")
+                .repartition("doc_id").sortWithinPartitions("doc_id", "other", "at")
+                .mapInArrow(_joined(least, votes), "doc_id long, other long, a long, b long, oa long, ob long"))
+
+    def verified(runs: DataFrame) -> DataFrame:
+        runs = stored(runs.distinct(), "runs")
+        want = (runs.select("doc_id", "a", "b")
+                .unionByName(runs.select(F.col("other").alias("doc_id"), F.col("oa").alias("a"), F.col("ob").alias("b"))).distinct())
+        parts = stored(want.join(base, "doc_id").select("doc_id", "text", "a", "b")
+                       .mapInArrow(_slices(width), "doc_id long, a long, b long, part binary"), "parts")
+        pair = (runs.join(parts, ["doc_id", "a", "b"])
+                .join(parts.select(F.col("doc_id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"),
+                                   F.col("part").alias("opart")), ["other", "oa", "ob"]))
+        return stored(pair.select("doc_id", "other", "a", "oa", "part", "opart")
+                      .mapInArrow(_verified(least, percent, width),
+                                  "doc_id long, other_id long, start_word long, end_word long, shared long, shingles long"), "passages")
+
+    def unverified(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Signatures whose min-hashes lie in no passage of their text."""
+        spot = F.floor(F.col("at") / MOST)
+        seen = found.select(F.col("doc_id").alias("d"), "start_word", "end_word").distinct()
+        return rows.join(seen, (F.col("doc_id") == F.col("d"))
+                         & (F.col("start_word") <= spot - F.shiftright("core", 32))
+                         & (F.col("end_word") - width >= spot + F.col("core").bitwiseAND(0xFFFFFFFF)), "left_anti")
+
+    common = ranked(wins, "shared")
+    signed = ranked(common.select("doc_id", "key", "at", "span", "copy").repartition("doc_id")
+                    .sortWithinPartitions("doc_id", "copy", "at")
+                    .mapInArrow(_signed(least, enough), "doc_id long, key long, at long, span long, core long"), "signed")
+    star = lambda rows: rows.filter(f"rank > 0 and {elsewhere}")
+    found = verified(joined(star(common), enough).unionByName(joined(star(signed), 1)))
+    # a first one has nothing before it, a second one has met the first
+    left = unverified(signed.select("key", "doc_id", "at", "span", "core", "rank").filter("rank > 1"), found)
+    low, high = 1, RANKS
+    while True:
+        left = stored(left.filter(F.col("rank") > low), "unverified")
+        if left.isEmpty():
+            break
+        heads = signed.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
+            "key", F.col("doc_id").alias("other"), F.col("rank").alias("other_rank"), F.col("at").alias("other_at"),
+            F.col("span").alias("other_span"))
+        more = verified(joined(left.join(heads, "key").filter("other_rank < rank").filter(elsewhere), 1))
+        found, left = found.unionByName(more), unverified(left, more)
+        low, high = high, high * RANKS
     return (found.groupBy("doc_id", "other_id", "start_word", "end_word")
             .agg(F.max(F.col("shared") / F.col("shingles")).alias("similarity"))
             .withColumn("n_words", F.col("end_word") - F.col("start_word"))

@@ -282,3 +282,20 @@ def test_repeated_passages_found(spark):
     five = next(r for r in rows if 5 in (r.doc_id, r.other_id))
     assert five.n_words >= 100 and five.similarity >= 0.8
     assert compact_windows.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_repeated_passages_behind_partial_variants(spark):
+    texts, variants = [], 12
+    for g in range(variants):
+        rng = random.Random(100 + g)
+        new = lambda n: [f"g{g}v{rng.randrange(10 ** 9)}" for _ in range(n)]
+        passage = new(60)
+        edited = list(passage)
+        for i in (9, 27, 45):
+            edited[i] = "changed"
+        early = [edited, passage[:38] + new(30), new(30) + passage[24:]]
+        texts += [(10 * g + k, new(40) + w + new(40)) for k, w in enumerate(early)]
+        texts += [(10 * g + k, new(30) + passage + new(50)) for k in (8, 9)]
+    rows = compact_windows.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in texts])).collect()
+    whole = {r.doc_id for r in rows if r.start_word <= 32 and r.end_word >= 88 and r.similarity >= 0.8}
+    assert {10 * g + 9 for g in range(variants)} <= whole
