@@ -1,9 +1,9 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Reference points ("pivots") are chosen from a bounded sample, the ``4 * pivots`` rows with the smallest id
-hashes: in that order up to ``pivots`` that lie below cosine ``SPREAD`` to each other, so that a large group
+Reference points ("pivots") are chosen for each vector length from a bounded sample of its own rows, the
+``4 * pivots`` with the smallest id hashes: in that order up to ``pivots`` that lie below cosine ``SPREAD`` to each other, so that a large group
 of copies does not fill the list with near-equal points. A vector is described by the ordered list of its ``nearest`` pivots by cosine. The inverted lists are
-keyed by sets of ``shared`` pivots: two vectors meet in a list exactly when their descriptions share
+keyed by the length and sets of ``shared`` pivots: two vectors meet in a list exactly when their descriptions share
 at least that many pivots, however many rows there are. Lists of one member are dropped, the others
 are verified in blocks: exact cosines in double precision, each pair counted only in the list of its
 first shared pivots. No pair becomes a row: a block returns, per vector, its number of links and
@@ -54,24 +54,35 @@ def _spread(x: np.ndarray, most: int) -> np.ndarray:
     return x[keep]
 
 
-def _describe(pivots, nearest: int, shared: int):
+def _pivots(most: int):
+    """Pivots of one length from its sampled rows (size, hash, vec_id, vec)."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("hash", "ascending"), ("vec_id", "ascending")]).slice(0, 4 * most).combine_chunks()
+        p = _spread(_unit(_matrix(t.column("vec").combine_chunks())), most)
+        return pa.table([pa.array([t.column("size")[0].as_py()] * len(p), pa.int32()), pa.array(np.arange(len(p), dtype=np.int32)),
+                         pa.array(list(p), pa.list_(pa.float64()))], names=["size", "number", "vec"])
+    return run
+
+
+def _describe(pivots, nearest: int, shared: int, stride: int):
     """vec_id -> its nearest pivots (sorted by number) and the keys of its pivot sets."""
-    picks = np.array(list(combinations(range(nearest), shared)))
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     def run(it):
-        p = pivots.value
         for b in it:
-            if not b.num_rows:
-                continue
-            near = np.argsort(-(_unit(_matrix(b.column(1))) @ p.T), axis=1, kind="stable")[:, :nearest]
-            near = np.sort(near, axis=1)
-            key = np.zeros((len(near), len(picks)), np.int64)
-            for j in range(shared):
-                key = key * len(p) + near[:, picks[:, j]]
-            lists = lambda x: pa.ListArray.from_arrays(
-                pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(near.astype(np.int32)), lists(key)],
-                                             names=["vec_id", "near", "keys"])
+            lengths = b.column(1).value_lengths().to_numpy()
+            for d in np.unique(lengths).tolist():
+                rows = pa.array(np.flatnonzero(lengths == d))
+                number, p = pivots.value[d]
+                picks = np.array(list(combinations(range(min(nearest, len(p))), min(shared, len(p)))))
+                near = np.argsort(-(_unit(_matrix(b.column(1).take(rows))) @ p.T), axis=1, kind="stable")[:, :nearest]
+                near = np.sort(near, axis=1)
+                key = np.zeros((len(near), len(picks)), np.int64)
+                for j in range(picks.shape[1]):
+                    key = key * len(p) + near[:, picks[:, j]]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), lists(near.astype(np.int32)), lists(key + number * stride)],
+                                                 names=["vec_id", "near", "keys"])
     return run
 
 
@@ -112,7 +123,7 @@ def _block(key: int, ci: np.ndarray, ids: np.ndarray, near: np.ndarray, x: np.nd
     return ids[hit], links[hit], ids[root[hit]]
 
 
-def _verify(least: float, shared: int, base: int):
+def _verify(least: float, shared: int, stride: int, bases: dict[int, int]):
     """Blocks of a sorted partition (key, i, j): an unfinished block is carried to the next batch."""
     def run(it):
         held = None
@@ -134,21 +145,20 @@ def _verify(least: float, shared: int, base: int):
             return
         t = t.combine_chunks()
         ids, ci = t.column("vec_id").to_numpy(), t.column("chunk").to_numpy()
-        near = np.stack(t.column("near").to_numpy())
+        near = t.column("near").to_numpy()
         size = t.column("vec").combine_chunks()
         size = (size.chunk(0) if isinstance(size, pa.ChunkedArray) else size)
         lengths = size.value_lengths().to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(ids)]))
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            for d in np.unique(lengths[a:b]):
-                rows = a + np.flatnonzero(lengths[a:b] == d)
-                rows = rows[np.argsort(ids[rows])]
-                if len(rows) > 1:
-                    got = _block(int(group[a, 0]), ci[rows], ids[rows], near[rows], _unit(_matrix(size.take(pa.array(rows)))),
-                                 least, shared, base)
-                    if got:
-                        out.append(got)
+            rows = a + np.argsort(ids[a:b])
+            if len(rows) > 1:
+                base = bases[int(lengths[a])]  # a list holds one length
+                got = _block(int(group[a, 0]) % stride, ci[rows], ids[rows], np.stack(near[rows]),
+                             _unit(_matrix(size.take(pa.array(rows)))), least, min(shared, base), base)
+                if got:
+                    out.append(got)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)],
                                              names=["vec_id", "links", "root"])
@@ -161,17 +171,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = stored(rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
     fit = rows.filter(usable(F.col("vec")) & F.exists("vec", lambda x: x != 0))
-    sample = fit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).select("vec").toArrow().column(0).to_pylist()
+    fit = fit.withColumn("size", F.size("vec"))
+    lengths = F.broadcast(fit.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1"))  # a row a length
+    # twice the rows that are needed, by hash; a length's task takes the smallest of them
+    share = F.least(F.lit(1.0), F.lit(8.0 * pivots) / F.col("n"))
+    sample = (fit.join(lengths, "size").withColumn("hash", F.xxhash64("vec_id"))
+              .filter(F.col("hash").cast("double") <= share * 2.0 ** 64 - 2.0 ** 63).select("size", "hash", "vec_id", "vec"))
+    chosen = (sample.groupBy("size").applyInArrow(_pivots(pivots), "size int, number int, vec array<double>")
+              .orderBy("size", "number").toArrow())
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                         F.lit(True).alias("kept"))
-    if not sample:
+    if not chosen.num_rows:
         return alone
-    width = max(map(len, sample))
-    p = _spread(_unit(np.array([v for v in sample if len(v) == width])), pivots)
-    nearest, shared = min(nearest, len(p)), min(shared, len(p))
-    described = stored(fit.filter(F.size("vec") == width).select("vec_id", "vec").mapInArrow(
-        _describe(rows.sparkSession.sparkContext.broadcast(p), nearest, shared), "vec_id long, near array<int>, keys array<long>"),
-        "described")
+    sizes, vecs, points = chosen.column("size").to_numpy(), chosen.column("vec").combine_chunks(), {}
+    for number, d in enumerate(np.unique(sizes).tolist()):
+        points[d] = (number, _matrix(vecs.take(pa.array(np.flatnonzero(sizes == d)))))
+    stride = pivots ** shared
+    if len(points) * stride >= 1 << 63:
+        raise ValueError("keys of the lists exceed 64 bits")
+    described = stored(fit.join(lengths, "size").select("vec_id", "vec").mapInArrow(
+        _describe(rows.sparkSession.sparkContext.broadcast(points), nearest, shared, stride),
+        "vec_id long, near array<int>, keys array<long>"), "described")
     post = described.select("vec_id", F.explode("keys").alias("key"))
     lists = post.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     post = stored(post.join(lists, "key"), "lists")
@@ -183,7 +203,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
               .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vec_id")
               .join(member, "vec_id").select("key", "i", "j", "chunk", "vec_id", "near", "vec"))
     found = stored(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                   .mapInArrow(_verify(least, shared, len(p)), "vec_id long, links long, root long"), "links")
+                   .mapInArrow(_verify(least, shared, stride, {d: len(p) for d, (_, p) in points.items()}), "vec_id long, links long, root long"), "links")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     comp = components(found, "vec_id", "root").withColumnRenamed("node", "vec_id")
     return (rows.select("vec_id").join(counts, "vec_id", "left").join(comp, "vec_id", "left")

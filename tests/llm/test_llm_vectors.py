@@ -53,6 +53,17 @@ def test_pivot_dedup_matches_brute_force(spark):
     assert pivot_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_pivot_dedup_links_every_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(np.repeat(rng.normal(size=(200, 16)), 2, axis=0))]
+    rows += [(1000 + i, [float(v) for v in r], 0) for i, r in enumerate(np.repeat(rng.normal(size=(3, 24)), 2, axis=0))]
+    rows += [(2000, [1.0] * 40, 0), (2001, [2.0], 0), (2002, [5.0], 0)]
+    got = {r.vec_id: r for r in pivot_dedup.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    assert all(got[i].n_links >= 1 and got[i].component_id <= i - i % 2 for i in (*range(400), *range(1000, 1006)))
+    assert all(got[i].component_id >= 1000 for i in range(1000, 1006))
+    assert (got[2000].n_links, got[2001].n_links, got[2002].component_id) == (0, 1, 2001)
+
+
 def test_pivot_dedup_long_lists_are_split(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = np.concatenate((np.repeat(rng.normal(size=(1, 64)), 300, axis=0) + rng.normal(size=(300, 64)) * 0.02, rng.normal(size=(600, 64))))
