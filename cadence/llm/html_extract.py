@@ -6,10 +6,11 @@ ratio (text length over the number of tags inside, links counted by their text).
 smoothed with a Gaussian kernel and clustered by a threshold (half of their mean, weighted by text)
 into content and boilerplate; a line counts by its own or its smoothed ratio.
 
-What the markup states itself comes first: scripts, styles, forms, navigation and the like never
-hold text; an <article> or <main> element marks the content region, and lines inside it count as
-content whatever their length, but for boilerplate containers (by tag, role, class or id words).
-The ratio decides where no such region exists.
+What the markup states itself weighs in: scripts, styles, forms, navigation, and containers or
+paragraphs with boilerplate words (by role, class or id) never hold text. The bar is the same for all lines of a page;
+an <article> or <main> element is taken as one cluster when it holds half of the page's text or the mean ratio of
+its lines (weighted by text), times MARKED, reaches the bar. Then its short lines count too, but lines of links
+alone only by their smoothed ratio. Other lines inside and all lines outside pass the bar by themselves.
 
 Defined results: null, empty or markup-only html gives the empty text and 0 characters. Repeated
 rows give repeated rows, other columns are ignored, an empty table gives an empty result. Nothing
@@ -41,6 +42,7 @@ BOILER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
 comments cookie cookies consent copyright disqus footer gdpr header masthead menu modal nav navbar navigation
 newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing
 sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
+MARKED = 2.0  # weight of the ratio of an <article> or <main> element
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
 
@@ -50,26 +52,31 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
         return True
     if tag == "header":
         return not in_article
-    if tag in ("html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong"):
+    if tag in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong"):
         return False
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value and value.lower() in BOILER_ROLES:
             return True
-        if name in ("class", "id") and value and any(w.lower() in BOILER_WORDS for w in _WORD.findall(value)):
-            return True
+        if name in ("class", "id") and value:
+            words = _WORD.findall(value)
+            if tag in ("article", "main"):  # what each name begins with: an article "has-sidebar" is none itself
+                words = [w[0] for w in map(_WORD.findall, value.split()) if w]
+            if any(w.lower() in BOILER_WORDS for w in words):
+                return True
     return False
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, link characters, in article, skipped) per block line."""
+    """Collects (text, tags, link characters, number of the outermost article or 0) per block line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, starts a skipped part, starts an article
         self.skip = self.article = self.link = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.regions = 0  # outermost articles so far
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -77,7 +84,7 @@ class _Lines(HTMLParser):
         if self.parts:
             text = _SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.linked, self.article > 0))
+                self.lines.append((text, self.tags, self.linked, self.regions if self.article else 0))
         self.parts = []
         self.tags = self.linked = 0
 
@@ -96,6 +103,9 @@ class _Lines(HTMLParser):
             self.flush()
         self.stack.append((tag, skips, main))
         self.skip += skips
+        if main:
+            self.flush()
+            self.regions += not self.article
         self.article += main
         self.link += tag == "a"
 
@@ -151,17 +161,22 @@ def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(x, radius, mode="edge"), kernel, mode="valid")
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
-    """Lines of the content regions."""
-    if any(a for *_, a in lines):
-        return [t for t, _, _, a in lines if a]
+def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
+    """Lines of the content cluster."""
     if not lines:
         return []
     size = np.array([max(0, len(t) - linked) for t, _, linked, _ in lines], float)
     ratio = size / np.array([max(1, tags) for _, tags, _, _ in lines])
     smooth = _smooth(ratio)
     bar = 0.5 * (smooth * size).sum() / max(size.sum(), 1.0)
-    return [lines[i][0] for i in np.flatnonzero(np.maximum(smooth, ratio) >= bar) if size[i] > 0]
+    keep = (np.maximum(smooth, ratio) >= bar) & (size > 0)
+    region = np.array([a for *_, a in lines])
+    weight = np.bincount(region, size)
+    mean = np.bincount(region, np.maximum(smooth, ratio) * size) / np.maximum(weight, 1.0)
+    whole = (MARKED * mean >= bar) & (weight > 0) | (2 * weight >= max(size.sum(), 1.0))
+    whole[0] = False
+    keep |= whole[region] & ((size > 0) | (smooth >= bar))
+    return [lines[i][0] for i in np.flatnonzero(keep)]
 
 
 def extract(html: str | None) -> str:

@@ -191,6 +191,19 @@ def test_html_extract(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_article_is_no_switch():
+    body = "".join(f"<div>{'long sentence of real content number ' * 8}{i}</div>" for i in range(5))
+    cards = "".join(f"<article><h3><a href={i}>Card {i}</a></h3><p>Teaser {i}</p></article>" for i in range(4))
+    assert html_extract.extract(f"<body>{body}<div>{cards}</div></body>").count("long sentence") == 8 * 5
+    assert "Teaser 3" not in html_extract.extract(f"<body>{body}<div>{cards}</div></body>")
+    story = "<h1>Head</h1>" + "".join(f"<p>{'words of the story go on ' * 6}{i}</p>" for i in range(4)) + "<p>End.</p>"
+    told = html_extract.extract(f"<article class='post has-sidebar'>{story}<p class='advert'>Buy the {'thing ' * 30}</p></article>"
+                                f"<article class='comment'><p>{'I liked this ' * 20}</p></article>")
+    assert told.startswith("Head\n") and told.endswith("End.") and "Buy" not in told and "liked" not in told
+    short = "<article>" + "<p>A short line.</p>" * 30 + "</article>"
+    assert html_extract.extract(f"{short}<div>{'one long disclaimer ' * 10}</div>").count("A short line.") == 30
+
+
 def test_html_pages_keep_whole_article(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         body = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
