@@ -31,10 +31,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id stays."""
-    dropped = (minhash_dedup(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-               .filter("not kept").select("doc_id"))
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").dropDuplicates().select(*COLUMNS)
+    """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest id stays, null ids last."""
+    rows = stored(docs.select(*COLUMNS).dropDuplicates().withColumn("row", F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    kept = (minhash_dedup(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+            .join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(place).alias("first")).select("first.row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,18 @@ def test_pipeline_stages(spark):
         assert empty.count() == 0
 
 
+def test_pipeline_dedup_by_row(spark):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10 ** 9, 60)) for _ in range(4))
+    texts = [(None, a), (None, a + " end"), (1, b), (None, b + " end"), (2, c), (2, d), (3, d + " end"), (4, c + " more"), (4, a + " more"),
+             (5, " ".join(a.split()[::-1])), (5, " ".join(a.split()[::-1]) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text.split()[0]) for r in P.dedup_stage(spark, docs, SF).collect()]
+    assert sorted(got) == sorted([(4, a.split()[0]), (1, b.split()[0]), (2, c.split()[0]), (2, d.split()[0]), (5, a.split()[-1])])
+
+
 @pytest.mark.parametrize("name", ["op1_pivot_dedup", "op3_curriculum_mix", "op4_merkle_audit", "op10_mtree_topk"])
 def test_oracles(spark, duck, name):
     from oracle_check import digest
