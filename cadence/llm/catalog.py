@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import (compact_windows, curriculum, html_extract, language_id, mtree_topk, pii, piece_bpe,
+from cadence.llm import (compact_windows, curriculum, grid_codes, html_extract, language_id, mtree_topk, pii, piece_bpe,
                          pivot_dedup, warc_audit)
 from cadence.llm.minhash_dedup import minhash_dedup
 
@@ -78,3 +78,8 @@ def op4(spark, sf_dir):
 @query("op10_mtree_topk", mtree_topk.ORACLE)
 def op10(spark, sf_dir):
     return mtree_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_grid_codes", grid_codes.oracle())
+def op12(spark, sf_dir):
+    return grid_codes.compress(table(spark, sf_dir, "embeddings"))
