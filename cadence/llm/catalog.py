@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadence.llm import (compact_windows, curriculum, grid_codes, html_extract, language_id, mtree_topk, pii, piece_bpe,
-                         pivot_dedup, warc_audit)
+                         pivot_dedup, url_rules, warc_audit)
 from cadence.llm.minhash_dedup import minhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op10(spark, sf_dir):
 @query("op12_grid_codes", grid_codes.oracle())
 def op12(spark, sf_dir):
     return grid_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_url_rules")
+def op13(spark, sf_dir):
+    return url_rules.filter_urls(table(spark, sf_dir, "pages")).drop("why", "confidence")
