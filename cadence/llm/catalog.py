@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadence.llm import (compact_windows, curriculum, grid_codes, html_extract, language_id, mtree_topk, pii, piece_bpe,
-                         pivot_dedup, url_rules, warc_audit)
+                         pivot_dedup, token_align, url_rules, warc_audit)
 from cadence.llm.minhash_dedup import minhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op12(spark, sf_dir):
 @query("op13_url_rules")
 def op13(spark, sf_dir):
     return url_rules.filter_urls(table(spark, sf_dir, "pages")).drop("why", "confidence")
+
+
+@query("op11_token_align")
+def op11(spark, sf_dir):
+    return token_align.align_corpus(table(spark, sf_dir, "documents"))
