@@ -17,7 +17,7 @@ between an ASCII letter and digit, B before a space that follows a non-space. A
 such a place is not cut.
 
 Within a fragment, segments between single spaces are encoded once for each task (a bounded memory).
-ASCII segments of A take the rank file of the same vocabulary, others the vocabulary's own library.
+Latin segments of A take the rank file of the same vocabulary, others the vocabulary's own library.
 
 An id pair's count is the number of documents that hold it linked. The HEAD most frequent pairs at
 most are broadcast (below 100 MB), all other pairs are joined by shuffle.
@@ -47,7 +47,7 @@ from cadence.llm.wordhash import slices
 CHUNK = 1 << 15
 FAN = 16
 HEAD = 1_000_000
-MEMO = 150_000  # segments that a task remembers
+MEMO = 300_000  # segments of a tokenizer that a task remembers
 MEMO_CHARS = 48
 BATCH_BYTES = 1 << 19
 #: Between segments: a single space between two characters that no tokenizer counts as white space.
@@ -55,6 +55,10 @@ CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
 CUT_A = re.compile(CUT.pattern + r"|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 CUT_B = re.compile(r"(?<=[^ ])(?= )")
 
+ADJACENT = re.compile(r"\s\s")
+#: Segments that both byte-level encoders split alike: ASCII and Latin letters, no space at either end but the first.
+PLAIN = re.compile(r" [!-~\xa1-\u017f](?:[\x00-\x7f\xa1-\u017f]*[!-~\xa1-\u017f])?")
+
 PAIRS = "a array<int>, b array<int>, m array<bigint>"
 FRAGMENT = ("row long, doc_id long, place long, ok boolean, n_a long, n_b long, n_groups long, n_links long, closed binary, " + PAIRS)
 OPEN = ("row long, lo long, hi long, any boolean, pa array<int>, pae array<long>, pb array<int>, pbe array<long>, "
@@ -102,45 +106,71 @@ class Coder:
         self.most = most
         self.memo: tuple[dict, dict] = {}, {}
 
-    def encode(self, side: int, segments: list[str]) -> list[np.ndarray]:
-        """Ids of each segment; a segment of B starts with a space."""
+    def encode(self, side: int, segments: list[str]) -> list[bytes]:
+        """Ids of each segment as packed 32-bit integers, empty where its token bytes differ from it.
+
+        A segment of B starts with a space.
+        """
         memo = self.memo[side]
-        new = [s for s in dict.fromkeys(segments) if s not in memo]
-        fresh: dict[str, np.ndarray] = {}
-        if side:
-            got = self.sp.encode([s[1:] for s in new], num_threads=1) if new else []
-        else:
-            got = [None] * len(new)
-            easy = [i for i, s in enumerate(new) if self.fast is not None and s.isascii()]
-            for i in easy:
-                got[i] = self.fast.encode_ordinary(new[i])
-            hard = [i for i in range(len(new)) if got[i] is None]
-            for i, e in zip(hard, self.hf.encode_batch([new[i] for i in hard], add_special_tokens=False)):
-                got[i] = e.ids
-        if len(memo) + len(new) > MEMO:
-            fresh.update((s, memo[s]) for s in dict.fromkeys(segments) if s in memo)
-            memo.clear()
-        for s, ids in zip(new, got):
-            fresh[s] = np.array(ids, dtype=np.int32)
-            if len(s) <= MEMO_CHARS:
-                memo[s] = fresh[s]
-        return [fresh[s] if s in fresh else memo[s] for s in segments]
-
-    def tokens(self, side: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts in order, ids per text, whether the joined bytes are the text's)."""
-        segments, per = [], []
-        for t in texts:
-            s = CUT.split(t) if t else []
-            segments.extend(s)
-            per.append(len(s))
-        parts = self.encode(side, segments)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(per))).astype(np.int64)]
+        got = list(map(memo.get, segments))
+        missing = [i for i, g in enumerate(got) if g is None]
+        if missing:
+            new = list(dict.fromkeys([segments[i] for i in missing]))
+            fresh = dict(zip(new, self._pieces(new) if side else self._byte_tokens(new)))
+            for i in missing:
+                got[i] = fresh[segments[i]]
+            if len(memo) + len(fresh) > MEMO:
+                memo.clear()
+            memo.update((s, v) for s, v in fresh.items() if len(s) <= MEMO_CHARS)
+        return got
+
+    def _checked(self, side: int, segment: str, ids) -> bytes:
         table = (self.bytes_a, self.bytes_b)[side]
-        spelled = [table[i] for i in ids.tolist()]
-        ok = np.array([b"".join(spelled[a:b]) == t.encode("utf-8", "surrogatepass") for t, a, b in zip(texts, upto, upto[1:])], dtype=bool)
-        return ids, np.diff(upto), ok
+        if b"".join([table[i] for i in ids]) != segment.encode():
+            return b""
+        return np.array(ids, dtype=np.int32).tobytes()
+
+    def _pieces(self, segments: list[str]) -> list[bytes]:
+        got = self.sp.encode([s[1:] for s in segments], num_threads=1)
+        return [self._checked(1, s, ids) for s, ids in zip(segments, got)]
+
+    def _byte_tokens(self, segments: list[str]) -> list[bytes]:
+        """Plain segments are encoded as one text: no token crosses from one to the next."""
+        plain = [i for i, s in enumerate(segments) if PLAIN.fullmatch(s)] if self.fast is not None else []
+        got: list[bytes | None] = [None] * len(segments)
+        if plain:
+            text = "".join([segments[i] for i in plain])
+            ids = np.array(self.fast.encode_ordinary(text), dtype=np.int32)
+            ends = np.cumsum(self.size[0][ids])
+            upto = np.cumsum([len(segments[i].encode()) for i in plain])
+            at = np.searchsorted(ends, upto, side="right")
+            if (ends[at - 1] == upto).all() and b"".join([self.bytes_a[i] for i in ids.tolist()]) == text.encode():
+                packed = ids.tobytes()
+                at = [0, *at.tolist()]
+                for i, j, k in zip(plain, at, at[1:]):
+                    got[i] = packed[4 * j:4 * k]
+        hard = [i for i, g in enumerate(got) if g is None]
+        for i, e in zip(hard, self.hf.encode_batch([segments[i] for i in hard], add_special_tokens=False)):
+            got[i] = self._checked(0, segments[i], e.ids)
+        return got
+
+    def tokens(self, side: int, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts given as segments: (ids of all texts in order, ids per text, whether the joined bytes are the text's)."""
+        parts = self.encode(side, [s for p in pieces for s in p])
+        ids = np.frombuffer(b"".join(parts), dtype=np.int32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        bounds = np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))
+        total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[bounds])
+        return ids, total(sizes), total(sizes == 0) == 0
+
+
+def segments(text: str) -> list[str]:
+    """A text cut before every single space between two non-spaces."""
+    if not text:
+        return []
+    if text[0] == " " and not ADJACENT.search(text) and not text[-1].isspace():  # every space is such a place
+        return [" " + w for w in text[1:].split(" ")]
+    return CUT.split(text)
 
 
 class Side:
@@ -294,7 +324,8 @@ def _short(files: tuple):
         c = coder(files)
         for batch in (p for whole in batches for p in slices(whole, 2, BATCH_BYTES)):
             texts = [" " + t if t else "" for t in batch.column(2).to_pylist()]
-            (a, na, oka), (b, nb, okb) = c.tokens(0, texts), c.tokens(1, texts)
+            pieces = [segments(t) for t in texts]
+            (a, na, oka), (b, nb, okb) = c.tokens(0, pieces), c.tokens(1, pieces)
             ok = oka & okb & (na > 0)
             a, b = a[np.repeat(ok, na)], b[np.repeat(ok, nb)]
             na, nb = np.where(ok, na, 0), np.where(ok, nb, 0)
@@ -354,7 +385,7 @@ def _fragments(files: tuple):
         c = coder(files)
         for batch in (p for whole in batches for p in slices(whole, 3, BATCH_BYTES)):
             row, doc, i, a, b, oa, ob = (batch.column(k).to_pylist() for k in range(7))
-            (ia, na, oka), (ib, nb, okb) = c.tokens(0, a), c.tokens(1, b)
+            (ia, na, oka), (ib, nb, okb) = (c.tokens(side, [CUT.split(t) if t else [] for t in x]) for side, x in enumerate((a, b)))
             ea, eb = np.concatenate(([0], np.cumsum(na))), np.concatenate(([0], np.cumsum(nb)))
             ends = lambda ids, side, start: Side(ids, start + np.cumsum(c.size[side][ids]))
             parts = [align(ends(ia[ea[k]:ea[k + 1]], 0, oa[k]), ends(ib[eb[k]:eb[k + 1]], 1, ob[k])) for k in range(len(row))]
