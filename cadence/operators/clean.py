@@ -38,6 +38,11 @@ def cleared_domestic(df: DataFrame, cols: Cols = Cols()) -> DataFrame:
     return df.filter(~F.coalesce(foreign, F.lit(False)) & (F.col(cols.status) == "Cleared"))
 
 
+def cleared_or_all(df: DataFrame, cols: Cols = Cols()) -> DataFrame:
+    """``cleared_domestic`` where the table has both columns, else all rows."""
+    return cleared_domestic(df, cols) if cols.foreign in df.columns and cols.status in df.columns else df
+
+
 def sign_violations(df: DataFrame, cols: Cols = Cols()) -> DataFrame:
     """One row: zero amounts and sign/direction mismatches (both must be 0)."""
     a, d = F.col(cols.amount), F.col(cols.direction)
@@ -217,9 +222,7 @@ def consolidate(frames: list[DataFrame], cols: Cols = Cols()) -> DataFrame:
     """Raw bank frames -> one clean transactions table (filter, rename, gate, drop, union, dedup)."""
     prepared = []
     for f in frames:
-        if cols.foreign in f.columns and cols.status in f.columns:
-            f = cleared_domestic(f, cols)
-        prepared.append(rename_columns(f))
+        prepared.append(rename_columns(cleared_or_all(f, cols)))
     gated = schema_gate(prepared)
     unioned = drop_required_nulls(union_files(gated), REQUIRED, cols)
     order = ["_ingest"] if "_ingest" in unioned.columns else [cols.bank_name, cols.trId]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.components import connected_components
+from cadence.operators.density import density_groups  # noqa: F401
 from cadence.operators.features import simple_cycle
 from cadence.operators.ordered import ordered_scan
+from cadence.operators.split import split_segments  # noqa: F401
 from cadence.operators.summaries import gap_stats, group_summary
 from cadence.schema import Cols
-from cadence.session import checkpoint_dir
 
 
 # --- stability, pairwise grouping ----------------------------------------------------
@@ -96,116 +97,16 @@ def rejection_counts(decisions: DataFrame) -> DataFrame:
     return decisions.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- density groups (re-aim of per-account density clustering) -------------------------
+# --- amount splitting (cuts in operators/split.py) --------------------------------------
 
-def density_groups(vec: DataFrame, account: str = "accountId", row_id: str = "vec_id", col: str = "embedding",
-                   eps: float = 1.0, pivots: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """Rows within ``eps`` (Euclidean) of another row of the same account form groups
-    (DBSCAN with min_samples = 2 as components); isolated rows are noise.
-
-    Exact neighbour search without all pairs: |x_k - y_k| <= ||x - y|| for every
-    coordinate k, so rows are bucketed by floor(x_k / eps) on the pivot coordinates
-    and only meet rows of adjacent cells (3^len(pivots) probes); the distance is then
-    checked exactly.
-    """
-    cells = [F.floor(F.col(col)[k] / eps).cast("long") for k in pivots]
-    base = vec.select(account, row_id, col, *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
-    probe = base
-    for i in range(len(pivots)):
-        probe = probe.withColumn(f"_c{i}", F.explode(F.array(F.col(f"_c{i}") - 1, F.col(f"_c{i}"), F.col(f"_c{i}") + 1)))
-    a = probe.select(account, F.col(row_id).alias("src"), F.col(col).alias("_va"), *[f"_c{i}" for i in range(len(pivots))])
-    b = base.select(account, F.col(row_id).alias("dst"), F.col(col).alias("_vb"), *[f"_c{i}" for i in range(len(pivots))])
-    from cadence.operators.pairs import vector_distance
-    j = a.join(b, [account, *[f"_c{i}" for i in range(len(pivots))]]).filter(F.col("src") < F.col("dst"))
-    edges = j.filter(vector_distance(F.col("_va"), F.col("_vb")) <= eps).select("src", "dst")
-    comp = connected_components(edges, node=row_id, label="cluster")
-    return vec.select(account, row_id).join(comp, row_id, "left")
-
-
-# --- amount splitting ------------------------------------------------------------------
-
-def split_segments(df: DataFrame, keys: list[str], value: str, row_id: str, max_size: int, min_size: int,
-                   mode: str = "widest", abs_thresh=0.0, rel_thresh=0.0,
-                   max_levels: int | None = None) -> DataFrame:
-    """Recursive splitting of sorted values into chunks of at most ``max_size``, done
-    level by level: every oversize segment picks its split at once.
-
-    widest: split at the widest gap whose sides keep >= min_size (anywhere if impossible);
-    ties -> closest to the middle, then the lowest index.
-    hybrid: only gaps with diff > abs_thresh and diff/|a| > rel_thresh (|a| <= 1e-9 -> 1)
-    qualify, the largest relative gap wins (same ties); no qualifying gap -> left whole.
-
-    Rows keep their global position; a segment is (keys, start position) and its gap
-    candidates come from a one-time skew-aware lag, so each level is one partial
-    aggregate (max_by per oversize segment) and one join of the decisions. Returns
-    rows with ``chunk`` (start position of the chunk inside the key group).
-    abs_thresh / rel_thresh may name columns (one plan for a grid of settings).
-    Levels run until no segment splits; ``max_levels`` is a safety limit that raises.
-    """
-    thr = [t for t in (abs_thresh, rel_thresh) if isinstance(t, str)]
-    a_t = F.col(abs_thresh) if isinstance(abs_thresh, str) else F.lit(abs_thresh)
-    r_t = F.col(rel_thresh) if isinstance(rel_thresh, str) else F.lit(rel_thresh)
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    r = ordered_scan(df.select(*keys, *[t for t in thr if t not in keys], value, row_id), keys, [value, row_id],
-                     "_p", lags={"_prev": value})
-    n_all = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(n_all, keys).withColumn("_lo", F.lit(0).cast("long")).checkpoint()
-    done: list[DataFrame] = []
-    level = 0
-    while True:
-        level += 1
-        if max_levels is not None and level > max_levels:
-            raise RuntimeError(f"split_segments: still splitting after {max_levels} levels")
-        i = F.col("_p") - F.col("_lo") - 1          # split index i: left part ends at local i
-        n = F.col("_n")
-        start0, end0 = F.lit(min_size - 1), n - min_size
-        fallback = start0 >= end0
-        start = F.when(fallback, F.lit(0)).otherwise(start0)
-        end = F.when(fallback, n - 1).otherwise(end0)
-        gap = F.col(value) - F.col("_prev")
-        allowed = (n > max_size) & (i >= start) & (i < end)
-        if mode == "widest":
-            score = gap
-        else:
-            denom = F.when(F.abs(F.col("_prev")) > 1e-9, F.abs(F.col("_prev"))).otherwise(F.lit(1.0))
-            score = gap / denom
-            allowed = allowed & (gap > a_t) & (score > r_t)
-        cand = r.filter(allowed).select(*keys, "_lo", "_n", i.alias("_i"), score.alias("_s"))
-        mid = F.col("_n") / 2
-        dec = cand.groupBy(*keys, "_lo", "_n").agg(
-            F.max_by("_i", F.struct(F.col("_s"), -F.abs(F.col("_i") - mid), -F.col("_i"))).alias("_split"))
-        dec = dec.checkpoint()
-        if dec.limit(1).count() == 0:
-            break
-        j = r.join(dec, [*keys, "_lo", "_n"], "left")
-        left = (F.col("_p") - F.col("_lo")) <= F.col("_split")
-        j = j.select(
-            *keys, *[t for t in thr if t not in keys], value, row_id, "_p", "_prev",
-            F.col("_split").isNotNull().alias("_cut"),
-            F.when(F.col("_split").isNull(), F.col("_lo")).when(left, F.col("_lo"))
-             .otherwise(F.col("_lo") + F.col("_split") + 1).alias("_lo"),
-            F.when(F.col("_split").isNull(), F.col("_n")).when(left, F.col("_split") + 1)
-             .otherwise(F.col("_n") - F.col("_split") - 1).alias("_n"))
-        # a segment that did not split now never will (its decision reads only its own
-        # rows), and one at most max_size is final: those rows leave the loop as a join of
-        # this level's inputs; only rows of oversize new segments are written and go on
-        done.append(j.filter(~F.col("_cut") | (F.col("_n") <= max_size)).drop("_cut"))
-        r = j.filter(F.col("_cut") & (F.col("_n") > max_size)).drop("_cut").checkpoint()
-    out = r
-    for d in done:
-        out = out.unionByName(d)
-    return out.select(*keys, value, row_id, F.col("_lo").alias("chunk"), F.col("_n").alias("chunk_size"))
-
-
-def chunk_listing(chunks: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per chunk: size, smallest internal gap, gap to the next chunk."""
+def chunk_listing(chunks: DataFrame, keys: list[str], value: str, row_id: str = "trId") -> DataFrame:
+    """Per chunk: size, bounds, smallest internal gap, gap to the next chunk."""
     k = [*keys, "chunk"]
-    per = chunks.groupBy(*k).agg(F.count(F.lit(1)).alias("size"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    w = Window.partitionBy(*keys).orderBy("chunk")
-    gaps = chunks.withColumn("_g", F.col(value) - F.lag(value).over(Window.partitionBy(*k).orderBy(value)))
-    mn = gaps.groupBy(*k).agg(F.min("_g").alias("min_internal_gap"))
-    return per.join(mn, k).withColumn("gap_to_next", F.lead("lo").over(w) - F.col("hi"))
+    rows = ordered_scan(chunks.select(*k, value, row_id), k, [value, row_id], None, lags={"_prev": value})
+    per = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("size"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+                               F.min(F.col(value) - F.col("_prev")).alias("min_internal_gap"))
+    per = ordered_scan(per.withColumn("_back", -F.col("chunk")), keys, ["_back"], None, lags={"_next": "lo"})
+    return per.withColumn("gap_to_next", F.col("_next") - F.col("hi")).drop("_next", "_back")
 
 
 def broken_patterns(chunks: DataFrame, keys: list[str], pattern: str, value: str, large_accounts: DataFrame) -> DataFrame:

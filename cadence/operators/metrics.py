@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.ordered import ordered_scan
+from cadence.session import materialize
 
 
 def _c(x) -> Column:
@@ -85,9 +86,13 @@ def _desc_scan(st: DataFrame, group: list[str] | None) -> DataFrame:
     return out.drop("_neg_score")
 
 
-def average_precision(df: DataFrame, score, label, group: list[str] | None = None) -> DataFrame:
-    """AP = sum over distinct thresholds (descending) of (R_k - R_{k-1}) * P_k."""
-    st = score_table(df, score, label, group)
+def average_precision(df: DataFrame | None, score, label, group: list[str] | None = None,
+                      table: DataFrame | None = None) -> DataFrame:
+    """AP = sum over distinct thresholds (descending) of (R_k - R_{k-1}) * P_k.
+
+    ``table``: a ready ``score_table`` instead of the rows.
+    """
+    st = table if table is not None else score_table(df, score, label, group)
     sc = _desc_scan(st, group)
     keys = list(group or []) or ["_all"]
     tot = sc.groupBy(*keys).agg(F.sum("pos").alias("_P"))
@@ -97,9 +102,10 @@ def average_precision(df: DataFrame, score, label, group: list[str] | None = Non
     return out.drop("_all") if not group else out
 
 
-def roc_auc(df: DataFrame, score, label, group: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney AUC with ties counted one half."""
-    st = score_table(df, score, label, group)
+def roc_auc(df: DataFrame | None, score, label, group: list[str] | None = None,
+            table: DataFrame | None = None) -> DataFrame:
+    """Mann-Whitney AUC with ties counted one half; ``table`` as in ``average_precision``."""
+    st = table if table is not None else score_table(df, score, label, group)
     sc = _desc_scan(st, group)  # fp = negatives with score >= s
     keys = list(group or []) or ["_all"]
     tot = sc.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
@@ -110,6 +116,15 @@ def roc_auc(df: DataFrame, score, label, group: list[str] | None = None) -> Data
     return out.drop("_all") if not group else out
 
 
+def prf_at(table: DataFrame, threshold: float) -> DataFrame:
+    """Row metrics at score > threshold from a ``score_table``: one row like ``row_prf``."""
+    hit = F.col("score") > threshold
+    at = lambda take, c: F.coalesce(F.sum(F.when(take, F.col(c))), F.lit(0))
+    out = table.agg(at(hit, "pos").alias("tp"), at(hit, "neg").alias("fp"), at(~hit, "pos").alias("fn"),
+                    F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).alias("rows"))
+    return out.select("*", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def pr_curve(df: DataFrame, score, label, group: list[str] | None = None) -> DataFrame:
     """(group..., threshold, precision, recall) at every distinct score (predict score >= t)."""
     st = score_table(df, score, label, group)
@@ -173,13 +188,14 @@ def calibration_extremes(df: DataFrame, prob: str = "pred_prob", label: str = "i
 
 def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per class precision/recall/F1/support plus 'accuracy', 'macro avg', 'weighted avg' rows."""
-    yy, pp = F.col(y).cast("string"), F.col(p).cast("string")
-    classes = df.select(yy.alias("cls")).union(df.select(pp.alias("cls"))).distinct()
-    sup = df.groupBy(yy.alias("cls")).agg(F.count(F.lit(1)).alias("support"))
-    prd = df.groupBy(pp.alias("cls")).agg(F.count(F.lit(1)).alias("predicted"))
-    hit = df.filter(yy == pp).groupBy(yy.alias("cls")).agg(F.count(F.lit(1)).alias("tp"))
-    per = (classes.join(sup, "cls", "left").join(prd, "cls", "left").join(hit, "cls", "left")
-                  .na.fill(0, ["support", "predicted", "tp"]))
+    # one pass over the rows: counts of (true, predicted); everything else reads those
+    cells = materialize(df.groupBy(F.col(y).cast("string").alias("y"), F.col(p).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    n, same = F.col("n"), F.col("y") == F.col("p")
+    side = F.explode(F.array(F.struct(F.col("y").alias("cls"), n.alias("support"), F.lit(0).cast("long").alias("predicted"),
+                                      F.when(same, n).otherwise(0).alias("tp")),
+                             F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("support"), n.alias("predicted"),
+                                      F.lit(0).cast("long").alias("tp")))).alias("s")
+    per = cells.select(side).select("s.*").groupBy("cls").agg(*(F.sum(c).alias(c) for c in ("support", "predicted", "tp")))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     per = per.select("cls", prec.alias("precision"), rec.alias("recall"), "support", "tp")
@@ -221,9 +237,10 @@ def macro_ap(long_scores: DataFrame, cls: str, score: str, is_true: str) -> Data
 def bcubed(df: DataFrame, pred: str, true: str) -> DataFrame:
     """B-cubed precision/recall/F1 from contingency counts n(pred, true), no pair join:
     P = sum n^2/|pred| / N, R = sum n^2/|true| / N."""
-    cont = df.groupBy(pred, true).agg(F.count(F.lit(1)).alias("n"))
-    ps = df.groupBy(pred).agg(F.count(F.lit(1)).alias("np"))
-    ts = df.groupBy(true).agg(F.count(F.lit(1)).alias("nt"))
+    # the rows are read once, for the counts
+    cont = materialize(df.groupBy(pred, true).agg(F.count(F.lit(1)).alias("n")))
+    ps = cont.groupBy(pred).agg(F.sum("n").alias("np"))
+    ts = cont.groupBy(true).agg(F.sum("n").alias("nt"))
     j = cont.join(ps, pred).join(ts, true)
     out = j.agg((F.sum(F.col("n") * F.col("n") / F.col("np")) / F.sum("n")).alias("bcubed_precision"),
                 (F.sum(F.col("n") * F.col("n") / F.col("nt")) / F.sum("n")).alias("bcubed_recall"))
@@ -240,8 +257,12 @@ def row_log_loss(df: DataFrame, prob: str, label: str, eps: float = 1e-7) -> Dat
 
 def before_after(df: DataFrame, label, raw_pred, refined_pred) -> DataFrame:
     """P/R/F1 of the raw and refined predictions, their deltas and the FPs removed."""
-    a = row_prf(df, label, raw_pred).select(*[F.col(c).alias(f"raw_{c}") for c in ("tp", "fp", "fn", "precision", "recall", "f1")])
-    b = row_prf(df, label, refined_pred).select(*[F.col(c).alias(f"refined_{c}") for c in ("tp", "fp", "fn", "precision", "recall", "f1")])
-    j = a.crossJoin(b)
+    y = F.coalesce(_c(label).cast("boolean"), F.lit(False))
+    kinds = {"raw": F.coalesce(_c(raw_pred), F.lit(False)), "refined": F.coalesce(_c(refined_pred), F.lit(False))}
+    base = df.select(y.alias("_y"), *(p.alias(f"_{k}") for k, p in kinds.items()))
+    j = base.agg(*[F.count_if(test).alias(f"{k}_{name}") for k in kinds for name, test in (
+        ("tp", F.col("_y") & F.col(f"_{k}")), ("fp", ~F.col("_y") & F.col(f"_{k}")), ("fn", F.col("_y") & ~F.col(f"_{k}")))])
+    for k in kinds:
+        j = j.select("*", *[c.alias(f"{k}_{m}") for c, m in zip(_prf(*(F.col(f"{k}_{x}") for x in ("tp", "fp", "fn"))), ("precision", "recall", "f1"))])
     return j.select("*", *[(F.col(f"refined_{m}") - F.col(f"raw_{m}")).alias(f"delta_{m}") for m in ("precision", "recall", "f1")],
                     (F.col("raw_fp") - F.col("refined_fp")).alias("fp_removed"))

@@ -34,6 +34,26 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
               .filter(F.col("_n") > hot_rows))
 
 
+def _ranges(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, hot_total: int,
+            hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of cold keys, rows of hot keys with the number ``_rp`` of their range)."""
+    from cadence.session import checkpoint_dir
+
+    spark = df.sparkSession
+    hot_b = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # <= rows / hot_rows keys
+    # both routes and the carry table read the input: materialise it once (also keeps
+    # nested scans from multiplying the plan)
+    checkpoint_dir(spark)
+    tagged = df.join(hot_b, keys, "left").checkpoint()
+    # ranges of about hot_rows/4 rows each, at least a few per core
+    n_parts = max(spark.sparkContext.defaultParallelism * 2, -(-hot_total // max(1, hot_rows // 4)))
+    # the range number is fixed by the checkpoint: the local scan and the carry table below need
+    # different columns, and an exchange of their own each would sample boundaries of its own
+    ranged = (tagged.filter(F.col("_hot")).drop("_hot").repartitionByRange(n_parts, *keys, *order)
+              .withColumn("_rp", F.spark_partition_id()).checkpoint())
+    return tagged.filter(F.col("_hot").isNull()).drop("_hot"), ranged
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str | None = "_pos",
                  sums: dict | None = None, maxes: dict | None = None, lags: dict | None = None,
                  hot_rows: int | None = None, check_skew: bool = True) -> DataFrame:
@@ -70,21 +90,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str
     if n_hot == 0:
         return cold(df)
 
-    hot_b = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # <= rows / hot_rows keys
-    # both routes and the carry table read the input: materialise it once (also keeps
-    # nested scans from multiplying the plan)
-    from cadence.session import checkpoint_dir
-    checkpoint_dir(spark)
-    tagged = df.join(hot_b, keys, "left").checkpoint()
-    cold_part = cold(tagged.filter(F.col("_hot").isNull()).drop("_hot"))
-    hot_part = tagged.filter(F.col("_hot")).drop("_hot")
-
-    # ranges of about hot_rows/4 rows each, at least a few per core
-    n_parts = max(spark.sparkContext.defaultParallelism * 2, -(-int(hot_total) // max(1, hot_rows // 4)))
-    # the range number is fixed by the checkpoint: the local scan and the carry table below need
-    # different columns, and an exchange of their own each would sample boundaries of its own
-    ranged = (hot_part.repartitionByRange(n_parts, *keys, *order)
-              .withColumn("_rp", F.spark_partition_id()).checkpoint())
+    cold_rows, ranged = _ranges(df, keys, order, hot, int(hot_total), hot_rows)
+    cold_part = cold(cold_rows)
     wl = Window.partitionBy(*keys, "_rp").orderBy(*order)
     wl_upto = wl.rowsBetween(Window.unboundedPreceding, 0)
     wl_before = wl.rowsBetween(Window.unboundedPreceding, -1)
@@ -126,6 +133,47 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str
     return cold_part.unionByName(hot_out)
 
 
+def bounded_frames(df: DataFrame, keys: list[str], order: list[str], frames: dict, back: int, ahead: int = 0,
+                   hot_rows: int | None = None) -> DataFrame:
+    """Window columns whose frames reach at most ``back`` rows before and ``ahead`` rows after a row.
+
+    ``frames[name]`` builds a column from an ordered window. Hot keys are range-partitioned as in
+    ``ordered_scan``; each range hands its first ``ahead`` and last ``back`` rows to the ranges that
+    can see them (a halo), so every frame is complete inside its own range and no task holds a
+    whole key. Halos hold at most (back + ahead) rows for each pair of neighbouring ranges.
+    """
+    spark = df.sparkSession
+    if hot_rows is None:
+        hot_rows = conf_int(spark, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
+    columns = df.columns
+
+    def framed(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumns({name: fn(w) for name, fn in frames.items()})
+
+    hot = hot_keys(df, keys, hot_rows)
+    n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if n_hot == 0:
+        return framed(df, keys)
+    cold, ranged = _ranges(df, keys, order, hot, int(hot_total), hot_rows)
+    local = ranged.withColumn("_lpos", F.row_number().over(Window.partitionBy(*keys, "_rp").orderBy(*order)) - 1)
+    sizes = ranged.groupBy(*keys, "_rp").agg(F.count(F.lit(1)).alias("_sz"))
+    end = F.sum("_sz").over(Window.partitionBy(*keys).orderBy("_rp"))  # a row a range of the key
+    bounds = sizes.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_sz"))
+    # bounded: one row per (range partition, hot key) pair present
+    placed = local.join(F.broadcast(bounds), [*keys, "_rp"])
+    at = F.col("_start") + F.col("_lpos")
+    edge = (placed.filter((F.col("_lpos") < ahead) | (F.col("_lpos") >= F.col("_sz") - back))
+            .select(*columns, F.col("_rp").alias("_from"), at.alias("_at")))
+    sees = (((F.col("_at") >= F.col("_start") - back) & (F.col("_at") < F.col("_start")))
+            | ((F.col("_at") >= F.col("_end")) & (F.col("_at") < F.col("_end") + ahead)))
+    halo = (edge.join(F.broadcast(bounds.drop("_sz")), keys).filter(sees & (F.col("_rp") != F.col("_from")))
+            .select(*columns, "_rp", F.lit(False).alias("_own")))
+    both = ranged.select(*columns, "_rp", F.lit(True).alias("_own")).unionByName(halo)
+    out = framed(both, [*keys, "_rp"]).filter("_own").drop("_own", "_rp")
+    return framed(cold, keys).unionByName(out)
+
+
 def ordered_positions(df: DataFrame, keys: list[str], order: list[str], pos_col: str = "_pos",
                       hot_rows: int | None = None, check_skew: bool = True) -> DataFrame:
     """Add ``pos_col``: 0-based position of the row inside its key under ``order``."""

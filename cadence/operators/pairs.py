@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadence.functions.lcs import indel_ratios
 from cadence.functions.text import token_sorted
 from cadence.operators.features import day_alignment, pair_amount_feats
 from cadence.operators.ordered import ordered_positions
@@ -17,34 +17,9 @@ from cadence.schema import Cols
 
 # --- token-sort similarity (the one Arrow UDF on the pair path) ------------------
 
-def _lcs_len(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel (Hyyroe 2004)."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return 0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    v = full
-    for ch in a:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(b) - bin(v).count("1")
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * LCS / (len a + len b); two empty strings -> 100."""
-    total = len(a) + len(b)
-    if total == 0:
-        return 100.0
-    return 200.0 * _lcs_len(a, b) / total
-
-
 @F.pandas_udf(T.DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a.to_numpy(), b.to_numpy())], dtype="float64")
+    return pd.Series(indel_ratios(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
 def token_sort_ratio(a, b) -> Column:
@@ -56,23 +31,33 @@ def token_sort_ratio(a, b) -> Column:
     return _ratio_udf(token_sorted(a), token_sorted(b))
 
 
-def ratio_upper_bound(a, b) -> Column:
-    """Exact prefilter: LCS <= min length, so ratio <= 200 * min / (l1 + l2)."""
-    la, lb = F.length(token_sorted(a)), F.length(token_sorted(b))
-    return F.when(la + lb == 0, F.lit(100.0)).otherwise(200.0 * F.least(la, lb) / (la + lb))
+def ratio_upper_bound(sa, sb) -> Column:
+    """Exact prefilter for two token-sorted columns: a common subsequence has at most
+    min(count in a, count in b) of each character."""
+    sa, sb = (F.col(x) if isinstance(x, str) else x for x in (sa, sb))
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    chars = F.filter(F.array_distinct(F.split(sa, "")), lambda c: c != "")
+    shared = F.aggregate(chars, F.lit(0), lambda n, c: n + F.least(count(sa, c), count(sb, c)))
+    total = F.length(sa) + F.length(sb)
+    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * shared / total)
 
 
 def scored_text_pairs(pairs: DataFrame, t1: str, t2: str, threshold: float = 60.0) -> DataFrame:
     """Pairs whose texts reach ``threshold``, with ``str_score`` computed once per distinct (t1, t2).
 
-    Equal sorted texts score 100 in the JVM; of the others only those that the exact length
-    bound admits reach the UDF. Pairs below the threshold are dropped.
+    Equal sorted texts score 100 in the JVM; of the others only those that the exact
+    length and character-count bounds admit reach the UDF. Pairs below the threshold are dropped.
     """
-    cand = (pairs.select(F.col(t1).alias("_a"), F.col(t2).alias("_b")).distinct()
-            .withColumn("_same", token_sorted(F.col("_a")).eqNullSafe(token_sorted(F.col("_b")))))
-    same = cand.filter("_same").select("_a", "_b", F.lit(100.0).alias("str_score"))
-    rest = cand.filter(~F.col("_same") & (ratio_upper_bound(F.col("_a"), F.col("_b")) >= threshold))
-    scored = (same.unionByName(rest.select("_a", "_b", token_sort_ratio(F.col("_a"), F.col("_b")).alias("str_score")))
+    from cadence.session import materialize
+
+    # sorted once a distinct text pair and stored: the bound reads them once a character
+    cand = materialize(pairs.select(F.col(t1).alias("_a"), F.col(t2).alias("_b")).distinct()
+                       .withColumns({"_sa": token_sorted(F.col("_a")), "_sb": token_sorted(F.col("_b"))}))
+    equal = F.col("_sa") == F.col("_sb")
+    same = cand.filter(equal).select("_a", "_b", F.lit(100.0).alias("str_score"))
+    rest = cand.filter(~equal & (2 * F.least(F.length("_sa"), F.length("_sb")) * 100.0 >= threshold * (F.length("_sa") + F.length("_sb"))))
+    rest = rest.filter(ratio_upper_bound("_sa", "_sb") >= threshold)
+    scored = (same.unionByName(rest.select("_a", "_b", _ratio_udf("_sa", "_sb").alias("str_score")))
               .filter(F.col("str_score") >= threshold))
     return pairs.join(scored, (pairs[t1].eqNullSafe(scored["_a"])) & (pairs[t2].eqNullSafe(scored["_b"]))) \
                 .drop("_a", "_b")
@@ -131,6 +116,27 @@ def pair_details(pairs: DataFrame, rows: DataFrame, cols: Cols = Cols(), id1: st
     return base.join(r1, id1).join(r2, id2)
 
 
+def label_errors(pairs: DataFrame, rows: DataFrame, t1: str, t2: str, threshold: float = 0.9, digits: int = 6,
+                 cols: Cols = Cols()) -> DataFrame:
+    """Pairs of a false label with a probability above ``threshold``: the report for human labellers.
+
+    Adds the text score and both rows' dates, amounts and texts; ``rank`` orders by probability, then
+    text score, then ids (positions of a range-partitioned order, no global window).
+    """
+    from cadence.operators.ordered import global_positions
+    from cadence.session import materialize
+
+    c = cols
+    bad = pairs.filter((F.col("is_match") == 0) & (F.round("prob", 9) > threshold)).select(c.accountId, "trId_1", "trId_2", "prob", t1, t2)
+    d = scored_text_pairs(materialize(bad), t1, t2, 0.0).drop(t1, t2)
+    d = materialize(d.withColumns({"_p": -F.round("prob", 9), "_s": -F.round("str_score", 9)}))
+    d = global_positions(d, ["_p", "_s", "trId_1", "trId_2"], "_r")
+    d = pair_details(d, rows.select(c.trId, c.date, c.amount, c.text))
+    shown = [f"{x}_{k}" for x in (c.date, c.amount, c.text) for k in (1, 2)]
+    return d.select((F.col("_r") + 1).alias("rank"), "trId_1", "trId_2", c.accountId, F.round("prob", digits).alias("prob"),
+                    F.round("str_score", digits).alias("str_score"), *shown)
+
+
 def adjacency_truth(windows: DataFrame, keys: list[str], cols: Cols = Cols()) -> DataFrame:
     """True edges (i < j) inside each window: same pattern and not noise.
 
@@ -211,18 +217,30 @@ def vector_distance(a, b) -> Column:
 
 def recover_missed(rows: DataFrame, groups: DataFrame, account: str = "accountId", row_id: str = "vec_id",
                    vec: str = "embedding", amount: str = "amount", group_id: str = "group_id",
-                   distance: float = 2.0, amt_abs: float = 2.0, amt_rel: float = 0.1) -> DataFrame:
+                   distance: float = 2.0, amt_abs: float = 2.0, amt_rel: float = 0.1, hot_rows: int | None = None) -> DataFrame:
     """Unpredicted rows joined to the accepted groups of their account: recovered when
-    the distance to the group centroid < ``distance`` and |amount - group median| <
-    amt_abs or < amt_rel * |median|; the largest group id among matches wins.
+    |amount - group median| < amt_abs or < amt_rel * |median| and the distance to the group centroid
+    < ``distance``; the largest group id among matches wins.
+
+    An interval join on the amount first (each group's own half-width), so only rows of a group's
+    amount band meet its centroid.
 
     rows: (account, row_id, vec, amount) of unpredicted rows;
     groups: (account, group_id, centroid, amt_median) of accepted groups.
     """
-    j = rows.join(groups, account)
-    d = F.abs(F.col(amount) - F.col("amt_median"))
-    ok = (vector_distance(F.col(vec), F.col("centroid")) < distance) & \
-         ((d < amt_abs) | (d < F.abs(F.col("amt_median")) * amt_rel))
-    w = Window.partitionBy(row_id).orderBy(F.desc(group_id))
-    return (j.filter(ok).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-             .select(account, row_id, F.col(group_id).alias("recovered_group")))
+    j = amount_band_pairs(rows, groups, account, row_id, amount, group_id, amt_abs, amt_rel, hot_rows)
+    near = vector_distance(F.col(vec), F.col("centroid")) < distance
+    return j.filter(near).groupBy(account, row_id).agg(F.max(group_id).alias("recovered_group"))
+
+
+def amount_band_pairs(rows: DataFrame, groups: DataFrame, account: str, row_id: str, amount: str, group_id: str,
+                      amt_abs: float, amt_rel: float, hot_rows: int | None = None) -> DataFrame:
+    """(row, group) pairs of an account whose amount lies strictly within the group's half-width."""
+    from cadence.operators.range_join import expand, float_ends, rank_intervals
+
+    m = F.col("amt_median")
+    low, high = float_ends(m, F.greatest(F.lit(float(amt_abs)), F.abs(m) * amt_rel),
+                           lambda x: (F.abs(x - m) < amt_abs) | (F.abs(x - m) < F.abs(m) * amt_rel))
+    bands = groups.select(account, group_id, low.alias("low"), high.alias("high"))
+    placed, spans = rank_intervals(rows, bands, [account], amount, row_id, group_id, hot_rows=hot_rows)
+    return expand(placed, spans.drop("_top"), [account]).join(groups, [account, group_id])

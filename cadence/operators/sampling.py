@@ -76,13 +76,13 @@ def per_bank_sample(df: DataFrame, min_accounts: int = 850, n_train: int = 750,
                     account: str = "accountId", bank: str = "bank_name") -> DataFrame:
     """Banks with >= min_accounts accounts: the first n_train accounts train, the next n_test test."""
     acc = df.select(bank, account).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(account))))
-    from pyspark.sql import Window
-    # one window per bank over its accounts
-    w = Window.partitionBy(bank).orderBy("_h", account)
-    r = acc.withColumn("_r", F.row_number().over(w) - 1).withColumn("_nb", F.count(F.lit(1)).over(Window.partitionBy(bank)))
-    r = r.filter(F.col("_nb") >= min_accounts)
-    s = F.when(F.col("_r") < n_train, "train").when(F.col("_r") < n_train + n_test, "test")
-    return r.select(bank, account, s.alias("split")).filter(F.col("split").isNotNull())
+    from cadence.operators.ordered import ordered_positions
+
+    r = ordered_positions(acc, [bank], ["_h", account], "_r")
+    banks = acc.groupBy(bank).agg(F.count(F.lit(1)).alias("_nb")).filter(F.col("_nb") >= min_accounts)
+    # a bank keeps n_train + n_test accounts before its size is joined
+    r = r.filter(F.col("_r") < n_train + n_test).join(banks, bank)
+    return r.select(bank, account, F.when(F.col("_r") < n_train, "train").otherwise("test").alias("split"))
 
 
 def balanced_window_sample(windows: DataFrame, label: str, order: list[str], n: int, seed: int = 42) -> DataFrame:

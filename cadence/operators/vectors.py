@@ -17,11 +17,18 @@ from pyspark.sql import types as T
 from cadence.functions.text import char_wb_ngrams
 
 
-def hashed_ngram_vectors(texts: DataFrame, text: str = "text", dim: int = 64, out: str = "vec") -> DataFrame:
-    """(text, vec) for the distinct texts: bucket counts of pmod(xxhash64(gram), dim), L2-normalised."""
+def hashed_ngram_vectors(texts: DataFrame, text: str = "text", dim: int = 64, out: str = "vec", hashing: str = "xxhash64") -> DataFrame:
+    """(text, vec) for the distinct texts: bucket counts of the grams' hashes mod ``dim``, L2-normalised.
+
+    ``hashing``: xxhash64, or md5 (its first 32 bits), which other engines have as well.
+    """
+    if hashing == "md5":
+        bucket = (F.conv(F.substring(F.md5("_g"), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    else:
+        bucket = F.pmod(F.xxhash64("_g"), F.lit(dim)).cast("int")
     d = texts.select(text).distinct()
     g = d.select(text, F.explode(char_wb_ngrams(F.col(text))).alias("_g")) \
-         .select(text, F.pmod(F.xxhash64("_g"), F.lit(dim)).cast("int").alias("_b"))
+         .select(text, bucket.alias("_b"))
     c = g.groupBy(text, "_b").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     m = c.groupBy(text).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))

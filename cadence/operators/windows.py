@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +42,12 @@ def time_index(df: DataFrame, keys: list[str], cols: Cols = Cols(), hot_rows: in
     return ordered_positions(df, keys, [cols.date, cols.trId], "time_idx", hot_rows=hot_rows)
 
 
-def date_intervals(df: DataFrame, keys: list[str], cols: Cols = Cols()) -> DataFrame:
+def date_intervals(df: DataFrame, keys: list[str], cols: Cols = Cols(), hot_rows: int | None = None) -> DataFrame:
     """Whole days since the previous row of the group by date (NULL for the first)."""
-    w = Window.partitionBy(*keys).orderBy(cols.date, cols.trId)
-    return df.withColumn("interval_days", days_between(F.lag(cols.date).over(w), F.col(cols.date)))
+    from cadence.operators.ordered import ordered_scan
+
+    d = ordered_scan(df, keys, [cols.date, cols.trId], None, lags={"_prev_date": cols.date}, hot_rows=hot_rows)
+    return d.withColumn("interval_days", days_between(F.col("_prev_date"), F.col(cols.date))).drop("_prev_date")
 
 
 def days_between(a, b):
@@ -82,66 +82,54 @@ def amount_islands(df: DataFrame, cols: Cols = Cols(), gap_abs: float = 1.0, gap
     return s.join(size.select(*keys), keys).join(med, keys)
 
 
-def _band(x, tol_abs: float, tol_pct: float):
-    """A monotone map of amounts whose unit is about one tolerance: linear in steps of
-    ``tol_abs`` while that is the wider tolerance, logarithmic in steps of 1 + ``tol_pct`` above.
-    """
-    unit = max(tol_abs, 0.01)
-    m = F.abs(x)
-    if tol_pct <= 0:
-        return F.signum(x) * m / unit
-    joint = unit / tol_pct
-    h = F.when(m < joint, m / unit).otherwise(joint / unit + F.log(m / joint) / math.log1p(tol_pct))
-    return F.signum(x) * h
-
-
 def amount_seed_overlap(df: DataFrame, cols: Cols = Cols(), tol_abs: float = 1.0, tol_pct: float = 0.05,
-                        min_bin_size: int = 2, hot_rows: int | None = None) -> DataFrame:
+                        min_bin_size: int = 2, hot_rows: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Overlapping amount groups: every distinct 2-decimal amount of an account is a seed,
     members are rows with |a - s| <= tol_abs or <= tol_pct*|s|; a seed is dropped if its
     member set is inside the set of an earlier kept seed. A row may be in several groups.
 
-    Band join: rows and seeds meet on (account, band bucket) of a monotone map; a seed probes
-    the buckets from its lowest to its highest possible member (about three, whatever the
-    tolerances), then the exact test.
-    Member sets are amount intervals whose both ends grow with the seed, so "subset of
-    an earlier set" is "largest member amount <= running max of earlier ones".
+    Rank merge, no join before seeds are pruned: a seed's members are an interval of amounts, and its
+    member count a difference of positions. Both interval ends grow with the seed, so "subset of an
+    earlier set" is "largest member amount <= running max of earlier ones". Only kept seeds are expanded,
+    in blocks of positions. Rows without an amount belong to no group.
     """
     from cadence.functions.text import group_key
     from cadence.operators.ordered import ordered_scan
+    from cadence.operators.range_join import expand, float_ends, rank_intervals
+    from cadence.session import materialize
 
     c = cols
-    bucket = lambda x: F.floor(_band(x, tol_abs, tol_pct)).cast("long")
-    rows = df.select(c.accountId, c.trId, c.amount).withColumn("_b", bucket(F.col(c.amount)))
-    seeds = df.select(c.accountId, F.round(c.amount, 2).alias("seed")).distinct()
-    # a hair wider than the tolerance, so that rounding in the map loses no member
-    reach = F.greatest(F.lit(float(tol_abs)), F.abs(F.col("seed")) * tol_pct) * (1 + 1e-9) + 1e-9
-    probes = seeds.withColumn("_b", F.explode(F.sequence(bucket(F.col("seed") - reach), bucket(F.col("seed") + reach))))
-    d = F.abs(F.col(c.amount) - F.col("seed"))
-    mem = probes.join(rows, [c.accountId, "_b"]).filter((d <= tol_abs) | (d <= F.abs(F.col("seed")) * tol_pct))
-    per = mem.groupBy(c.accountId, "seed").agg(F.count(F.lit(1)).alias("_m"), F.max(c.amount).alias("_hi"))
-    per = per.filter(F.col("_m") >= min_bin_size)
-    per = ordered_scan(per, [c.accountId], ["seed"], None, maxes={"_prev_hi": "_hi"}, hot_rows=hot_rows)
-    kept = per.filter(F.col("_prev_hi").isNull() | (F.col("_hi") > F.col("_prev_hi"))).select(
-        c.accountId, "seed", group_key(F.col(c.accountId), F.col("seed")).alias("global_group_id"))
+    rows = materialize(df.select(c.accountId, c.trId, c.amount, *carry).filter(F.col(c.amount).isNotNull()))
+    seeds = rows.select(c.accountId, F.round(c.amount, 2).alias("seed")).distinct()
+    seed = F.col("seed")
+    low, high = float_ends(seed, F.greatest(F.lit(float(tol_abs)), F.abs(seed) * tol_pct),
+                           lambda x: (F.abs(x - seed) <= tol_abs) | (F.abs(x - seed) <= F.abs(seed) * tol_pct))
+    placed, spans = rank_intervals(rows, seeds.withColumns({"low": low, "high": high}), [c.accountId], c.amount, c.trId, "seed",
+                                   hot_rows=hot_rows)
+    per = spans.filter(F.col("_after") - F.col("_first") >= min_bin_size)
+    per = ordered_scan(per, [c.accountId], ["seed"], None, maxes={"_prev_hi": "_top"}, hot_rows=hot_rows)
     # the key is formatted once per kept seed, not once per (row, seed) membership
-    out = mem.join(kept, [c.accountId, "seed"])
-    return out.select(c.accountId, c.trId, c.amount, F.col("seed").alias("cluster_seed_amount"), "global_group_id")
+    kept = per.filter(F.col("_prev_hi").isNull() | (F.col("_top") > F.col("_prev_hi"))).select(
+        c.accountId, "seed", "_first", "_after", group_key(F.col(c.accountId), F.col("seed")).alias("global_group_id"))
+    return expand(placed, kept, [c.accountId]).select(c.accountId, c.trId, c.amount, F.col("seed").alias("cluster_seed_amount"),
+                                                      "global_group_id", *carry)
 
 
 def sequence_windows(df: DataFrame, series: list[str], fields: list[str], cols: Cols = Cols(),
                      min_len: int = 5, max_len: int = 64, predict: bool = False,
-                     time_col: str = "time_idx") -> DataFrame:
+                     time_col: str = "time_idx", hot_rows: int | None = None) -> DataFrame:
     """Encoder windows: for each row with >= min_len earlier rows in its series, the
     array of up to max_len earlier rows (oldest first) plus the target row.
 
     predict=True keeps only the last row of each series. Frames are bounded by
-    max_len, so a long series never builds an unbounded array.
+    max_len, so a long series never builds an unbounded array, and ranges of a split series
+    see each other's edges (``bounded_frames``). ``time_col`` must be unique in a series.
     """
-    w = Window.partitionBy(*series).orderBy(time_col)
-    hist = F.collect_list(F.struct(*fields)).over(w.rowsBetween(-max_len, -1))
-    out = df.withColumn("history", hist).filter(F.size("history") >= min_len)
+    from cadence.operators.ordered import bounded_frames
+
+    frames = {"history": lambda w: F.collect_list(F.struct(*fields)).over(w.rowsBetween(-max_len, -1))}
     if predict:
-        last = df.groupBy(*series).agg(F.max(time_col).alias("_last"))
-        out = out.join(last, series).filter(F.col(time_col) == F.col("_last")).drop("_last")
-    return out
+        frames["_next"] = lambda w: F.lead(F.lit(1)).over(w)
+    out = bounded_frames(df, series, [time_col], frames, max_len, 1 if predict else 0, hot_rows)
+    out = out.filter(F.size("history") >= min_len)
+    return out.filter(F.col("_next").isNull()).drop("_next") if predict else out

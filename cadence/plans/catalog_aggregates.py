@@ -42,12 +42,9 @@ def q_interval_stats(spark, sf):
 @register("amount_stats", f"""
 SELECT accountId, patternId, round(stddev_samp(amount), {R}) AS amount_std,
        round(CASE WHEN avg(abs(amount)) > 0 THEN stddev_samp(amount) / avg(abs(amount)) ELSE 0.0 END, {R}) AS amount_cv
-FROM txn WHERE patternId IS NOT NULL GROUP BY accountId, patternId HAVING count(*) >= 2""")
+FROM txn WHERE patternId IS NOT NULL GROUP BY accountId, patternId""")
 def q_amount_stats(spark, sf):
-    t = _pat(spark, sf)
-    big = t.groupBy("accountId", "patternId").count().filter("count >= 2").drop("count")
-    return _rd(A.amount_stats(t.join(big, ["accountId", "patternId"], "left_semi"), ["accountId", "patternId"]),
-               ["amount_std", "amount_cv"])
+    return _rd(A.amount_stats(_pat(spark, sf), ["accountId", "patternId"]), ["amount_std", "amount_cv"])
 
 
 @register("majority_label", """
@@ -63,7 +60,7 @@ _GCF = ["confidence", "amt_median", "amt_cv", "days_median", "days_std"]
 g AS (SELECT accountId, patternId, count(*) AS size, avg(prob) AS confidence, stddev_samp(amount) AS sd,
              avg(abs(amount)) AS mabs, CAST(avg(CAST(isRecurring AS DOUBLE)) > 0.5 AS INTEGER) AS true_label,
              quantile_cont(amount, 0.5) AS amt_median
-      FROM scored WHERE patternId IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+      FROM scored WHERE patternId IS NOT NULL GROUP BY ALL),
 m AS (SELECT accountId, patternId, bankRawDescription AS description FROM (
         SELECT accountId, patternId, bankRawDescription,
                row_number() OVER (PARTITION BY accountId, patternId ORDER BY count(*) DESC, bankRawDescription) AS r
@@ -76,9 +73,9 @@ SELECT g.accountId, g.patternId, m.description, g.size, round(g.confidence, {R})
 FROM g JOIN m USING (accountId, patternId) LEFT JOIN gs USING (accountId, patternId)""", views=("scored",))
 def q_gcf(spark, sf):
     t = scored(spark, sf).filter(F.col("patternId").isNotNull())
-    big = t.groupBy("accountId", "patternId").count().filter("count >= 2").drop("count")
-    t = t.join(big, ["accountId", "patternId"], "left_semi")
-    return _rd(S.group_candidate_features(t, ["accountId", "patternId"]), _GCF)
+    g = S.group_candidate_features(t, ["accountId", "patternId"])
+    # a single row has no deviation: NaN in the features, NULL in the report
+    return _rd(g.withColumn("amt_cv", F.when(~F.isnan("amt_cv"), F.col("amt_cv"))), _GCF)
 
 
 @register("group_summary", "WITH " + _GAPS.format(src="scored") + f""",
@@ -223,6 +220,18 @@ def q_seq_windows(spark, sf):
     return s.select("trId", F.size("history").alias("hist_len"), F.col("history")[0]["trId"].alias("first_hist"))
 
 
+@register("sequence_windows_predict", """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY accountId ORDER BY date, trId) - 1 AS time_idx FROM txn_orders),
+h AS (SELECT trId, accountId, time_idx, list(trId) OVER w AS hist, max(time_idx) OVER (PARTITION BY accountId) AS last FROM t
+      WINDOW w AS (PARTITION BY accountId ORDER BY time_idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT trId, accountId, array_to_string(hist, ',') AS history FROM h WHERE time_idx = last AND len(hist) >= 3""", views=("txn_orders",))
+def q_seq_predict(spark, sf):
+    """Prediction mode: the encoder window of the last row of each series."""
+    t = W.time_index(txn_orders(spark, sf), ["accountId"])
+    s = W.sequence_windows(t, ["accountId"], ["trId"], min_len=3, max_len=8, predict=True)
+    return s.select("trId", "accountId", F.array_join(F.transform("history", lambda h: h["trId"]), ",").alias("history"))
+
+
 @register("widest_gaps", f"""
 WITH s AS (SELECT accountId, patternId, amount, lead(amount) OVER (PARTITION BY accountId, patternId ORDER BY amount, trId) - amount AS g
            FROM txn WHERE patternId IS NOT NULL)

@@ -1,5 +1,7 @@
 """Sources, cleaning, dedup queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cadence.functions import text as T
@@ -7,6 +9,7 @@ from cadence.operators import clean as C
 from cadence.plans.catalog import register
 from cadence.plans.sqlfrag import clean_description, clean_stop, days, detector_text, keyword
 from cadence.schema import CYCLE_LABELS, MISSING_ID_SENTINELS
+from cadence.session import checkpoint_dir
 from cadence.sources import io
 from cadence.sources.fixtures import txn
 
@@ -23,23 +26,59 @@ def q_pruned(spark, sf):
     return io.pruned(txn(spark, sf), ["trId", "accountId", "amount"])
 
 
-def _raw_bank(spark, sf):
-    """txn with the raw bank-file column names, as the consolidation input."""
-    return io.raw_bank_frame(txn(spark, sf))
+def _bank_folder(spark) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/banks-{uuid.uuid4().hex}"
 
 
-@register("consolidate_transactions", """
-SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, counter_party, patternId, bank_name
-FROM txn WHERE lower(CAST(isForeignCurrency AS VARCHAR)) <> 'true' AND status = 'Cleared'""")
+def _write_csv(df, folder: str, name: str) -> None:
+    df.write.option("header", True).csv(f"{folder}/{name}.csv")
+
+
+_SIDE = "CAST(accountId AS INTEGER) % 3"
+_TAKEN = "lower(CAST(isForeignCurrency AS VARCHAR)) <> 'true' AND status = 'Cleared'"
+
+
+@register("consolidate_transactions", f"""
+SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, counter_party, patternId, 'North' AS bank_name
+FROM txn WHERE {_SIDE} = 0 AND {_TAKEN}
+UNION ALL
+SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, NULL, NULL, 'South' FROM txn WHERE {_SIDE} = 1""")
 def q_consolidate(spark, sf):
-    return C.consolidate([_raw_bank(spark, sf)])
+    """Bank files that the query writes from the transactions and reads back through the consolidation.
+
+    North comes in two files of other column orders, of which the second repeats rows under another text;
+    South has only the required columns; East holds wrong signs and West lacks a column: both are left out.
+    """
+    t = txn(spark, sf)
+    raw = io.raw_bank_frame(t.select("trId", "accountId", "date", "amount", "bankRawDescription", "isRecurring", "direction",
+                                     "status", "isForeignCurrency", "counter_party", "patternId"))
+    side = F.col("accountId").cast("int") % 3
+    folder = _bank_folder(spark)
+    north, south, east = (raw.filter(side == k) for k in range(3))
+    _write_csv(north, folder, "North_DTransaction_1")
+    again = north.withColumn("bankRawDescription", F.lit("SEEN BEFORE"))
+    _write_csv(again.select(*reversed(again.columns)), folder, "North_DTransaction_2")
+    _write_csv(south.select("id", "accountId", "date", "amount", "bankRawDescription", "isRecurring", "direction"), folder, "South_DTransaction")
+    flipped = F.when(F.col("status") == "Cleared", F.lit("D")).otherwise(F.col("direction"))
+    _write_csv(east.withColumn("direction", flipped), folder, "East_DTransaction")
+    _write_csv(south.drop("bankRawDescription"), folder, "West_DTransaction")
+    return io.consolidate_transactions(spark, folder)
 
 
 @register("consolidate_patterns", """
-SELECT patternId, min(patternCycle) AS patternCycle, min(bank_name) AS bank_name
-FROM txn WHERE patternId IS NOT NULL GROUP BY patternId""")
+WITH d AS (SELECT patternId, min(patternCycle) AS patternCycle, CAST(split_part(patternId, '-', 2) AS INTEGER) < 8 AS first
+           FROM txn WHERE patternId IS NOT NULL GROUP BY patternId)
+SELECT patternId, CASE WHEN first THEN patternCycle ELSE upper(patternCycle) END AS patternCycle,
+       CASE WHEN first THEN 'A' ELSE 'B' END AS bank_name FROM d""")
 def q_consolidate_patterns(spark, sf):
-    return io.pattern_table(txn(spark, sf))
+    """Pattern files: the first file's row of a pattern wins, a file without the columns is skipped."""
+    p = io.pattern_table(txn(spark, sf)).select("patternId", "patternCycle")
+    folder = _bank_folder(spark)
+    _write_csv(p.filter(F.split("patternId", "-")[1].cast("int") < 8), folder, "A_DRecurringPattern")
+    _write_csv(p.select(F.upper("patternCycle").alias("patternCycle"), "patternId"), folder, "B_DRecurringPattern")
+    _write_csv(p.select("patternId"), folder, "0_DRecurringPattern")
+    return io.consolidate_patterns(spark, folder)
 
 
 @register("schema_gate", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadence.operators import features as X
 from cadence.operators import windows as W
 from cadence.plans.catalog import register
+from cadence.plans.sqlfrag import amount_vocab_ctes
 from cadence.sources.fixtures import txn, txn_events
 
 R = 6
@@ -106,16 +107,7 @@ def q_simple_cycle(spark, sf):
     return t.select("trId", X.simple_cycle(F.col("interval_days")).alias("simple_cycle"))
 
 
-_VOCAB = f"""
-counts AS (SELECT amount, count(*) AS n FROM txn GROUP BY amount),
-top AS (SELECT amount FROM counts ORDER BY n DESC, amount LIMIT 20),
-toptok AS (SELECT amount, CAST(row_number() OVER (ORDER BY amount) + 1 AS INTEGER) AS token FROM top),
-rest AS (SELECT ln(1 + abs(amount)) AS la FROM txn WHERE amount NOT IN (SELECT amount FROM top)),
-q AS (SELECT list_sort(list_distinct(quantile_cont(la, [{", ".join(str(i / 20) for i in range(21))}]))) AS u FROM rest),
-edges AS (SELECT CASE WHEN u IS NULL OR len(u) < 2 THEN [CAST('-inf' AS DOUBLE), CAST('inf' AS DOUBLE)] ELSE u END AS edges FROM q),
-bins AS (SELECT CAST(i - 1 AS INTEGER) AS bin, edges[i] AS edge_lo,
-                CAST((SELECT count(*) FROM top) + 2 + i - 1 AS INTEGER) AS token
-         FROM edges, range(1, len(edges)) t(i))"""
+_VOCAB = amount_vocab_ctes("txn")
 
 
 @register("amount_vocab_fit", "WITH " + _VOCAB + f"""

@@ -9,6 +9,7 @@ from cadence.operators import pairs as P
 from cadence.operators import windows as W
 from cadence.operators.ordered import exact_quantiles
 from cadence.plans.catalog import register
+from cadence.session import materialize
 from cadence.sources import io
 from cadence.sources.fixtures import scored, txn, vectors
 
@@ -57,7 +58,7 @@ def q_pair_amt(spark, sf):
                     "is_exact", "sign_match")
 
 
-from cadence.plans.sqlfrag import clean_description as _cd_sql, keyword as _kw_sql  # noqa: E402
+from cadence.plans.sqlfrag import clean_description as _cd_sql, keyword as _kw_sql, lcs_ctes, token_sorted as _ts_sql  # noqa: E402
 
 
 @register("candidate_pairs_ext", "WITH " + _PAIRS + f"""
@@ -86,16 +87,19 @@ def _rule_prob():
         F.when(F.col("diff_days") >= 4, 1.0).otherwise(0.5)
 
 
-@register("label_error_pairs", "WITH " + _PAIRS + f"""
-SELECT trId_1, trId_2, round(prob, {R}) AS prob, txt_1 AS bankRawDescription_1, txt_2 AS bankRawDescription_2 FROM (
-  SELECT *, {_RULE} AS prob, coalesce(pat_1, 'NOISE_' || trId_1) = coalesce(pat_2, 'NOISE_' || trId_2) AS same FROM feats)
-WHERE NOT same AND round(prob, 9) > 0.9""")
+@register("label_error_pairs", "WITH RECURSIVE " + _PAIRS + f""",
+bad AS MATERIALIZED (
+  SELECT *, {_ts_sql(_cd_sql('txt_1'))} AS s, {_ts_sql(_cd_sql('txt_2'))} AS t FROM (
+    SELECT *, {_RULE} AS prob, coalesce(pat_1, 'NOISE_' || trId_1) = coalesce(pat_2, 'NOISE_' || trId_2) AS same FROM feats)
+  WHERE NOT same AND round(prob, 9) > 0.9),""" + lcs_ctes("bad") + f"""
+SELECT row_number() OVER (ORDER BY round(prob, 9) DESC, round(score, 9) DESC, trId_1, trId_2) AS rank, trId_1, trId_2, accountId,
+       round(prob, {R}) AS prob, round(score, {R}) AS str_score, d1 AS date_1, d2 AS date_2, a1 AS amount_1, a2 AS amount_2,
+       txt_1 AS bankRawDescription_1, txt_2 AS bankRawDescription_2 FROM bad JOIN ratio USING (s, t)""")
 def q_label_errors(spark, sf):
-    t = C.noise_pattern_ids(txn(spark, sf))
-    p = P.pair_label(P.pair_features(P.candidate_pairs(t, extra=["patternId"]))).withColumn("prob", _rule_prob())
-    bad = p.filter((F.col("is_match") == 0) & (F.round("prob", 9) > 0.9)).select("trId_1", "trId_2", "prob")
-    d = P.pair_details(bad, txn(spark, sf).select("trId", "bankRawDescription"))
-    return d.select("trId_1", "trId_2", F.round("prob", R).alias("prob"), "bankRawDescription_1", "bankRawDescription_2")
+    """Pairs labelled as no match that score above 0.9, most suspicious first (probability, then text score)."""
+    t = C.noise_pattern_ids(C.with_pair_text(txn(spark, sf)))
+    p = P.pair_label(P.pair_features(P.candidate_pairs(t, extra=["patternId", "clean_text"]))).withColumn("prob", _rule_prob())
+    return P.label_errors(p, txn(spark, sf), "clean_text_1", "clean_text_2", 0.9, R)
 
 
 @register("pair_details", "WITH " + _PAIRS + f"""
@@ -107,13 +111,15 @@ def q_pair_details(spark, sf):
     return d.select("trId_1", "trId_2", "amount_1", "amount_2", "bankRawDescription_1", "bankRawDescription_2")
 
 
-@register("token_sort_ratio")
+@register("token_sort_ratio", "WITH RECURSIVE " + _PAIRS + f""",
+ct AS MATERIALIZED (SELECT trId_1, trId_2, {_ts_sql(_cd_sql('txt_1'))} AS s, {_ts_sql(_cd_sql('txt_2'))} AS t FROM pairs),""" + lcs_ctes("ct") + f"""
+SELECT trId_1, trId_2, round(score, {R}) AS str_score FROM ct JOIN ratio USING (s, t) WHERE score >= 60.0""")
 def q_token_sort(spark, sf):
-    """Similarity of the cleaned texts of band pairs, on distinct text pairs (rows check)."""
+    """Similarity of the cleaned texts of band pairs, on distinct text pairs."""
     t = C.with_pair_text(txn(spark, sf))
     p = P.candidate_pairs(t, extra=["clean_text"])
     s = P.scored_text_pairs(p, "clean_text_1", "clean_text_2", 60.0)
-    return s.select("trId_1", "trId_2", "str_score")
+    return s.select("trId_1", "trId_2", F.round("str_score", R).alias("str_score"))
 
 
 _DIRWIN = """
@@ -121,19 +127,21 @@ dw AS (SELECT *, CASE WHEN amount > 0 THEN 1 ELSE -1 END AS sign FROM txn),
 dp AS MATERIALIZED (SELECT *, CAST(floor((row_number() OVER (PARTITION BY accountId, sign ORDER BY amount, date, trId) - 1) / 64) AS INTEGER) AS win FROM dw)"""
 
 
-@register("adjacency_truth", "WITH " + _DIRWIN + """
-SELECT a.trId AS trId_1, b.trId AS trId_2 FROM dp a JOIN dp b
-  ON a.accountId = b.accountId AND a.sign = b.sign AND a.win = b.win AND a.patternId = b.patternId AND a.trId < b.trId""")
+@register("adjacency_truth", "WITH " + _DIRWIN + """,
+pt AS MATERIALIZED (SELECT accountId, sign, win, patternId, trId FROM dp WHERE patternId IS NOT NULL),
+met AS MATERIALIZED (SELECT a.trId AS trId_1, b.trId AS trId_2 FROM pt a JOIN pt b USING (accountId, sign, win, patternId))
+SELECT trId_1, trId_2 FROM met WHERE trId_1 < trId_2""")
 def q_adjacency(spark, sf):
     w = W.direction_windows(txn(spark, sf), max_seq_len=64)
     return P.adjacency_truth(w, ["accountId", "sign", "win"]).select("trId_1", "trId_2")
 
 
 _EDGE_SCORED = "WITH " + _DIRWIN + """,
-e AS (SELECT a.trId AS trId_1, b.trId AS trId_2, a.bankRawDescription AS txt_1, b.bankRawDescription AS txt_2, a.amount AS amt_1, b.amount AS amt_2,
-             CAST(coalesce(a.patternId = b.patternId, false) AS INTEGER) AS truth,
-             1.0 / (1.0 + abs(a.amount - b.amount) / 100.0) AS prob
-      FROM dp a JOIN dp b ON a.accountId = b.accountId AND a.sign = b.sign AND a.win = b.win AND a.trId < b.trId)"""
+met AS MATERIALIZED (
+  SELECT a.trId AS trId_1, b.trId AS trId_2, a.bankRawDescription AS txt_1, b.bankRawDescription AS txt_2, a.amount AS amt_1, b.amount AS amt_2,
+         CAST(coalesce(a.patternId = b.patternId, false) AS INTEGER) AS truth, 1.0 / (1.0 + abs(a.amount - b.amount) / 100.0) AS prob
+  FROM dp a JOIN dp b ON a.accountId = b.accountId AND a.sign = b.sign AND a.win = b.win),
+e AS MATERIALIZED (SELECT * FROM met WHERE trId_1 < trId_2)"""
 
 
 def _edges(spark, sf):
@@ -163,11 +171,12 @@ SELECT c.*, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, {R}) A
        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, {R}) AS recall,
        round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, {R}) AS f1, ap.* FROM c, ap""")
 def q_edge_prf(spark, sf):
-    e = _edges(spark, sf)
-    prf = M.row_prf(e, "truth", F.col("prob") > 0.5)
+    # the window pairs are built once: one table of counts a score feeds all three
+    st = materialize(M.score_table(_edges(spark, sf), "prob", "truth"))
+    prf = M.prf_at(st, 0.5)
     prf = prf.select(*[F.round(c, R).alias(c) if c in ("precision", "recall", "f1") else F.col(c) for c in prf.columns])
-    ap = M.average_precision(e, "prob", "truth").select(F.round("average_precision", 4).alias("average_precision"))
-    auc = M.roc_auc(e, "prob", "truth").select(F.round("roc_auc", 4).alias("roc_auc"))
+    ap = M.average_precision(None, None, None, table=st).select(F.round("average_precision", 4).alias("average_precision"))
+    auc = M.roc_auc(None, None, None, table=st).select(F.round("roc_auc", 4).alias("roc_auc"))
     return prf.crossJoin(ap).crossJoin(auc)
 
 

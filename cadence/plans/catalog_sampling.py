@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from cadence.operators import metrics as M
+from cadence.operators import pairs as P
 from cadence.operators import sampling as S
 from cadence.operators import topk as K
 from cadence.plans.catalog import register
+from cadence.plans.catalog_pairs import _PAIRS
 from cadence.sources.fixtures import scored, txn
 
 R = 6
@@ -58,13 +60,10 @@ def q_per_bank(spark, sf):
     return S.per_bank_sample(txn(spark, sf), min_accounts=5, n_train=3, n_test=1)
 
 
-@register("pair_holdout", """
-WITH p AS (SELECT DISTINCT trId AS trId_1, patternId FROM txn WHERE patternId IS NOT NULL)
-SELECT trId_1, CAST(('0x' || substr(md5('42|' || trId_1 || '|' || patternId), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 < 0.2 AS holdout FROM p""")
+@register("pair_holdout", "WITH " + _PAIRS + """
+SELECT trId_1, trId_2, CAST(('0x' || substr(md5('42|' || trId_1 || '|' || trId_2), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 < 0.2 AS holdout FROM pairs""")
 def q_pair_holdout(spark, sf):
-    p = txn(spark, sf).filter(F.col("patternId").isNotNull()).select(F.col("trId").alias("trId_1"),
-                                                                     F.col("patternId").alias("trId_2"))
-    return S.pair_holdout(p, 0.2, 42).select("trId_1", "holdout")
+    return S.pair_holdout(P.candidate_pairs(txn(spark, sf)), 0.2, 42).select("trId_1", "trId_2", "holdout")
 
 
 @register("group_kfold", "WITH " + _ORDER.format(seed=42) + """
@@ -100,6 +99,22 @@ def q_top_mistakes(spark, sf):
     return K.top_mistakes(d, 5).select("trId", "result_type", F.round("prob", R).alias("prob"), "rank")
 
 
+@register("top_group_mistakes", f"""
+WITH g AS (SELECT patternId, avg(prob) AS prob, max(isRecurring) AS truth, avg(prob) > 0.47 AS taken FROM scored WHERE patternId IS NOT NULL GROUP BY 1),
+flip AS (SELECT patternId, round(prob, 9) AS prob, CASE WHEN taken THEN 'FP' ELSE 'FN' END AS result_type FROM g
+         WHERE taken <> (CAST(split_part(patternId, '-', 2) AS INTEGER) % 2 = 0))
+SELECT patternId, result_type, round(prob, {R}) AS prob, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY result_type ORDER BY CASE WHEN result_type = 'FP' THEN -prob ELSE prob END, patternId) AS rank FROM flip)
+WHERE rank <= 5""", views=("scored",))
+def q_top_group_mistakes(spark, sf):
+    """Group form: each pattern group once, with its mean probability; even pattern numbers play the true groups."""
+    g = (scored(spark, sf).filter(F.col("patternId").isNotNull()).groupBy("patternId")
+         .agg(F.avg("prob").alias("p")).withColumn("prob", F.round("p", 9)))
+    taken, truth = F.col("p") > 0.47, F.split("patternId", "-")[1].cast("int") % 2 == 0
+    d = g.withColumn("result_type", F.when(taken & ~truth, "FP").when(~taken & truth, "FN").otherwise("OK"))
+    return K.top_group_mistakes(d, 5, group="patternId").select("patternId", "result_type", F.round("prob", R).alias("prob"), "rank")
+
+
 @register("largest_group_sample", """
 WITH g AS (SELECT patternId, count(*) AS n FROM txn WHERE patternId IS NOT NULL GROUP BY patternId ORDER BY n DESC, patternId LIMIT 1)
 SELECT trId, date FROM txn WHERE patternId IN (SELECT patternId FROM g)""")

@@ -130,3 +130,39 @@ lab AS (
 clus AS (
   SELECT s.*, CASE WHEN lab._any_vec THEN lab._label ELSE 'raw:' || s.{raw} END AS cluster
   FROM {src} s JOIN lab USING ({keys}, {text}))"""
+
+
+def token_sorted(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+def lcs_ctes(texts: str) -> str:
+    """CTE ``ratio`` (s, t, score) for the distinct pairs (s, t) of ``texts``; needs WITH RECURSIVE.
+
+    ``lcs`` goes through s character by character; ``line`` is the row of the dynamic programme over t,
+    whose next value is the running maximum of "one more than the diagonal" at equal characters and
+    the value above elsewhere.
+    """
+    step = ("CASE WHEN j = 0 THEN 0 WHEN substr(t, j::INTEGER, 1) = substr(s, i + 1, 1) THEN line[j] + 1 ELSE line[j + 1] END")
+    return f"""
+lcs AS (
+  SELECT DISTINCT s, t, 0 AS i, list_transform(range(length(t) + 1), lambda j: 0) AS line FROM {texts}
+  UNION ALL
+  SELECT s, t, i + 1, list_transform(range(length(t) + 1), lambda k: list_max(cand[1:k + 1])) FROM (
+    SELECT s, t, i, list_transform(range(length(t) + 1), lambda j: {step}) AS cand FROM lcs WHERE i < length(s))),
+ratio AS (SELECT s, t, CASE WHEN length(s) + length(t) = 0 THEN 100.0
+                            ELSE 200.0 * line[length(t) + 1] / (length(s) + length(t)) END AS score FROM lcs WHERE i = length(s))"""
+
+
+def amount_vocab_ctes(src: str, top: int = 20, bins: int = 20) -> str:
+    """CTEs counts, top, toptok, rest, q, edges, bins: the amount vocabulary learned from ``src``."""
+    return f"""
+counts AS (SELECT amount, count(*) AS n FROM {src} GROUP BY amount),
+top AS (SELECT amount FROM counts ORDER BY n DESC, amount LIMIT {top}),
+toptok AS (SELECT amount, CAST(row_number() OVER (ORDER BY amount) + 1 AS INTEGER) AS token FROM top),
+rest AS (SELECT ln(1 + abs(amount)) AS la FROM {src} WHERE amount NOT IN (SELECT amount FROM top)),
+q AS (SELECT list_sort(list_distinct(quantile_cont(la, [{", ".join(str(i / bins) for i in range(bins + 1))}]))) AS u FROM rest),
+edges AS (SELECT CASE WHEN u IS NULL OR len(u) < 2 THEN [CAST('-inf' AS DOUBLE), CAST('inf' AS DOUBLE)] ELSE u END AS edges FROM q),
+bins AS (SELECT CAST(i - 1 AS INTEGER) AS bin, edges[i] AS edge_lo,
+                CAST((SELECT count(*) FROM top) + 2 + i - 1 AS INTEGER) AS token
+         FROM edges, range(1, len(edges)) t(i))"""

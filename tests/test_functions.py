@@ -6,10 +6,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cadence.functions.text import char_wb_ngrams, fixed2
+from cadence.functions.lcs import indel_ratios, lcs_lengths
+from cadence.functions.text import char_wb_ngrams, fixed2, token_sorted
 from cadence.operators import features as X
 from cadence.operators.components import bounded_components, connected_components
-from cadence.operators.pairs import _lcs_len, indel_ratio, token_sort_ratio
+from cadence.operators.pairs import ratio_upper_bound, token_sort_ratio
 
 
 def test_fixed2_matches_python(spark):
@@ -51,12 +52,23 @@ def test_lcs_and_ratio():
                 dp[i + 1][j + 1] = dp[i][j] + 1 if a[i] == b[j] else max(dp[i][j + 1], dp[i + 1][j])
         return dp[-1][-1]
     random.seed(0)
-    for _ in range(500):
-        a = "".join(random.choice("abc ") for _ in range(random.randint(0, 25)))
-        b = "".join(random.choice("abcd") for _ in range(random.randint(0, 25)))
-        assert _lcs_len(a, b) == lcs(a, b)
-    assert indel_ratio("", "") == 100.0
-    assert indel_ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
+    first, second = [], []
+    for _ in range(700):  # up to four lanes of 64 characters, lengths around the lane borders included
+        n, m = (random.choice([0, 1, 3, 25, 63, 64, 65, 130, 220]) for _ in range(2))
+        first.append("".join(random.choice("abcé🙂 ") for _ in range(n)))
+        second.append("".join(random.choice("abcdé🙂") for _ in range(m)))
+    assert lcs_lengths(first, second).tolist() == [lcs(a, b) for a, b in zip(first, second)]
+    assert lcs_lengths([], []).tolist() == []
+    assert indel_ratios(["", "abc"], ["", "abd"]).tolist() == [100.0, pytest.approx(200 * 2 / 6)]
+
+
+def test_character_bound_is_never_below_the_score(spark):
+    random.seed(2)
+    rows = [("".join(random.choice("ab c") for _ in range(random.randint(0, 12))), "".join(random.choice("abd ") for _ in range(random.randint(0, 12))))
+            for _ in range(200)]
+    df = spark.createDataFrame(rows + [("", ""), ("é", "e")], "a string, b string")
+    for r in df.select(ratio_upper_bound(token_sorted(F.col("a")), token_sorted(F.col("b"))).alias("top"), token_sort_ratio(F.col("a"), F.col("b")).alias("s")).collect():
+        assert r.s <= r.top + 1e-9
 
 
 def test_token_sort_ratio_column(spark):
