@@ -161,13 +161,13 @@ def cast_ids_labels(df: DataFrame, cols: Cols = Cols()) -> DataFrame:
 
 def schema_gate(frames: list[DataFrame], required: list[str] | None = None,
                 optional: list[str] | None = None) -> list[DataFrame]:
-    """Drop inputs missing a required column; keep required + present optional + bank_name."""
+    """Drop inputs missing a required column; keep required + present optional + bank_name (and the ingest order)."""
     required = required or REQUIRED
     optional = optional if optional is not None else OPTIONAL
     kept = []
     for f in frames:
         if all(c in f.columns for c in required):
-            keep = required + [c for c in optional if c in f.columns] + (["bank_name"] if "bank_name" in f.columns else [])
+            keep = required + [c for c in optional if c in f.columns] + [c for c in ("bank_name", "_ingest") if c in f.columns]
             kept.append(f.select(*keep))
     return kept
 

@@ -40,7 +40,7 @@ _TAKEN = "lower(CAST(isForeignCurrency AS VARCHAR)) <> 'true' AND status = 'Clea
 
 
 @register("consolidate_transactions", f"""
-SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, counter_party, patternId, 'North' AS bank_name
+SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, nullif(counter_party, '') AS counter_party, patternId, 'North' AS bank_name
 FROM txn WHERE {_SIDE} = 0 AND {_TAKEN}
 UNION ALL
 SELECT trId, accountId, date, amount, bankRawDescription, isRecurring, NULL, NULL, 'South' FROM txn WHERE {_SIDE} = 1""")
@@ -48,7 +48,7 @@ def q_consolidate(spark, sf):
     """Bank files that the query writes from the transactions and reads back through the consolidation.
 
     North comes in two files of other column orders, of which the second repeats rows under another text;
-    South has only the required columns; East holds wrong signs and West lacks a column: both are left out.
+    South has only the required columns; an empty field is a missing value; East holds wrong signs and West lacks a column: both are left out.
     """
     t = txn(spark, sf)
     raw = io.raw_bank_frame(t.select("trId", "accountId", "date", "amount", "bankRawDescription", "isRecurring", "direction",

@@ -51,12 +51,11 @@ _GF = ["size", "confidence", "amt_median", "amt_cv", "days_median", "days_std"]
 
 @register("group_classifier_rf")
 def q_group_rf(spark, sf):
-    """Scores of every group, with the importance of each feature beside them."""
-    s = scored(spark, sf).filter(F.col("patternId").isNotNull())
-    g = materialize(SM.group_candidate_features(s, ["accountId", "patternId"]))
+    """Scores of every (account, counterparty) group, with the importance of each feature beside them."""
+    g = materialize(SM.group_candidate_features(scored(spark, sf), ["accountId", "counter_party"]))
     m = ML.group_classifier_rf(g, _GF, "true_label")
     imp = ML.feature_importances(m, _GF).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "feature", F.round("importance", 4)))), ",").alias("importances"))
-    p = ML.batch_scoring(m, g, fill=_GF).select("accountId", "patternId", "true_label", "probability")
+    p = ML.batch_scoring(m, g, fill=_GF).select("accountId", "counter_party", "true_label", "probability")
     return p.crossJoin(F.broadcast(imp))  # one row
 
 
