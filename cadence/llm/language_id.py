@@ -142,18 +142,24 @@ class HierarchicalModel:
         return [self.langs[i] for i in out], score
 
 
+MAX_LANGS = 1000
+
+
 def _has_letter(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(c.isalpha() for c in text))
 
 
 def train(labelled: DataFrame, per_class: int = 400) -> HierarchicalModel:
-    """Fit on about ``per_class`` texts of each language (columns key, text, lang; at most 1000 languages).
+    """Fit on about ``per_class`` texts of each language (columns key, text, lang).
 
-    Kept are the rows whose hash lies below per_class / (rows of the language).
+    Kept are the rows whose hash lies below per_class / (rows of the language). More than MAX_LANGS languages
+    raise ValueError: the model's tables are languages x BINS, and one machine stands for each pair of a family.
     """
     usable = labelled.filter("text is not null and lang is not null")
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = (usable.join(F.broadcast(sizes.orderBy("lang").limit(1000)), "lang")
+    if sizes.limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages among the labels")
+    picked = (usable.join(F.broadcast(sizes), "lang")  # MAX_LANGS rows at most
               .filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < F.lit(per_class * float(1 << 30)) / F.col("n"))
               .select("lang", "key", "text").distinct())
 

@@ -110,7 +110,7 @@ _SHAPES: dict[str, tuple[int, ...]] = {}
 def _shape(word: str) -> str:
     """Letters as x or X, digits as d, runs as run lengths 1, 2, 3, 4 or 5 for more, other characters as they are."""
     out, prev, n = [], "", 0
-    for c in word[:200] + "\0":
+    for c in word + "\0":
         k = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
         if k == prev:
             n += 1
@@ -130,7 +130,7 @@ def _features(word: str) -> tuple[int, ...]:
         parts = [f"s:{shape}", f"c:{coarse}", f"f:{shape[:2]}", f"e:{shape[-2:]}", f"@:{'@' in shape}", f"+:{shape[:1] == '+'}",
                  f".:{min(shape.count('.'), 4)}", f"-:{min(shape.count('-'), 4)}"]
         got = tuple(zlib.crc32(p.encode()) % DIMS for p in parts)
-        if len(_SHAPES) < 50_000:
+        if len(_SHAPES) < 50_000 and len(shape) <= 64:
             _SHAPES[shape] = got
     return (*got, zlib.crc32(f"n:{min(digits, 20)}".encode()) % DIMS)
 

@@ -312,3 +312,18 @@ def test_repeated_passages_behind_partial_variants(spark):
     rows = compact_windows.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in texts])).collect()
     whole = {r.doc_id for r in rows if r.start_word <= 32 and r.end_word >= 88 and r.similarity >= 0.8}
     assert {10 * g + 9 for g in range(variants)} <= whole
+
+
+def test_shapes_read_whole_words():
+    """A word is judged by all of its characters, however long it is."""
+    long = "a" * 300 + "@" + "7" * 40
+    assert pii._shape(long) == "x5@d5"
+    assert pii._shape("漢" * 500 + "+1") == "x5+d1"
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 3)
+    rows = spark.createDataFrame([(i, f"some words {i}", f"l{i % 4}") for i in range(8)], "key long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.train(rows)
+    assert language_id.train(rows.filter("lang <> 'l3'")).langs == ["l0", "l1", "l2"]
