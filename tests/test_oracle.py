@@ -20,6 +20,8 @@ FAST = [
     "connected_components", "logic_gates", "refine_by_cycle", "density_groups", "recover_missed",
     "group_split", "ratio_split", "learning_curve", "top_mistakes", "run_trends", "feature_pipeline",
     "schema_gate", "tfidf_char_wb", "text_cluster", "row_functions", "group_functions", "pipeline_hooks",
+    "split_by_widest_gap", "tune_split", "broken_patterns", "sequence_windows_predict", "max_prob_per_row", "label_error_pairs",
+    "embedding_cache", "consolidate_patterns", "pair_holdout", "top_group_mistakes", "edge_prf", "before_after", "assemble_features",
 ]
 
 
