@@ -19,6 +19,8 @@ order must be total (end it with a unique column).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +30,39 @@ HOT_ROWS_CONF = "cadence.skew.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows (at most rows/hot_rows of them), with counts."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > hot_rows))
+class Skew(NamedTuple):
+    """Keys above the row limit: the keys with their counts, how many, and their rows in all."""
+
+    keys: DataFrame
+    n: int
+    rows: int
+    limit: int
+
 
+def key_skew(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> Skew:
+    """Keys with more than ``hot_rows`` rows (at most rows/hot_rows of them); one aggregate job.
+
+    Scans of the same rows by the same keys can share the answer.
+    """
+    if hot_rows is None:
+        hot_rows = conf_int(df.sparkSession, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    n, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return Skew(hot, n, int(total), hot_rows)
 
-def _ranges(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, hot_total: int,
-            hot_rows: int) -> tuple[DataFrame, DataFrame]:
+
+def _ranges(df: DataFrame, keys: list[str], order: list[str], skew: Skew) -> tuple[DataFrame, DataFrame]:
     """(rows of cold keys, rows of hot keys with the number ``_rp`` of their range)."""
     from cadence.session import checkpoint_dir
 
     spark = df.sparkSession
-    hot_b = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # <= rows / hot_rows keys
+    hot_b = F.broadcast(skew.keys.select(*keys).withColumn("_hot", F.lit(True)))  # <= rows / hot_rows keys
     # both routes and the carry table read the input: materialise it once (also keeps
     # nested scans from multiplying the plan)
     checkpoint_dir(spark)
     tagged = df.join(hot_b, keys, "left").checkpoint()
     # ranges of about hot_rows/4 rows each, at least a few per core
-    n_parts = max(spark.sparkContext.defaultParallelism * 2, -(-hot_total // max(1, hot_rows // 4)))
+    n_parts = max(spark.sparkContext.defaultParallelism * 2, -(-skew.rows // max(1, skew.limit // 4)))
     # the range number is fixed by the checkpoint: the local scan and the carry table below need
     # different columns, and an exchange of their own each would sample boundaries of its own
     ranged = (tagged.filter(F.col("_hot")).drop("_hot").repartitionByRange(n_parts, *keys, *order)
@@ -56,16 +72,14 @@ def _ranges(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, ho
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str | None = "_pos",
                  sums: dict | None = None, maxes: dict | None = None, lags: dict | None = None,
-                 hot_rows: int | None = None, check_skew: bool = True) -> DataFrame:
+                 hot_rows: int | None = None, check_skew: bool = True, skew: Skew | None = None) -> DataFrame:
     """Add per-group scan columns under ``order`` (column names):
 
     pos_col: 0-based position; sums[out] = running sum of a column (inclusive);
     maxes[out] = running max over the *earlier* rows (exclusive); lags[out] = previous value.
+    ``skew``: a known ``key_skew`` of the same rows and keys.
     """
-    spark = df.sparkSession
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
-    if hot_rows is None:
-        hot_rows = conf_int(spark, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -84,13 +98,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], pos_col: str
 
     if not check_skew:
         return cold(df)
-    hot = hot_keys(df, keys, hot_rows)
-    # one aggregate; its shuffle carries one row per key
-    n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    if n_hot == 0:
+    skew = skew or key_skew(df, keys, hot_rows)
+    if skew.n == 0:
         return cold(df)
 
-    cold_rows, ranged = _ranges(df, keys, order, hot, int(hot_total), hot_rows)
+    cold_rows, ranged = _ranges(df, keys, order, skew)
     cold_part = cold(cold_rows)
     wl = Window.partitionBy(*keys, "_rp").orderBy(*order)
     wl_upto = wl.rowsBetween(Window.unboundedPreceding, 0)
@@ -142,20 +154,16 @@ def bounded_frames(df: DataFrame, keys: list[str], order: list[str], frames: dic
     can see them (a halo), so every frame is complete inside its own range and no task holds a
     whole key. Halos hold at most (back + ahead) rows for each pair of neighbouring ranges.
     """
-    spark = df.sparkSession
-    if hot_rows is None:
-        hot_rows = conf_int(spark, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
     columns = df.columns
 
     def framed(rows: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumns({name: fn(w) for name, fn in frames.items()})
 
-    hot = hot_keys(df, keys, hot_rows)
-    n_hot, hot_total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    if n_hot == 0:
+    skew = key_skew(df, keys, hot_rows)
+    if skew.n == 0:
         return framed(df, keys)
-    cold, ranged = _ranges(df, keys, order, hot, int(hot_total), hot_rows)
+    cold, ranged = _ranges(df, keys, order, skew)
     local = ranged.withColumn("_lpos", F.row_number().over(Window.partitionBy(*keys, "_rp").orderBy(*order)) - 1)
     sizes = ranged.groupBy(*keys, "_rp").agg(F.count(F.lit(1)).alias("_sz"))
     end = F.sum("_sz").over(Window.partitionBy(*keys).orderBy("_rp"))  # a row a range of the key

@@ -65,15 +65,16 @@ def amount_islands(df: DataFrame, cols: Cols = Cols(), gap_abs: float = 1.0, gap
     and ``global_group_id`` = '{account}_amt_{median:.2f}'.
     """
     from cadence.functions.text import group_key
-    from cadence.operators.ordered import exact_quantiles, ordered_scan
+    from cadence.operators.ordered import exact_quantiles, key_skew, ordered_scan
 
     c = cols
     order = [c.amount, c.trId]
-    s = ordered_scan(df, [c.accountId], order, None, lags={"_prev": c.amount}, hot_rows=hot_rows)
+    skew = key_skew(df, [c.accountId], hot_rows)  # both scans walk the same rows of the same keys
+    s = ordered_scan(df, [c.accountId], order, None, lags={"_prev": c.amount}, hot_rows=hot_rows, skew=skew)
     step = F.abs(F.col(c.amount) - F.col("_prev"))
     s = s.withColumn("_gap", F.coalesce(((step > gap_abs) & (step > F.abs(F.col("_prev")) * gap_pct)).cast("int"),
                                         F.lit(0)))
-    s = ordered_scan(s, [c.accountId], order, None, sums={"island": "_gap"}, hot_rows=hot_rows).drop("_prev", "_gap")
+    s = ordered_scan(s, [c.accountId], order, None, sums={"island": "_gap"}, hot_rows=hot_rows, skew=skew).drop("_prev", "_gap")
     keys = [c.accountId, "island"]
     size = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_isz")).filter(F.col("_isz") >= min_size)
     med = exact_quantiles(s.join(size.select(*keys), keys, "left_semi"), keys, c.amount, [0.5],
