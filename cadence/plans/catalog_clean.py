@@ -106,7 +106,7 @@ def q_bank_from_path(spark, sf):
 @register("rename_columns", """
 SELECT trId, counter_party FROM txn""")
 def q_rename(spark, sf):
-    return C.rename_columns(_raw_bank(spark, sf)).select("trId", "counter_party")
+    return C.rename_columns(io.raw_bank_frame(txn(spark, sf))).select("trId", "counter_party")
 
 
 @register("cast_ids_labels", """
