@@ -1,10 +1,9 @@
 """Lexical detector queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadence.plans import lexical
-from cadence.operators.text_cluster import text_cluster, tfidf_postings
+from cadence.operators.text_cluster import distinct_texts, text_cluster, tfidf_postings
 from cadence.plans.catalog import register
 from cadence.plans.sqlfrag import (HEURISTIC, candidate_features_select, days, detector_text,
                                     tfidf_cluster_ctes, windows_cte)
@@ -100,9 +99,7 @@ def _win_texts(spark, sf):
 SELECT accountId, win, _text AS text, gram, round(w, 6) AS w FROM post""")
 def q_tfidf_char_wb(spark, sf):
     w = _win_texts(spark, sf)
-    docs = (w.groupBy(*lexical.WIN, "_text").agg(F.count(F.lit(1)).alias("m"))
-             .withColumn("n_docs", F.sum("m").over(Window.partitionBy(*lexical.WIN))))
-    post = tfidf_postings(docs, lexical.WIN, "_text")
+    post = tfidf_postings(distinct_texts(w, lexical.WIN, "_text"), lexical.WIN, "_text")
     return post.select(*lexical.WIN, F.col("_text").alias("text"), "gram", F.round("w", 6).alias("w"))
 
 
