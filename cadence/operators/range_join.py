@@ -30,28 +30,33 @@ def float_ends(center: Column, reach: Column, test) -> tuple[Column, Column]:
 
 
 def rank_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], x: str, point_id: str, interval_id: str,
-                   low: str = "low", high: str = "high", hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points with ``_pos``, intervals as keys, interval_id, ``_first``, ``_after``, ``_top``).
+                   low: str = "low", high: str = "high", hot_rows: int | None = None,
+                   sums: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points with ``_pos``, intervals as keys, interval_id, ``_first``, ``_after``, ``_top`` and ``sums``).
 
     Points of positions [_first, _after) lie in [low, high]; ``_top`` is the largest point up to ``high``.
+    ``sums[out]``: an exact number (long or decimal, not null) of each point, summed over an interval's points.
     Positions count by (x, point id); points without x are dropped, intervals without ends too.
     ``interval_id`` must be unique inside a key.
     """
-    none, kind = F.lit(None), F.lit
+    none, kind, sums = F.lit(None), F.lit, sums or {}
     inner = F.struct(*points.columns)
     a = points.filter(F.col(x).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), kind(1).alias("_kind"), F.col(point_id).cast("string").alias("_id"),
-        none.cast(intervals.schema[interval_id].dataType).alias("_iv"), inner.alias("_p"))
+        none.cast(intervals.schema[interval_id].dataType).alias("_iv"), inner.alias("_p"),
+        *(c.alias(f"_of_{o}") for o, c in sums.items()))
     ends = F.explode(F.array(F.struct(kind(0).alias("_kind"), F.col(low).cast("double").alias("_x")),
                              F.struct(kind(2).alias("_kind"), F.col(high).cast("double").alias("_x")))).alias("_e")
     b = (intervals.select(*keys, F.col(interval_id).alias("_iv"), ends).filter(F.col("_e._x").isNotNull())
-         .select(*keys, "_e._x", "_e._kind", F.col("_iv").cast("string").alias("_id"), "_iv", none.cast(a.schema["_p"].dataType).alias("_p")))
+         .select(*keys, "_e._x", "_e._kind", F.col("_iv").cast("string").alias("_id"), "_iv", none.cast(a.schema["_p"].dataType).alias("_p"),
+                 *(F.lit(0).cast(a.schema[f"_of_{o}"].dataType).alias(f"_of_{o}") for o in sums)))
     merged = a.unionByName(b).withColumns({"_one": (F.col("_kind") == 1).cast("long"), "_val": F.when(F.col("_kind") == 1, F.col("_x"))})
-    merged = materialize(ordered_scan(merged, keys, ["_x", "_kind", "_id"], None, sums={"_cnt": "_one"}, maxes={"_top": "_val"}, hot_rows=hot_rows))
+    merged = materialize(ordered_scan(merged, keys, ["_x", "_kind", "_id"], None, sums={"_cnt": "_one", **{o: f"_of_{o}" for o in sums}}, maxes={"_top": "_val"}, hot_rows=hot_rows))
     placed = merged.filter("_kind = 1").select("_p.*", (F.col("_cnt") - 1).alias("_pos"))
     at = lambda k, c: F.max(F.when(F.col("_kind") == k, F.col(c)))
     spans = (merged.filter("_kind <> 1").groupBy(*keys, F.col("_iv").alias(interval_id))
-             .agg(at(0, "_cnt").alias("_first"), at(2, "_cnt").alias("_after"), at(2, "_top").alias("_top")))
+             .agg(at(0, "_cnt").alias("_first"), at(2, "_cnt").alias("_after"), at(2, "_top").alias("_top"),
+                  *((at(2, o) - at(0, o)).alias(o) for o in sums)))
     return placed, spans
 
 

@@ -275,8 +275,8 @@ c AS (SELECT count(*) FILTER (WHERE target = 1 AND prob > 0.5) AS tp, count(*) F
              count(*) FILTER (WHERE target = 1 AND NOT (prob > 0.5)) AS fn, count(*) AS rows FROM r)
 SELECT *, {_PRF} FROM c""", views=("scored",))
 def q_max_prob(spark, sf):
-    g = W.amount_seed_overlap(scored(spark, sf), carry=("prob", "isRecurring"))
-    keys = ["accountId", "cluster_seed_amount"]
-    # group probability rounded to 9 decimals: summation order must not move a row across 0.5
-    per = g.groupBy(*keys).agg(F.round(F.avg("prob"), 9).alias("gprob"))
-    return _prf_round(M.max_prob_per_row(g.join(per, keys), "trId", "gprob", "isRecurring"))
+    # the group's probability comes with its members: each row is then reduced where it was listed
+    g = W.amount_seed_overlap(scored(spark, sf), carry=("prob", "isRecurring"), means={"gprob": "prob"})
+    # rounded to 9 decimals: summation order must not move a row across 0.5
+    g = g.withColumn("gprob", F.round("gprob", 9))
+    return _prf_round(M.max_prob_per_row(g, "trId", "gprob", "isRecurring"))
