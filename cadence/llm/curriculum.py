@@ -103,23 +103,43 @@ def _taken(k: int) -> Column:
     return (F.col("size") > 0) & (_middle(k) < F.col("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         weights=(5, 2, 1), slopes=(-0.5, 0.0, 0.5), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, positions (array, one per copy taken)."""
+def _scheduled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights=(5, 2, 1), slopes=(-0.5, 0.0, 0.5), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
+    """Per document: doc_id, s (its source), start, size, source_size, target, positions of the copies to take."""
     rows = stored(sizes(docs, id_col, text_col, source_col), "sizes")
     full = _placed(rows, _starts(rows), targets(rows, weights, slopes, share, max_epochs))
     copies = F.filter(F.array(*[
         F.when(_taken(k), _position(_middle(k) / F.col("target"), F.col("slope")))
         for k in range(max_epochs)]), lambda x: x.isNotNull())
-    return (full.withColumn("positions", copies)
-            .select("doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"),
-                    "positions"))
+    return full.withColumn("positions", copies).select("doc_id", "s", "start", "size", "source_size", "target", "positions")
+
+
+def _sorted_mix(scheduled: DataFrame) -> DataFrame:
+    """The copies in training order: range-partitioned and sorted by position."""
+    return (scheduled.select("doc_id", "s", "start", "size", F.posexplode("positions").alias("copy", "position"))
+            .repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy"))
+
+
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, positions (array, one per copy taken).
+
+    Words taken and positions are read from the mix in its training order. A document with words is the
+    only one of its source that starts at its place.
+    """
+    full = stored(_scheduled(docs, **options), "plan")
+    order = stored(_sorted_mix(full), "order")
+    got = (order.groupBy(F.col("s").alias("t"), F.col("start").alias("at"))
+           .agg(F.sum("size").alias("words"), F.array_sort(F.collect_list(F.struct("copy", "position"))).alias("copies")))
+    same = F.col("s").eqNullSafe(F.col("t")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
+    positions = F.coalesce(F.col("copies.position"), F.array().cast("array<double>"))
+    return (full.drop("positions").join(got, same, "left")
+            .select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"),
+                    positions.alias("positions")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: doc_id, copy (from 0), position, range-partitioned and sorted by position."""
-    return (plan(docs, **options).select("doc_id", F.posexplode("positions").alias("copy", "position"))
-            .repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy"))
+    return _sorted_mix(_scheduled(docs, **options)).select("doc_id", "copy", "position")
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
