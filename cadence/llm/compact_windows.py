@@ -34,99 +34,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.store import stored
-from cadence.llm.wordhash import hash_words, mix, shingles, slices
+from cadence.llm.wordhash import chunks, hash_words, mix, shingles, slices
 
 _U = np.uint64
 MOST = 8  # hash functions; a window is packed as at = c * MOST + function, span = (c - l) << 32 | (r - c)
+PLACES = 36  # bits of a place in a text where several texts are looked up at once
 RANKS = 8  # growth of the number of earlier signatures that an unverified one meets in a round
+BATCH = 4 << 20  # bytes of an Arrow batch: texts and passages are of very unequal size, and a worker holds a batch more than once
+GROUP = 1000  # passages of one first text that a task verifies
 DRIFT = 32  # how far inserted and deleted words may shift two passages against each other
 
 
-def minima(v: np.ndarray, t: int) -> np.ndarray:
-    """Positions that are the (leftmost) smallest of some stretch of t positions, ascending."""
-    n = len(v)
-    if n < t:
-        return np.zeros(0, np.int64)
-    order = np.empty(n, np.int64)  # ranks make values distinct, ties to the left
-    order[np.argsort(v, kind="stable")] = np.arange(n)
-    low, width = order, 1
+def _slid(x: np.ndarray, t: int, best) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of every t neighbours."""
+    low, width, n = x, 1, len(x)
     while 2 * width <= t:
-        low = np.minimum(low[:len(low) - width], low[width:])
+        low = best(low[:len(low) - width], low[width:])
         width *= 2
-    if width < t:
-        low = np.minimum(low[:n - t + 1], low[t - width:][:n - t + 1])
-    where = np.empty(n, np.int64)
-    where[order] = np.arange(n)
-    return np.unique(where[low])
+    return best(low[:n - t + 1], low[t - width:][:n - t + 1]) if width < t else low
 
 
-def windows(v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(v: np.ndarray, t: int, per: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r), inclusive, of all compact windows of at least t positions.
 
-    The nearest smaller position of such a window's c is itself the minimum of a stretch of t, so the
-    neighbours are looked for among the minima only.
+    ``per``: lengths of the sequences that ``v`` joins; no window crosses two of them. The nearest smaller
+    position of such a window's c is itself the smallest of a stretch of t, so the neighbours are looked for
+    among the smallest ones of stretches only. Equal values count as smaller to the left.
     """
-    c = minima(v, t)
-    key = list(zip(v[c].tolist(), c.tolist()))
-    left, right = [-1] * len(c), [len(v)] * len(c)
-    stack: list[int] = []
-    for i, k in enumerate(key):
-        while stack and key[stack[-1]] > k:
-            right[stack.pop()] = int(c[i])
-        if stack:
-            left[i] = int(c[stack[-1]])
-        stack.append(i)
-    return np.array(left, np.int64) + 1, c, np.array(right, np.int64) - 1
-
-
-def _sequences(batch, width: int):
-    """(id, shingle hashes in order) of each text of a batch; texts below one shingle's words are left out."""
-    ids = batch.column(0).to_pylist()
+    n, ends = len(v), np.cumsum([len(v)] if per is None else per)
+    if n < t:
+        return (np.zeros(0, np.int64),) * 3
+    starts = np.concatenate(([0], ends[:-1]))
+    of = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+    low = np.where(of[:n - t + 1] == of[t - 1:], _slid(v, t, np.minimum), 0)
+    pad = np.zeros(t - 1, v.dtype)
+    c = np.flatnonzero(_slid(np.concatenate((pad, low, pad)), t, np.maximum) == v)
+    seq = of[c]
+    left, right = starts[seq].tolist(), (ends[seq] - 1).tolist()  # unless a smaller one lies nearer
+    key, at = v[c].tolist(), c.tolist()
+    edge = np.flatnonzero(np.diff(seq, prepend=-1)).tolist() + [len(at)]
+    for a, b in zip(edge[:-1], edge[1:]):
+        stack: list[int] = []
+        for i in range(a, b):
+            k = key[i]
+            while stack and key[stack[-1]] > k:
+                right[stack.pop()] = at[i] - 1
+            if stack:
+                left[i] = at[stack[-1]] + 1
+            stack.append(i)
+    l, r = np.array(left, np.int64), np.array(right, np.int64)
+    whole = r - l + 1 >= t
+    return l[whole], c[whole], r[whole]
+
+
+def _sequences(batch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, shingles a text, shingle hashes of all texts in order) of a batch; texts below one shingle's words are left out."""
     texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
     h, counts, _, _ = hash_words(texts)
     s, per = shingles(h, counts, width)
-    ends = np.cumsum(per)
-    for i, e, n, words in zip(ids, ends, per, counts):
-        if words >= width:
-            yield i, s[e - n:e]
+    whole = counts >= width
+    return batch.column(0).to_numpy(zero_copy_only=False)[whole], per[whole], s[np.repeat(whole, per)]
 
 
 def _windowed(width: int, least: int, functions: int):
     seeds = mix(np.arange(1, functions + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def run(it):
-        for batch in (part for whole in it for part in slices(whole, 1)):
-            cols = [[] for _ in range(5)]
-            for doc, s in _sequences(batch, width):
-                copy = int(mix(s + np.arange(len(s), dtype=np.uint64)).sum(dtype=np.uint64)) >> 49  # tells texts of one id apart
-                for f in range(functions):
-                    v = mix(s ^ seeds[f])
-                    l, c, r = windows(v, least)
-                    if len(c):
-                        for col, x in zip(cols, (mix(v[c] + _U(f)).view(np.int64), np.full(len(c), doc), c * MOST + f, (c - l << 32) + (r - c),
-                                               np.full(len(c), copy))):
-                            col.append(x)
-            if cols[0]:
-                flat = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in flat],
+        for batch in (part for whole in it for part in slices(whole, 1, 1 << 18)):
+            docs, per, s = _sequences(batch, width)
+            long = per >= least
+            docs, per, s = docs[long], per[long], s[np.repeat(long, per)]
+            if not len(docs):
+                continue
+            starts = np.cumsum(per) - per
+            of, place = np.repeat(np.arange(len(per)), per), np.arange(len(s)) - np.repeat(starts, per)
+            copy = (np.add.reduceat(mix(s + place.astype(np.uint64)), starts) >> _U(49)).astype(np.int64)  # tells texts of one id apart
+            for f in range(functions):
+                v = mix(s ^ seeds[f])
+                l, c, r = windows(v, least, per)
+                cols = (mix(v[c] + _U(f)).view(np.int64), docs[of[c]], place[c] * MOST + f, (c - l << 32) + (r - c), copy[of[c]])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols],
                                                  names=["key", "doc_id", "at", "span", "copy"])
     return run
 
 
-def signatures(key: np.ndarray, at: np.ndarray, span: np.ndarray, least: int, enough: int) -> list[np.ndarray]:
-    """key, at, span, core of the signatures of one text's windows; the function number in ``at`` is 0.
+def signatures(key: np.ndarray, at: np.ndarray, span: np.ndarray, text: np.ndarray, least: int, enough: int) -> list[np.ndarray]:
+    """text, key, at, span, core of the signatures of windows; the function number in ``at`` is 0.
+
+    ``text`` numbers the texts of the windows: each has a range of places of its own, so all are looked up at once.
 
     The starts of the stretches that a window rules are one interval, and the intervals of a function are
     disjoint. Where intervals of several functions overlap, one of them begins.
     """
-    f, c = at % MOST, at // MOST
+    f, c = at % MOST, at // MOST + (text << PLACES)
     l, r = c - (span >> 32), c + (span & 0xFFFFFFFF)
     begin, end = np.maximum(l, c - least + 1), np.minimum(c, r - least + 1)
     per = {}
     for k in np.unique(f).tolist():
         rows = np.flatnonzero(f == k)
         per[k] = rows[np.unique(begin[rows], return_index=True)[1]]
-    out = [[] for _ in range(4)]
+    out = [[] for _ in range(5)]
     for chosen in combinations(sorted(per), enough):
         p = np.unique(np.concatenate([begin[per[k]] for k in chosen]))
         hit = np.stack([per[k][np.maximum(np.searchsorted(begin[per[k]], p, "right") - 1, 0)] for k in chosen])
@@ -137,7 +144,7 @@ def signatures(key: np.ndarray, at: np.ndarray, span: np.ndarray, least: int, en
         for row in hit:
             value = mix(value * _U(0x9E3779B97F4A7C15) + key[row].view(np.uint64))
         a, b, lo, hi, x = l[hit].max(axis=0), r[hit].min(axis=0), c[hit].min(axis=0), c[hit].max(axis=0), c[hit[0]]
-        for col, y in zip(out, (value.view(np.int64), x * MOST, (x - a << 32) + (b - x), (x - lo << 32) + (hi - x))):
+        for col, y in zip(out, (x >> PLACES, value.view(np.int64), (x & (1 << PLACES) - 1) * MOST, (x - a << 32) + (b - x), (x - lo << 32) + (hi - x))):
             col.append(y)
     return [np.concatenate(col) if col else np.zeros(0, np.int64) for col in out]
 
@@ -146,14 +153,9 @@ def _signed(least: int, enough: int):
     """Signatures of windows sorted by (doc_id, copy); the last text of a batch is carried over."""
     def emit(t):
         doc, copy, key, at, span = (t.column(c).to_numpy() for c in ("doc_id", "copy", "key", "at", "span"))
-        cuts = np.concatenate(([0], np.flatnonzero((doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])) + 1, [len(doc)]))
-        cols = [[] for _ in range(5)]
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            got = signatures(key[x:y], at[x:y], span[x:y], least, enough)
-            for col, v in zip(cols, (np.full(len(got[0]), doc[x]), *got)):
-                col.append(v)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "key", "at", "span", "core"])
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))
+        text, *cols = signatures(key, at, span, np.cumsum(new) - 1, least, enough)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[new][text], *cols)], names=["doc_id", "key", "at", "span", "core"])
 
     def run(it):
         held = None
@@ -247,8 +249,8 @@ def _joined(least: int, enough: int):
             t = t if held is None else pa.concat_tables([held, t])
             if not t.num_rows:
                 continue
-            doc = t.column("doc_id").to_numpy()
-            first = int(np.searchsorted(doc, doc[-1]))
+            doc, other = t.column("doc_id").to_numpy(), t.column("other").to_numpy()
+            first = int(np.flatnonzero((doc == doc[-1]) & (other == other[-1]))[0])
             held, done = t.slice(first), t.slice(0, first)
             yield from emit(done)
         if held is not None:
@@ -261,47 +263,62 @@ def _joined(least: int, enough: int):
     return run
 
 
-def _slices(width: int):
-    """Shingles of each wanted stretch: (doc_id, text, a, b) sorted by doc_id -> (doc_id, a, b, part)."""
+def _passages(width: int):
+    """Shingles of the stretches that are asked for: (doc_id, text, asked) -> a row each, the text read once."""
+    names = ("other", "salt", "kind", "doc_id", "a", "oa", "ob")
+
     def run(it):
-        doc, seq = None, None
-        for batch in it:
-            ids, texts, a, b = (batch.column(i).to_pylist() for i in range(4))
-            out = []
-            for i, t, x, y in zip(ids, texts, a, b):
-                if doc != (i, t):
-                    h, counts, _, _ = hash_words([(t or "").encode()])
-                    doc, seq = (i, t), shingles(h, counts, width)[0]
-                out.append(seq[max(x, 0):y + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.binary())],
-                                             names=["doc_id", "a", "b", "part"])
+        for batch in (one for whole in it for one in slices(whole, 1)):
+            for doc, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                h, counts, _, _ = hash_words([text.encode()])
+                seq = shingles(h, counts, width)[0]
+                for x, y in chunks([8 * (q["b"] - q["a"] + 1) for q in asked]):
+                    some = [{**q, "doc_id": doc} for q in asked[x:y]]
+                    parts = pa.array([seq[q["a"]:q["b"] + 1].tobytes() for q in some], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array([q[c] for q in some], pa.int64()) for c in names), parts], names=[*names, "part"])
     return run
 
 
 def _verified(least: int, percent: int, width: int):
-    """Stretches of ``least`` shingles of which ``percent`` % occur in the other passage, united."""
+    """Stretches of ``least`` shingles of which ``percent`` % occur in the other passage, united.
+
+    Rows sorted by (other, salt, kind): the stretch of the other text (of each text of its id) comes before its passages.
+    """
     def run(it):
-        for batch in it:
+        head, heads = None, {}
+        for batch in (one for whole in it for one in slices(whole, 7)):
             rows = []
-            for doc, other, a, oa, x, y in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                x, y = np.frombuffer(x, _U), np.unique(np.frombuffer(y, _U))
-                if len(x) < least or not len(y):
+            for other, salt, kind, doc, a, oa, ob, x in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if head != (other, salt):
+                    head, heads, sets = (other, salt), {}, {}
+                if kind == 0:
+                    heads[x] = a
                     continue
-                hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                total = np.concatenate(([0], np.cumsum(hit)))
-                good = np.flatnonzero(100 * (total[least:] - total[:-least]) >= percent * least)
-                if len(good):
-                    for part in np.split(good, np.flatnonzero(np.diff(good) > least) + 1):
-                        lo, hi = int(part[0]), int(part[-1]) + least - 1
-                        inside = np.flatnonzero(hit[lo:hi + 1])
-                        lo, hi = lo + int(inside[0]), lo + int(inside[-1])
-                        rows.append((doc, other, a + lo, a + hi + width, int(hit[lo:hi + 1].sum()), hi - lo + 1))
+                if (oa, ob) not in sets:
+                    sets = {(oa, ob): [np.unique(np.frombuffer(y, _U)[oa - lo:ob - lo + 1]) for y, lo in heads.items()]}
+                x = np.frombuffer(x, _U)
+                for y in sets[oa, ob] if len(x) >= least else ():
+                    rows.extend(_agreeing(x, y, doc, other, a, least, percent, width))
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                              names=["doc_id", "other_id", "start_word", "end_word", "shared", "shingles"])
     return run
 
 
+def _agreeing(x: np.ndarray, y: np.ndarray, doc: int, other: int, a: int, least: int, percent: int, width: int):
+    """Rows of the passages of ``x`` (from place ``a`` on) that occur in the sorted distinct shingles ``y``."""
+    if not len(y):
+        return
+    hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+    total = np.concatenate(([0], np.cumsum(hit)))
+    good = np.flatnonzero(100 * (total[least:] - total[:-least]) >= percent * least)
+    for part in np.split(good, np.flatnonzero(np.diff(good) > least) + 1) if len(good) else ():
+        lo, hi = int(part[0]), int(part[-1]) + least - 1
+        inside = np.flatnonzero(hit[lo:hi + 1])
+        lo, hi = lo + int(inside[0]), lo + int(inside[-1])
+        yield doc, other, a + lo, a + hi + width, int(hit[lo:hi + 1].sum()), hi - lo + 1
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 50, width: int = 5,
                       functions: int = 4, enough: int = 3, percent: int = 80) -> DataFrame:
     """Return doc_id, other_id, start_word, end_word (exclusive), n_words, similarity, one row per passage.
@@ -321,7 +338,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """Rows whose value occurs again, with their rank and the first of the value: its smallest id, then its first position there."""
         extra = ", ".join(f"{c} long" for c in (*rows.columns, "rank", "other", "other_at", "other_span"))
         return stored(rows.repartition("key").sortWithinPartitions("key", "doc_id", "at", "span")
-                      .mapInArrow(_ranked(tuple(rows.columns)), extra), name)
+                      .mapInArrow(_ranked(tuple(rows.columns)), extra), name, BATCH)
 
     def joined(meet: DataFrame, votes: int) -> DataFrame:
         return (meet.select("doc_id", "other", "at", "span", "other_at", "other_span")
@@ -329,17 +346,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 .mapInArrow(_joined(least, votes), "doc_id long, other long, a long, b long, oa long, ob long"))
 
     def verified(runs: DataFrame) -> DataFrame:
-        runs = stored(runs.distinct(), "runs")
-        want = (runs.select("doc_id", "a", "b")
-                .unionByName(runs.select(F.col("other").alias("doc_id"), F.col("oa").alias("a"), F.col("ob").alias("b"))).distinct())
-        parts = stored(want.join(base, "doc_id").select("doc_id", "text", "a", "b")
-                       .mapInArrow(_slices(width), "doc_id long, a long, b long, part binary"), "parts")
-        pair = (runs.join(parts, ["doc_id", "a", "b"])
-                .join(parts.select(F.col("doc_id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"),
-                                   F.col("part").alias("opart")), ["other", "oa", "ob"]))
-        return stored(pair.select("doc_id", "other", "a", "oa", "part", "opart")
+        runs = stored(runs.distinct(), "runs", BATCH)
+        # a first text of many runs goes to a task for each GROUP of them
+        heads = runs.groupBy("other").agg(F.ceil(F.count("*") / GROUP).alias("salts"), F.min("oa").alias("lo"), F.max("ob").alias("hi"))
+        ask = lambda kind, *cols: F.struct("other", F.col("salt").cast("long").alias("salt"), F.lit(kind).alias("kind"),
+                                           *(F.col(c).alias(n) for c, n in zip(cols, ("a", "b", "oa", "ob")))).alias("asked")
+        asked = (runs.join(heads.select("other", "salts"), "other").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts"))
+                 .select("doc_id", ask(1, "a", "b", "oa", "ob"))
+                 .unionByName(heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+                              .select(F.col("other").alias("doc_id"), ask(0, "lo", "hi", "lo", "hi")))
+                 .groupBy("doc_id").agg(F.collect_list("asked").alias("asked")))  # stretches of one text, which travels once
+        parts = (asked.join(base, "doc_id").select("doc_id", "text", "asked")
+                 .mapInArrow(_passages(width), "other long, salt long, kind long, doc_id long, a long, oa long, ob long, part binary"))
+        return stored(parts.repartition("other", "salt").sortWithinPartitions("other", "salt", "kind", "oa", "ob")
                       .mapInArrow(_verified(least, percent, width),
-                                  "doc_id long, other_id long, start_word long, end_word long, shared long, shingles long"), "passages")
+                                  "doc_id long, other_id long, start_word long, end_word long, shared long, shingles long"), "passages", BATCH)
 
     def unverified(rows: DataFrame, found: DataFrame) -> DataFrame:
         """Signatures whose min-hashes lie in no passage of their text."""
