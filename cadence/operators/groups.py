@@ -40,11 +40,10 @@ def pairwise_groups(rows: DataFrame, scored_pairs: DataFrame, cols: Cols = Cols(
     c = cols
     e = scored_pairs.filter(F.col(prob) > match_threshold).select(F.col("trId_1").alias("src"), F.col("trId_2").alias("dst"))
     comp = connected_components(e, node=c.trId, label="_comp")
-    r = rows.join(comp, c.trId, "left")
-    st = stability_filter(r, "_comp", c)
-    return (r.join(st, "_comp", "left")
-             .withColumn("pred_group_id", F.when(F.col("kept"), F.col("_comp")))
-             .drop("_comp", "kept"))
+    # rows without a component, most of them, meet no join by component: that one null key would fill a task
+    st = stability_filter(rows.select(c.trId, c.date).join(comp, c.trId), "_comp", c)
+    pred = comp.join(st.filter("kept"), "_comp").select(c.trId, F.col("_comp").alias("pred_group_id"))
+    return rows.join(pred, c.trId, "left")
 
 
 # --- gates ---------------------------------------------------------------------------
