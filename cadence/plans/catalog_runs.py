@@ -6,6 +6,7 @@ from cadence.operators import runs as RN
 from cadence.plans import lexical
 from cadence.plans.catalog import register
 from cadence.plans.catalog_lexical import _EXACT_CLUSTERS
+from cadence.session import materialize
 from cadence.sources.fixtures import txn
 
 TOL, CV, DOM = [5.0, 10.0, 15.0], [0.1, 0.2, 0.3], [1.5]
@@ -14,7 +15,8 @@ R = 6
 
 def _runs(spark, sf):
     cand = lexical.detect_recurring(txn(spark, sf), return_candidates=True, exact_text=True)
-    return RN.heuristic_grid_runs(cand, TOL, CV, DOM)
+    # a record a setting: names, values and trends are read from them, the detector runs once
+    return materialize(RN.heuristic_grid_runs(cand, TOL, CV, DOM))
 
 
 _GRID = "WITH " + _EXACT_CLUSTERS + f""",
