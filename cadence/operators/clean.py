@@ -187,9 +187,13 @@ def dedup_first(df: DataFrame, key: str, order: list) -> DataFrame:
     A ``min_by`` aggregate, not a window: map tasks collapse their copies before the
     shuffle, so a key with a third of all rows never lands whole on one task.
     """
-    cols = df.columns
-    packed = df.select(F.col(key).alias("_k"), F.struct(*order).alias("_o"), F.struct(*cols).alias("_r"))
-    return packed.groupBy("_k").agg(F.min_by("_r", "_o").alias("_r")).select("_r.*")
+    # key and order travel once: the key is the same in a group, the order columns of its first row are their minimum
+    by = [c for c in order if c != key]
+    rest = [c for c in df.columns if c != key and c not in by]
+    of = {key: "_k", **{c: f"_o.`{c}`" for c in by}, **{c: f"_r.`{c}`" for c in rest}}
+    packed = df.select(F.col(key).alias("_k"), F.struct(F.lit(0).alias("_"), *by).alias("_o"), F.struct(F.lit(0).alias("_"), *rest).alias("_r"))
+    first = packed.groupBy("_k").agg(F.min("_o").alias("_o"), F.min_by("_r", "_o").alias("_r"))
+    return first.select(*(F.col(of[c]).alias(c) for c in df.columns))
 
 
 def dedup_transactions(df: DataFrame, cols: Cols = Cols(), order: list | None = None) -> DataFrame:
