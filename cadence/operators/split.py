@@ -135,28 +135,37 @@ def solve(pos: np.ndarray, score: np.ndarray, lo: int, n: int, max_size: int, mi
 
 
 def _by_segment(fn):
-    """mapInPandas over rows sorted by (gid, lo, i): calls ``fn`` once a segment, carrying one that a batch cuts."""
+    """mapInPandas over rows sorted by (gid, lo, i): calls ``fn`` once a segment, carrying one that a batch cuts.
+
+    Cuts are handed on once a batch: most segments are short, and a frame for each would cost more than its cuts.
+    """
+    names = ("gid", "lo", "n", "i", "score")
+
     def run(batches):
-        held: list[pd.DataFrame] = []
+        held: list[tuple] = []  # arrays of the segment that may go on
+
+        def close() -> np.ndarray:
+            g, lo, n, i, score = (np.concatenate(c) if len(held) > 1 else c[0] for c in zip(*held))
+            cuts = np.array(fn(i.astype(np.int64), score.astype(np.float64), int(lo[0]), int(n[0])), dtype=np.int64)
+            return np.stack([np.broadcast_to(np.int64(x[0]), len(cuts)) for x in (g, lo, n)] + [cuts])
 
-        def close():
-            pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            g, lo, n = int(pdf["gid"].iat[0]), int(pdf["lo"].iat[0]), int(pdf["n"].iat[0])
-            cuts = fn(pdf["i"].to_numpy(np.int64), pdf["score"].to_numpy(np.float64), lo, n)
-            return pd.DataFrame({"gid": g, "lo": lo, "n": n, "i": np.array(cuts, dtype=np.int64)})
+        def frame(done: list[np.ndarray]) -> pd.DataFrame:
+            return pd.DataFrame(dict(zip(names, np.concatenate(done, axis=1))))
 
         for pdf in batches:
             if pdf.empty:
                 continue
-            edge = np.flatnonzero((np.diff(pdf["gid"]) != 0) | (np.diff(pdf["lo"]) != 0)) + 1
-            for part in np.split(np.arange(len(pdf)), edge):
-                rows = pdf.iloc[part[0]:part[-1] + 1]
-                if held and (held[-1]["gid"].iat[0] != rows["gid"].iat[0] or held[-1]["lo"].iat[0] != rows["lo"].iat[0]):
-                    yield close()
+            cols, done = [pdf[c].to_numpy() for c in names], []
+            edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(pdf)]):
+                if held and (held[-1][0][0] != cols[0][a] or held[-1][1][0] != cols[1][a]):
+                    done.append(close())
                     held = []
-                held.append(rows)
+                held.append(tuple(c[a:b] for c in cols))
+            if done:
+                yield frame(done)
         if held:
-            yield close()
+            yield frame([close()])
     return run
 
 

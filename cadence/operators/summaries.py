@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.operators.ordered import exact_quantiles, ordered_positions
+from cadence.operators.ordered import exact_quantiles, ordered_positions, ordered_scan
 from cadence.operators.windows import days_between
 from cadence.schema import Cols
 from cadence.session import materialize
@@ -152,9 +152,9 @@ def describe_groups(df: DataFrame, columns: list[str]) -> DataFrame:
 def widest_gaps(rows: DataFrame, keys: list[str], cols: Cols = Cols(), hot_rows: int | None = None) -> DataFrame:
     """Per group: max gap between sorted amounts, range, population std, size."""
     a = cols.amount
-    p = ordered_positions(rows.select(*keys, a, cols.trId), keys, [a, cols.trId], "_ap", hot_rows)
-    nxt = p.select(*keys, (F.col("_ap") - 1).alias("_ap"), F.col(a).alias("_na"))
-    gaps = p.join(nxt, [*keys, "_ap"]).groupBy(*keys).agg(F.max(F.col("_na") - F.col(a)).alias("max_gap"))
-    st = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), (F.max(a) - F.min(a)).alias("range"),
-                                 F.stddev_pop(a).alias("std"))
-    return st.join(gaps, keys, "left").withColumn("max_gap", F.coalesce("max_gap", F.lit(0.0)))
+    p = ordered_scan(rows.select(*keys, a, cols.trId), keys, [a, cols.trId], None, lags={"_pa": a}, hot_rows=hot_rows)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()  # groups of a null key have no gaps
+    return p.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), (F.max(a) - F.min(a)).alias("range"), F.stddev_pop(a).alias("std"),
+                                F.coalesce(F.max(F.when(known, F.col(a) - F.col("_pa"))), F.lit(0.0)).alias("max_gap"))

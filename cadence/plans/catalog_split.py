@@ -6,6 +6,7 @@ from cadence.operators import groups as G
 from cadence.operators import split as S
 from cadence.operators.ordered import exact_quantiles
 from cadence.plans.catalog import register
+from cadence.session import materialize
 from cadence.sources.fixtures import txn
 
 MAX_SIZE, MIN_CHUNK, R = 200, 32, 6
@@ -66,9 +67,9 @@ def q_chunk_listing(spark, sf):
 
 def _pattern_rows(spark, sf):
     """Rows of a pattern, and the accounts with more rows than a chunk may hold."""
-    t = txn(spark, sf)
+    t = materialize(txn(spark, sf).select("accountId", "trId", "amount", "patternId"))  # counts, cuts and patterns read it
     big = t.groupBy("accountId").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_SIZE).select("accountId")
-    return t.filter(F.col("patternId").isNotNull()).select("accountId", "trId", "amount", "patternId"), big
+    return t.filter(F.col("patternId").isNotNull()), big
 
 
 def _broken(spark, sf, mode="widest"):
@@ -95,7 +96,7 @@ SELECT broken, count(*) AS groups, round(avg(max_gap), {R}) AS mean_max_gap, rou
 FROM st GROUP BY broken""")
 def q_broken(spark, sf):
     """Destruction rate and broken-vs-intact diagnostics (means and 95th percentiles)."""
-    st = _broken(spark, sf)
+    st = materialize(_broken(spark, sf))  # a row a pattern; means, two quantiles and the rate read it
     means = st.groupBy("broken").agg(F.count(F.lit(1)).alias("groups"), F.avg("max_gap").alias("mean_max_gap"),
                                      F.avg("range").alias("mean_range"), F.avg("std").alias("mean_std"))
     p95 = exact_quantiles(st, ["broken"], "max_gap", [0.95], ["p95_max_gap"]).join(
