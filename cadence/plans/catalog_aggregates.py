@@ -192,7 +192,7 @@ k AS (SELECT accountId, island, quantile_cont(amount, 0.5) AS med FROM g GROUP B
 SELECT g.trId, g.island, round(k.med, {R}) AS cluster_seed_amount, g.accountId || '_amt_' || printf('%.2f', k.med) AS global_group_id
 FROM g JOIN k USING (accountId, island)""")
 def q_islands(spark, sf):
-    d = W.amount_islands(txn(spark, sf), min_size=3)
+    d = W.amount_islands(txn(spark, sf).select("accountId", "trId", "amount"), min_size=3)
     return d.select("trId", "island", F.round("cluster_seed_amount", R).alias("cluster_seed_amount"), "global_group_id")
 
 
