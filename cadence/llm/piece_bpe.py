@@ -8,7 +8,10 @@ from an automaton over the vocabulary; the ids are read backwards from it. The c
 the text, whatever its length.
 
 No piece holds anything before a space mark, and characters outside the vocabulary never merge, so
-texts are cut there first, and each distinct segment is encoded once per task (a bounded cache).
+texts are cut there first, and each distinct segment is encoded once per task as long as the bounded
+cache keeps it: a full cache becomes the older of two generations, from which segments in use come
+back. A mark that follows a letter in no piece is cut off as well, so a word before a full stop or a
+comma is not encoded again.
 Vocabularies that would break this (pieces with a space mark inside, unused or user-defined
 pieces, a normaliser other than identity, no byte fallback) are refused.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from cadence.llm.wordhash import slices
 
 MARK = "▁"
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 200_000  # of each of two generations
+CACHE_PAIRS = 300_000
 CACHE_CHARS = 64
 
 
@@ -62,8 +67,13 @@ class PieceTable:
         self.known = frozenset(p for p in self.ids if len(p) == 1)
         outside = "".join(sorted(c for c in map(chr, range(128)) if c not in self.known and c != " "))
         self.cut = re.compile(f"[{re.escape(outside)}]")
+        self.told = {p: (str(i), self.out[i]) for p, i in self.ids.items()}
+        after_letter = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.tails = frozenset(string.punctuation) - after_letter
         self.pair: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.old_pair: dict[tuple[str, str], bool] = {}
+        self.cache: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition: merge the best-scored adjacent pair, the leftmost first. For short strings."""
@@ -83,9 +93,12 @@ class PieceTable:
         key = left, right
         ok = self.pair.get(key)
         if ok is None:
-            if len(self.pair) > 300_000:
-                self.pair.clear()
-            ok = self.pair[key] = self.merged(left + right) == ([left, right] if left else [right])
+            ok = self.old_pair.get(key)
+            if ok is None:
+                ok = self.merged(left + right) == ([left, right] if left else [right])
+            if len(self.pair) >= CACHE_PAIRS:
+                self.old_pair, self.pair = self.pair, {}
+            self.pair[key] = ok
         return ok
 
     def tokens(self, text: str) -> list[str]:
@@ -117,24 +130,28 @@ class PieceTable:
     def stable(self, piece: str) -> bool:
         return self.compatible("", piece)
 
-    def segment(self, text: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, their number, bytes that they decode to, space marks kept)."""
-        got = self.cache.get(text)
+    def segment(self, text: str) -> tuple[str, bytes]:
+        """(ids joined by commas, bytes that they decode to, space marks as spaces)."""
+        got = self.cache.get(text) or self.old.get(text)
         if got is None:
-            ids: list[int] = []
-            for piece in self.tokens(text):
-                i = self.ids.get(piece)
-                if i is None:
-                    ids.extend(self.byte_ids[b] for b in piece.encode())
-                else:
-                    ids.append(i)
-            got = ",".join(map(str, ids)), len(ids), self.raw(ids)
-            if len(text) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_SEGMENTS:
-                    self.cache.clear()
-                self.cache[text] = got
+            if text[-1] in self.tails and text[-2:-1].isalpha():  # no piece crosses
+                word, tail = self.segment(text[:-1]), self.segment(text[-1])
+                got = f"{word[0]},{tail[0]}", word[1] + tail[1]
+            else:
+                told = self.told
+                parts = [told.get(p) or self.by_bytes(p) for p in self.tokens(text)]
+                got = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        if len(text) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_SEGMENTS:
+                self.old, self.cache = self.cache, {}
+            self.cache[text] = got
         return got
 
+    def by_bytes(self, char: str) -> tuple[str, bytes]:
+        """The byte pieces of a character outside the vocabulary, as a segment."""
+        ids = [self.byte_ids[b] for b in char.encode()]
+        return ",".join(map(str, ids)), self.raw(ids)
+
     def raw(self, ids: list[int]) -> bytes:
         """Bytes of the pieces, space marks as spaces; byte pieces give their byte."""
         out = self.out
@@ -177,8 +194,8 @@ class PieceTable:
             return "", 0, ""
         cache = self.cache
         got = [cache.get(s) or self.segment(s) for s in self.segments(text)]
-        joined = b"".join([g[2] for g in got])
-        return ",".join([g[0] for g in got]), sum([g[1] for g in got]), joined[1:].decode("utf-8", "replace")
+        ids = ",".join([g[0] for g in got])
+        return ids, ids.count(",") + 1, b"".join([g[1] for g in got])[1:].decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte runs as UTF-8 (invalid bytes replaced), without the space put in front."""

@@ -327,3 +327,20 @@ def test_too_many_languages_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError):
         language_id.train(rows)
     assert language_id.train(rows.filter("lang <> 'l3'")).langs == ["l0", "l1", "l2"]
+
+
+def test_piece_bpe_keeps_segments_in_use(monkeypatch):
+    """A full cache keeps the segments in use, and a word before a full stop is the word's own entry."""
+    import sentencepiece
+
+    model = piece_bpe.default_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    monkeypatch.setattr(piece_bpe, "CACHE_SEGMENTS", 8)
+    table = piece_bpe.PieceTable(model)
+    seen, tokens = [], table.tokens
+    monkeypatch.setattr(table, "tokens", lambda s: seen.append(s) or tokens(s))
+    for i in range(40):
+        for text in (f"often w{i}q often. é{i}, ▁. often,!", "often."):
+            ids = sp.encode(text)
+            assert table.encode(text) == (",".join(map(str, ids)), len(ids), sp.decode(ids))
+    assert seen.count("▁often") == 1 and "▁often." not in seen
