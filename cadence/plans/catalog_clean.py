@@ -9,7 +9,7 @@ from cadence.operators import clean as C
 from cadence.plans.catalog import register
 from cadence.plans.sqlfrag import clean_description, clean_stop, days, detector_text, keyword
 from cadence.schema import CYCLE_LABELS, MISSING_ID_SENTINELS
-from cadence.session import checkpoint_dir
+from cadence.session import checkpoint_dir, materialize
 from cadence.sources import io
 from cadence.sources.fixtures import txn
 
@@ -53,6 +53,7 @@ def q_consolidate(spark, sf):
     t = txn(spark, sf)
     raw = io.raw_bank_frame(t.select("trId", "accountId", "date", "amount", "bankRawDescription", "isRecurring", "direction",
                                      "status", "isForeignCurrency", "counter_party", "patternId"))
+    raw = materialize(raw)  # five files are written from it: the transactions are joined once
     side = F.col("accountId").cast("int") % 3
     folder = _bank_folder(spark)
     north, south, east = (raw.filter(side == k) for k in range(3))
