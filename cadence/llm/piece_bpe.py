@@ -35,6 +35,7 @@ from cadence.llm.wordhash import slices
 MARK = "▁"
 CACHE_SEGMENTS = 200_000  # of each of two generations
 CACHE_PAIRS = 300_000
+LEAN_SEGMENTS, LEAN_PAIRS = 60_000, 150_000
 CACHE_CHARS = 64
 
 
@@ -70,6 +71,11 @@ class PieceTable:
         self.told = {p: (str(i), self.out[i]) for p, i in self.ids.items()}
         after_letter = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
         self.tails = frozenset(string.punctuation) - after_letter
+        self.forget()
+
+    def forget(self, segments: int | None = None, pairs: int | None = None) -> None:
+        """Empty caches, of at most so many entries a generation from now on."""
+        self.most, self.most_pairs = segments or CACHE_SEGMENTS, pairs or CACHE_PAIRS
         self.pair: dict[tuple[str, str], bool] = {}
         self.old_pair: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[str, bytes]] = {}
@@ -96,7 +102,7 @@ class PieceTable:
             ok = self.old_pair.get(key)
             if ok is None:
                 ok = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pair) >= CACHE_PAIRS:
+            if len(self.pair) >= self.most_pairs:
                 self.old_pair, self.pair = self.pair, {}
             self.pair[key] = ok
         return ok
@@ -142,7 +148,7 @@ class PieceTable:
                 parts = [told.get(p) or self.by_bytes(p) for p in self.tokens(text)]
                 got = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
         if len(text) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_SEGMENTS:
+            if len(self.cache) >= self.most:
                 self.old, self.cache = self.cache, {}
             self.cache[text] = got
         return got
@@ -220,11 +226,13 @@ def piece_table(model_file: str) -> PieceTable:
     return _TABLES[model_file]
 
 
-def _each(model_file: str, digest: bool):
+def _each(model_file: str, digest: bool, lean: bool):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(it):
         table = piece_table(model_file)
+        if lean:
+            table.forget(LEAN_SEGMENTS, LEAN_PAIRS)
         for batch in (part for whole in it for part in slices(whole, 1, 1 << 21)):
             ids, counts, texts = [], [], []
             for t in batch.column(1).to_pylist():
@@ -235,18 +243,21 @@ def _each(model_file: str, digest: bool):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
                  pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        if lean:
+            table.forget()
     return run
 
 
 def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
-                 digest: bool = False) -> DataFrame:
+                 digest: bool = False, lean: bool = False) -> DataFrame:
     """Return doc_id, n_tokens, ids (array<int>), decoded for every whole text.
 
     With ``digest`` the ids and the decoded text come as SHA-256 digests (ids_sha256 over the
     decimal ids joined by commas, decoded_sha256 over UTF-8), computed in the same pass.
+    ``lean``: smaller caches that are emptied after each task, for workers that other steps go on using.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = base.mapInArrow(_each(model_file, digest), "doc_id long, n_tokens long, ids string, decoded string")
+    out = base.mapInArrow(_each(model_file, digest, lean), "doc_id long, n_tokens long, ids string, decoded string")
     if digest:
         return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
     empty = F.array().cast("array<int>")

@@ -7,6 +7,8 @@ with a null doc_id take part in every stage. An empty table gives an empty resul
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from cadence.llm.minhash_dedup import minhash_dedup
 from cadence.llm.store import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH = 4 << 20  # bytes of an Arrow batch of a stage: texts are of very unequal size, and worker and executor hold a batch more than once
 MIN_LANGUAGE_SCORE = 0.2  # a text below it fits none of the learned languages
 
 
@@ -53,16 +56,25 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, and the digest of the text that they decode to."""
-    rows = piece_bpe.encode_texts(docs, piece_bpe.default_model())
+    rows = piece_bpe.encode_texts(docs, piece_bpe.default_model(), lean=True)
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _bounded(stage):
+    """The stage in a session whose Arrow batches hold about BATCH bytes; its rows are written by the caller, so the setting stays."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
 STAGES = [
-    ("language_id", language_stage),
-    ("minhash_dedup", dedup_stage),
-    ("pii", pii_stage),
-    ("mix", mix_stage),
-    ("tokens", tokens_stage),
+    ("language_id", _bounded(language_stage)),
+    ("minhash_dedup", _bounded(dedup_stage)),
+    ("pii", _bounded(pii_stage)),
+    ("mix", _bounded(mix_stage)),
+    ("tokens", _bounded(tokens_stage)),
 ]
 ORACLE_SQL = None
 
