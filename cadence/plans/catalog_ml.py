@@ -218,7 +218,7 @@ SELECT t.trId, {_CYCLES},
 FROM txn t JOIN tok USING (trId) JOIN s USING (accountId)""")
 def q_feature_pipeline(spark, sf):
     """All steps; the amount tokens are learned from the accounts of even number and applied to all."""
-    t = materialize(txn(spark, sf))
+    t = materialize(txn(spark, sf).select("trId", "accountId", "date", "amount"))  # no step reads another column
     fp = X.FeatureSteps([X.date_cycles(), X.date_ids(), X.log_amount(with_sign=True), X.amount_token(20, 20), X.behavior()])
     out = fp.learned(t.filter(F.col("accountId").cast("int") % 2 == 0)).add_to(t)
     return out.select("trId", *[F.round(c, R).alias(c) if out.schema[c].dataType.simpleString() == "double" else F.col(c)
