@@ -14,10 +14,10 @@ stretch of ``least`` positions of which ``percent`` per cent occur in the other
 
 A text that shares some of the functions only may be first there and split these votes. So windows that
 others share are also joined to signatures: the ``enough`` min-hashes that one stretch of ``least`` positions
-has at once, for each choice of the functions. A signature that lies in no passage yet is open: it meets the
-first of its value, that one in a verified passage or not, without votes. One that stays open then meets the next ones
-of its value in order, RANKS times as many in every round, until it is verified (the smallest id of the round is
-reported) or has met all earlier ones; exact copies share every signature and always meet.
+has at once, for each choice of the functions. Equal signatures meet in the same way, without votes. A signature
+none of whose stretches is verified then meets the next ones of its value in order, RANKS times as many in
+every round, until it is verified (with the smallest id of the round that verifies it) or has met all earlier ones;
+exact copies share every signature and always meet.
 
 Defined results: null and empty texts and texts below ``least`` shingles have no windows. Repeated rows
 are texts of one id: windows of one id and position meet nothing. Passages repeated inside one text are found
@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.store import stored
@@ -39,7 +39,7 @@ from cadence.llm.wordhash import chunks, hash_words, mix, shingles, slices
 _U = np.uint64
 MOST = 8  # hash functions; a window is packed as at = c * MOST + function, span = (c - l) << 32 | (r - c)
 PLACES = 36  # bits of a place in a text where several texts are looked up at once
-RANKS = 4  # growth of the number of earlier signatures that an unverified one meets in a round
+RANKS = 8  # growth of the number of earlier signatures that an unverified one meets in a round
 BATCH = 4 << 20  # bytes of an Arrow batch: texts and passages are of very unequal size, and a worker holds a batch more than once
 GROUP = 1000  # passages of one first text that a task verifies
 DRIFT = 32  # how far inserted and deleted words may shift two passages against each other
@@ -149,41 +149,16 @@ def signatures(key: np.ndarray, at: np.ndarray, span: np.ndarray, text: np.ndarr
     return [np.concatenate(col) if col else np.zeros(0, np.int64) for col in out]
 
 
-def _inside(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
-    """Whether places lo to hi of a text lie in one of its passages; ``marks``: doc, first and last place of each."""
-    if not len(marks[0]):
-        return np.zeros(len(doc), bool)
-    ids = np.unique(marks[0])
-    of, at = (np.searchsorted(ids, x) << PLACES for x in (marks[0], doc))
-    order = np.lexsort((marks[1], of))
-    start, reach = (of + marks[1])[order], np.maximum.accumulate((of + marks[2])[order])
-    before = np.searchsorted(start, at + lo, "right") - 1
-    known = ids[np.minimum(at >> PLACES, len(ids) - 1)] == doc
-    return known & (before >= 0) & (reach[np.maximum(before, 0)] >= at + hi)
-
-
 def _signed(least: int, enough: int):
-    """Signatures of windows sorted by (doc_id, copy); ``open`` is 0 where the min-hashes lie in a passage of the text.
-
-    Rows of copy -1 are the passages of a text: first and last place in ``at`` and ``span``. The last text of a
-    batch is carried over, and the passages of its id with it.
-    """
-    def emit(t, marks):
+    """Signatures of windows sorted by (doc_id, copy); the last text of a batch is carried over."""
+    def emit(t):
         doc, copy, key, at, span = (t.column(c).to_numpy() for c in ("doc_id", "copy", "key", "at", "span"))
-        passage = copy < 0
-        marks = [np.concatenate(x) for x in zip(marks, (doc[passage], at[passage], span[passage]))]
-        doc, copy, key, at, span = (x[~passage] for x in (doc, copy, key, at, span))
-        if not len(doc):
-            return None, marks
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))
         text, *cols = signatures(key, at, span, np.cumsum(new) - 1, least, enough)
-        doc, spot, core = doc[new][text], cols[1] // MOST, cols[3]
-        inside = _inside(doc, spot - (core >> 32), spot + (core & 0xFFFFFFFF), marks)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, *cols, (~inside).astype(np.int64))],
-                                          names=["doc_id", "key", "at", "span", "core", "open"]), marks
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[new][text], *cols)], names=["doc_id", "key", "at", "span", "core"])
 
     def run(it):
-        held, marks = None, [np.zeros(0, np.int64)] * 3
+        held = None
         for batch in it:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
@@ -193,14 +168,9 @@ def _signed(least: int, enough: int):
             first = int(np.flatnonzero((doc == doc[-1]) & (copy == copy[-1]))[0])
             held, done = t.slice(first), t.slice(0, first)
             if first:
-                out, marks = emit(done, marks)
-                if out is not None:
-                    yield out
-                marks = [x[marks[0] == doc[-1]] for x in marks]
+                yield from emit(done)
         if held is not None and held.num_rows:
-            out, _ = emit(held, marks)
-            if out is not None:
-                yield out
+            yield from emit(held)
     return run
 
 
@@ -365,17 +335,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     elsewhere = "(doc_id <> other or at <> other_at)"
 
     def ranked(rows: DataFrame, name: str) -> DataFrame:
-        """Rows whose value occurs again, with their rank and the first of the value: its smallest id, then its first position there.
-
-        Of signatures only the values of an open one that is not the first.
-        """
+        """Rows whose value occurs again, with their rank and the first of the value: its smallest id, then its first position there."""
         extra = ", ".join(f"{c} long" for c in (*rows.columns, "rank", "other", "other_at", "other_span"))
-        rows = rows.repartition("key")
-        if "open" in rows.columns:
-            of = Window.partitionBy("key")
-            first = F.min(F.struct("doc_id", "at", "span", "open")).over(of)
-            rows = rows.withColumn("later", F.sum("open").over(of) - first["open"]).filter("later > 0").drop("later")
-        return stored(rows.sortWithinPartitions("key", "doc_id", "at", "span")
+        return stored(rows.repartition("key").sortWithinPartitions("key", "doc_id", "at", "span")
                       .mapInArrow(_ranked(tuple(rows.columns)), extra), name, BATCH)
 
     def joined(meet: DataFrame, votes: int) -> DataFrame:
@@ -409,23 +371,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                          & (F.col("end_word") - width >= spot + F.col("core").bitwiseAND(0xFFFFFFFF)), how)
 
     def first_verified(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """The passages of each signature with the smallest id that verifies it."""
-        pairs = (within(rows, found, "inner").groupBy("key", "doc_id", "at", "span").agg(F.min("other_id").alias("other_id"))
-                 .select("doc_id", "other_id").distinct())
-        return found.join(pairs, ["doc_id", "other_id"], "left_semi")
+        """``found`` without the pairs of texts all of whose signatures are verified by a smaller id as well."""
+        held = within(rows, found, "inner").select("key", "doc_id", "at", "span", "other_id")
+        first = held.groupBy("key", "doc_id", "at", "span").agg(F.min("other_id").alias("first"))
+        more = (held.join(first, ["key", "doc_id", "at", "span"]).groupBy("doc_id", "other_id")
+                .agg(F.max(F.col("other_id") == F.col("first")).alias("chosen")).filter("not chosen"))
+        return found.join(more, ["doc_id", "other_id"], "left_anti")
 
     common = ranked(wins, "shared")
-    star = lambda rows: rows.filter(f"rank > 0 and {elsewhere}")
-    found = verified(joined(star(common), enough))
-    marks = found.select("doc_id", F.lit(0).cast("long").alias("key"), F.col("start_word").alias("at"),
-                         (F.col("end_word") - width).alias("span"), F.lit(-1).cast("long").alias("copy")).distinct()
-    signed = ranked(common.select("doc_id", "key", "at", "span", "copy").unionByName(marks).repartition("doc_id")
+    signed = ranked(common.select("doc_id", "key", "at", "span", "copy").repartition("doc_id")
                     .sortWithinPartitions("doc_id", "copy", "at")
-                    .mapInArrow(_signed(least, enough), "doc_id long, key long, at long, span long, core long, open long"), "signed")
-    more = verified(joined(star(signed).filter("open = 1"), 1))
-    found = found.unionByName(more)
+                    .mapInArrow(_signed(least, enough), "doc_id long, key long, at long, span long, core long"), "signed")
+    star = lambda rows: rows.filter(f"rank > 0 and {elsewhere}")
+    found = verified(joined(star(common), enough).unionByName(joined(star(signed), 1)))
     # a first one has nothing before it, a second one has met the first
-    left = within(signed.filter("open = 1 and rank > 1").select("key", "doc_id", "at", "span", "core", "rank"), more, "left_anti")
+    left = within(signed.select("key", "doc_id", "at", "span", "core", "rank").filter("rank > 1"), found, "left_anti")
     low, high = 1, RANKS
     while True:
         left = stored(left.filter(F.col("rank") > low), "unverified")
