@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.ordered import ordered_scan
-from cadence.session import materialize
+from cadence.session import store
 
 BLOCK = 64
 
@@ -39,20 +39,20 @@ def rank_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], x:
     Positions count by (x, point id); points without x are dropped, intervals without ends too.
     ``interval_id`` must be unique inside a key.
     """
-    none, kind, sums = F.lit(None), F.lit, sums or {}
-    inner = F.struct(*points.columns)
+    kind, sums = F.lit, sums or {}
     a = points.filter(F.col(x).isNotNull()).select(
-        *keys, F.col(x).cast("double").alias("_x"), kind(1).alias("_kind"), F.col(point_id).cast("string").alias("_id"),
-        none.cast(intervals.schema[interval_id].dataType).alias("_iv"), inner.alias("_p"),
-        *(c.alias(f"_of_{o}") for o, c in sums.items()))
+        *points.columns, F.col(x).cast("double").alias("_x"), kind(1).alias("_kind"),
+        F.lit(None).cast(intervals.schema[interval_id].dataType).alias("_iv"), *(c.alias(f"_of_{o}") for o, c in sums.items()))
     ends = F.explode(F.array(F.struct(kind(0).alias("_kind"), F.col(low).cast("double").alias("_x")),
                              F.struct(kind(2).alias("_kind"), F.col(high).cast("double").alias("_x")))).alias("_e")
+    # ends have the points' columns empty; ends of one place and kind need no order among them
     b = (intervals.select(*keys, F.col(interval_id).alias("_iv"), ends).filter(F.col("_e._x").isNotNull())
-         .select(*keys, "_e._x", "_e._kind", F.col("_iv").cast("string").alias("_id"), "_iv", none.cast(a.schema["_p"].dataType).alias("_p"),
+         .select(*(F.col(c) if c in keys else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns), "_e._x", "_e._kind", "_iv",
                  *(F.lit(0).cast(a.schema[f"_of_{o}"].dataType).alias(f"_of_{o}") for o in sums)))
     merged = a.unionByName(b).withColumns({"_one": (F.col("_kind") == 1).cast("long"), "_val": F.when(F.col("_kind") == 1, F.col("_x"))})
-    merged = materialize(ordered_scan(merged, keys, ["_x", "_kind", "_id"], None, sums={"_cnt": "_one", **{o: f"_of_{o}" for o in sums}}, maxes={"_top": "_val"}, hot_rows=hot_rows))
-    placed = merged.filter("_kind = 1").select("_p.*", (F.col("_cnt") - 1).alias("_pos"))
+    merged = ordered_scan(merged, keys, ["_x", "_kind", point_id], None, sums={"_cnt": "_one", **{o: f"_of_{o}" for o in sums}}, maxes={"_top": "_val"}, hot_rows=hot_rows)
+    merged = store(merged.select(*points.columns, "_kind", "_iv", "_cnt", "_top", *sums))
+    placed = merged.filter("_kind = 1").select(*points.columns, (F.col("_cnt") - 1).alias("_pos"))
     at = lambda k, c: F.max(F.when(F.col("_kind") == k, F.col(c)))
     spans = (merged.filter("_kind <> 1").groupBy(*keys, F.col("_iv").alias(interval_id))
              .agg(at(0, "_cnt").alias("_first"), at(2, "_cnt").alias("_after"), at(2, "_top").alias("_top"),
