@@ -8,6 +8,7 @@ from cadence.plans.catalog import register
 from cadence.plans.sqlfrag import (HEURISTIC, candidate_features_select, days, detector_text,
                                     tfidf_cluster_ctes, windows_cte)
 from cadence.schema import Cols
+from cadence.session import store
 from cadence.sources.fixtures import txn
 
 _R = 6
@@ -20,6 +21,12 @@ def _round(df, names):
 _FEATS = ["interval_std", "interval_median", "dom_std", "dow_std", "amount_std", "amount_cv",
           "description_length"]
 
+
+def _rows(spark, sf):
+    """The columns that the detector reads; the queries of its groups return no other."""
+    return txn(spark, sf).select("accountId", "trId", "date", "amount", "bankRawDescription", "isRecurring")
+
+
 _EXACT_CLUSTERS = windows_cte() + f""",
 texts AS (SELECT *, {detector_text('bankRawDescription')} AS _text FROM wins),
 tl AS (SELECT *, avg(length(_text)) OVER (PARTITION BY accountId, win) AS _win_text_len FROM texts),
@@ -44,7 +51,7 @@ SELECT t.trId, a.group_id AS recurring_group_id
 FROM txn t LEFT JOIN (SELECT m.trId, acc.group_id FROM mem m JOIN acc USING (accountId, win, cluster)) a
   ON t.trId = a.trId""")
 def q_detect_recurring_exact(spark, sf):
-    return lexical.detect_recurring(txn(spark, sf), exact_text=True).select("trId", "recurring_group_id")
+    return lexical.detect_recurring(_rows(spark, sf), exact_text=True).select("trId", "recurring_group_id")
 
 
 def _tfidf_clusters(least: int = 2) -> str:
@@ -74,13 +81,13 @@ FROM txn t LEFT JOIN (SELECT m.trId, acc.group_id FROM mem m JOIN acc USING (acc
 
 @register("detect_recurring", "WITH RECURSIVE " + _tfidf_clusters() + _DETECT)
 def q_detect_recurring(spark, sf):
-    return lexical.detect_recurring(txn(spark, sf)).select("trId", "recurring_group_id")
+    return lexical.detect_recurring(_rows(spark, sf)).select("trId", "recurring_group_id")
 
 
 @register("detect_recurring_min3", "WITH RECURSIVE " + _tfidf_clusters(3) + _DETECT)
 def q_detect_recurring_min3(spark, sf):
     """Clusters of core texts with at least three rows around them."""
-    return lexical.detect_recurring(txn(spark, sf), min_transactions=3).select("trId", "recurring_group_id")
+    return lexical.detect_recurring(_rows(spark, sf), min_transactions=3).select("trId", "recurring_group_id")
 
 
 _WIN_TEXTS = windows_cte() + f""",
@@ -91,7 +98,7 @@ tl AS (SELECT *, avg(length(_text)) OVER (PARTITION BY accountId, win) AS _win_t
 
 def _win_texts(spark, sf):
     c = Cols()
-    t = txn(spark, sf).select(c.accountId, c.trId, c.date, c.amount, c.text)
+    t = store(txn(spark, sf).select(c.accountId, c.trId, c.date, c.amount, c.text))  # read for sizes and for the windows
     return lexical._windowed(t, c, 200, 2, None)
 
 
