@@ -9,7 +9,7 @@ from cadence.operators import clean as C
 from cadence.plans.catalog import register
 from cadence.plans.sqlfrag import clean_description, clean_stop, days, detector_text, keyword
 from cadence.schema import CYCLE_LABELS, MISSING_ID_SENTINELS
-from cadence.session import checkpoint_dir, materialize
+from cadence.session import checkpoint_dir, materialize, store
 from cadence.sources import io
 from cadence.sources.fixtures import txn
 
@@ -32,7 +32,7 @@ def _bank_folder(spark) -> str:
 
 
 def _write_csv(df, folder: str, name: str) -> None:
-    df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    df.write.option("header", True).option("compression", "gzip").csv(f"{folder}/{name}.csv")
 
 
 _SIDE = "CAST(accountId AS INTEGER) % 3"
@@ -53,7 +53,7 @@ def q_consolidate(spark, sf):
     t = txn(spark, sf)
     raw = io.raw_bank_frame(t.select("trId", "accountId", "date", "amount", "bankRawDescription", "isRecurring", "direction",
                                      "status", "isForeignCurrency", "counter_party", "patternId"))
-    raw = materialize(raw)  # five files are written from it: the transactions are joined once
+    raw = store(raw)  # five files are written from it: the transactions are joined once
     side = F.col("accountId").cast("int") % 3
     folder = _bank_folder(spark)
     north, south, east = (raw.filter(side == k) for k in range(3))
@@ -260,7 +260,7 @@ def q_group_key(spark, sf):
 
 @register("dedup_transactions", "SELECT DISTINCT trId, accountId FROM txn")
 def q_dedup(spark, sf):
-    t = txn(spark, sf)
+    t = txn(spark, sf).select("trId", "accountId", "bank_name")  # of the rest, nothing is returned
     doubled = t.unionByName(t)  # every id twice: the first copy must survive once
     return C.dedup_transactions(doubled).select("trId", "accountId")
 
